@@ -56,13 +56,14 @@ def call_cost(tokens_in: Column, tokens_out: Column) -> Column:
 
 
 def estimate_cost(prompts: DataFrame, column: str = "prompt", output_tokens: int = OUTPUT_TOKENS) -> DataFrame:
-    """Expected cost of each prompt at each provider of the chain: four literal rows per prompt, no join."""
+    """Expected cost of each prompt at each provider of the chain: four literal rows per prompt, no join.
+    Rounded to 4 places; the inner rounding drops binary noise, so halves always go up."""
     price = {m: (i, o) for m, i, o in PRICES}
     chain = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(price[m][0]).alias("price_in"), F.lit(price[m][1]).alias("price_out"))
                       for p, m in PROVIDERS])
     tokens = F.floor(F.length(column) / 4)
     return (prompts.withColumn("input_tokens", tokens).select("*", F.inline(chain))
-            .withColumn("estimated_usd", F.round(call_cost(F.col("input_tokens"), F.lit(output_tokens)), 4))
+            .withColumn("estimated_usd", F.round(F.round(call_cost(F.col("input_tokens"), F.lit(output_tokens)), 10), 4))
             .drop("price_in", "price_out"))
 
 

@@ -267,7 +267,7 @@ CHAIN_PRICES = literal_rows([(p, *[(i, o) for m2, i, o in enrich.PRICES if m2 ==
 
 
 @query("estimate_cost", f"""
-    SELECT doc_id, fixed.provider, round(floor(length(text) / 4) / 1e6 * price_in::DOUBLE + 1000 / 1e6 * price_out::DOUBLE, 4)::DOUBLE AS estimated_usd FROM {{documents}}, {CHAIN_PRICES}""")
+    SELECT doc_id, fixed.provider, round(CAST(floor(length(text) / 4) / 1e6 * price_in::DOUBLE + 1000 / 1e6 * price_out::DOUBLE AS DECIMAL(18, 10)), 4)::DOUBLE AS estimated_usd FROM {{documents}}, {CHAIN_PRICES}""")
 def estimate_cost(t):
     return enrich.estimate_cost(t.documents.select("doc_id", "text"), "text").select("doc_id", "provider", "estimated_usd")
 
