@@ -16,7 +16,7 @@ _POS = "struct<line: int, col: int>"
 SEMGREP = (
     "results array<struct<check_id: string, path: string, start: " + _POS + ", end: " + _POS + ", "
     "extra: struct<message: string, severity: string, lines: string, fingerprint: string, is_ignored: boolean, "
-    "validation_state: string, metadata: string>>>, errors array<string>, time struct<total_time: double>")
+    "validation_state: string, metadata: variant>>>, errors array<string>, time struct<total_time: double>")
 BANDIT = (
     "results array<struct<test_id: string, test_name: string, issue_text: string, issue_severity: string, "
     "issue_confidence: string, cwe: string, filename: string, line_number: int, code: string, more_info: string, "
@@ -28,11 +28,10 @@ BANDIT_CONFIDENCES = ["HIGH", "MEDIUM"]
 
 
 def first_or_text(doc: Column, key: str) -> Column:
-    """A JSON field that may be a list or a scalar: first element, else the text, else ''."""
-    v = F.try_parse_json(doc)
+    """A field of a variant that may be a list or a scalar: first element, else the text, else ''."""
     return F.coalesce(
-        F.try_variant_get(v, f"$.{key}[0]", "string"),
-        F.nullif(F.try_variant_get(v, f"$.{key}", "string"), F.lit("[]")),
+        F.try_variant_get(doc, f"$.{key}[0]", "string"),
+        F.nullif(F.try_variant_get(doc, f"$.{key}", "string"), F.lit("[]")),
         F.lit(""))
 
 
@@ -56,7 +55,7 @@ def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str
         last_part(_text("check_id"), ".").alias("rule_name"),
         _text("extra.message").alias("message"),
         severity_map(F.col("extra.severity")).alias("severity"),
-        confidence_map(F.get_json_object(meta, "$.confidence"), fold_case=True).alias("confidence"),
+        confidence_map(F.try_variant_get(meta, "$.confidence", "string"), fold_case=True).alias("confidence"),
         first_or_text(meta, "cwe").alias("cwe_id"),
         first_or_text(meta, "owasp").alias("owasp"),
         _text("path").alias("file_path"),
@@ -67,7 +66,7 @@ def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str
             _text("extra.fingerprint").alias("fingerprint"),
             F.coalesce("extra.is_ignored", F.lit(False)).alias("is_ignored"),
             F.coalesce("extra.validation_state", F.lit("NO_VALIDATOR")).alias("validation_state"),
-            _text(meta).alias("metadata"))).alias("extras"))
+            meta.alias("metadata"))).alias("extras"))
     return out
 
 
