@@ -13,12 +13,13 @@ MAX_TARGET_BYTES = 10_000_000
 def read_source_tree(spark: SparkSession, root: str, *, max_bytes: int = MAX_TARGET_BYTES, pattern: str = "*") -> DataFrame:
     """Every file below ``root`` as ``(path, content, n_bytes)``.
 
-    The size filter is pushed into the reader, so oversize files are listed but not opened.
+    The size filter is pushed into the reader, so oversize files are listed but not opened.  Bytes
+    that are not UTF-8 become replacement characters.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", pattern).load(root))
     return raw.filter(F.col("length") <= max_bytes).select(
-        "path", F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("n_bytes"))
+        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("n_bytes"))
 
 
 def size_cap(files: DataFrame, max_bytes: int = MAX_TARGET_BYTES) -> DataFrame:
