@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import newline_lines
+from scanloom.session import materialise
 from scanloom.sources.files import source_lines
 
 BEFORE = AFTER = 5
@@ -53,24 +54,31 @@ def window_context(lines: DataFrame, before: int = BEFORE, after: int = AFTER) -
 def add_context(findings: DataFrame, files: DataFrame, *, before: int = BEFORE, after: int = AFTER) -> DataFrame:
     """Findings with ``context_before`` / ``context_after`` from their file; '' when the file or line is missing.
 
-    Wanted line ranges are first reduced to the distinct ones per (file, chunk of lines); each file's text is
-    shuffled once per wanted chunk, never per finding, and the range lookup is array slicing in its row.
+    What is wanted is first reduced to the distinct start lines (for the text before) and end lines (for the text
+    after) of every file, in chunks of :data:`CHUNK` lines, so a request holds at most two chunks of numbers.  A
+    file's text meets each of its requested chunks once, never each finding, and a range of lines is a slice of its
+    array.  The two texts then join the findings on (file, line).
     """
-    spots = findings.select(F.col("file_path").alias("path"), "line_start", "line_end").distinct()
-    wanted = (spots.groupBy("path", F.floor(F.col("line_start") / CHUNK).alias("chunk"))
-              .agg(F.collect_list(F.struct("line_start", "line_end")).alias("ranges")))
-    served = _with_lines(wanted.join(files.select("path", "content"), "path"))
-    start = lambda r: F.greatest(r["line_start"] - 1, F.lit(0))          # lines before this index
-    # A start line past the end of the file has no context at all.
-    inside = lambda r: r["line_start"] <= F.size("lines")
-    texts = F.transform("ranges", lambda r: F.struct(
-        r["line_start"].alias("line_start"), r["line_end"].alias("line_end"),
-        F.when(inside(r), _window_text(F.col("lines"), start(r) - before + 1, start(r))).otherwise("").alias("context_before"),
-        F.when(inside(r), _window_text(F.col("lines"), F.greatest(r["line_end"], F.lit(0)) + 1, F.greatest(r["line_end"], F.lit(0)) + after)).otherwise("").alias("context_after")))
-    ctx = served.select(F.col("path").alias("file_path"), F.inline(texts))
-    rest = findings.drop("context_before", "context_after")
-    out = rest.join(ctx, ["file_path", "line_start", "line_end"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("context_before", "context_after")})
+    ask = lambda side, line: findings.select(F.col("file_path").alias("path"), F.col(line).alias("line"), F.lit(side).alias("side"))
+    at = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("line")))
+    wanted = (ask("start", "line_start").unionByName(ask("end", "line_end"))
+              .groupBy("path", F.floor(F.col("line") / CHUNK).alias("chunk"))
+              .agg(at("start").alias("starts"), at("end").alias("ends")))
+    served = materialise(_with_lines(wanted.join(files.select("path", "content"), "path")).select(
+        F.col("path").alias("file_path"),
+        # A start line past the end of the file has no context at all, on either side.
+        F.transform("starts", lambda x: F.struct(
+            x.alias("line_start"), (x <= F.size("lines")).alias("inside"),
+            _window_text(F.col("lines"), F.greatest(x - 1, F.lit(0)) - before + 1, x - 1).alias("context_before"))).alias("starts"),
+        F.transform("ends", lambda x: F.struct(
+            x.alias("line_end"),
+            _window_text(F.col("lines"), F.greatest(x, F.lit(0)) + 1, F.greatest(x, F.lit(0)) + after).alias("context_after"))).alias("ends")), "context")
+    befores = served.select("file_path", F.inline("starts"))
+    afters = served.select("file_path", F.inline("ends"))
+    out = (findings.drop("context_before", "context_after")
+           .join(befores, ["file_path", "line_start"], "left").join(afters, ["file_path", "line_end"], "left"))
+    return out.withColumns({
+        c: F.when(F.col("inside"), F.coalesce(c, F.lit(""))).otherwise("") for c in ("context_before", "context_after")}).drop("inside")
 
 
 def import_block(files: DataFrame) -> DataFrame:

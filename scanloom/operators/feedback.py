@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions.falsepos import FEATURES, fp_features, fp_heuristic
+from scanloom.session import materialise
 
 # Thresholds, model size, and what labels do not record.
 FP_THRESHOLD = 0.7
@@ -121,12 +122,14 @@ def fp_pipeline(trees: int = TREES, seed: int = SEED) -> Pipeline:
 def train_fp(feedback: DataFrame, *, findings: DataFrame | None = None, min_rows: int = MIN_ROWS,
              trees: int = TREES, seed: int = SEED) -> tuple[PipelineModel | None, DataFrame]:
     """(model, one-row report).  Too few labels: (None, status ``insufficient_data``)."""
-    rows = training_rows(feedback, findings)
+    key = "finding_id"
+    # Nine numbers and a label per row, kept once: the forest passes over them many times.
+    rows = materialise(training_rows(feedback, findings, key).select(key, "label", *FEATURES), "training")
     n = rows.count()
     if n < min_rows:
         report = labelled_only(feedback).agg(F.lit("insufficient_data").alias("status"), F.count(F.lit(1)).alias("samples"))
         return None, report
-    train, held_out = split_rows(rows)
+    train, held_out = split_rows(rows, key)
     model = fp_pipeline(trees, seed).fit(train)
     scores = evaluate(model.transform(held_out)).drop("samples")
     report = scores.select(F.lit("trained").alias("status"), F.lit(n).cast("bigint").alias("samples"), "accuracy", "precision", "recall")

@@ -81,16 +81,16 @@ def report_sarif(t):
 
 
 @query("report_markdown", """
-    SELECT scan_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(block, '' ORDER BY block)) AS blocks_md5 FROM (
+    SELECT scan_id, md5(block) AS block_md5, CAST(count(*) AS BIGINT) AS n FROM (
       SELECT scan_id, '### ' || rule_name || chr(10) || chr(10) || '- **Severity**: `' || severity || '`' || chr(10) || '- **Location**: `' || file_path || ':' || CAST(line_start AS STRING) || '`' || chr(10) ||
         '- **CWE**: ' || coalesce(nullif(cwe_id, ''), 'N/A') || chr(10) || '- **Scanner**: ' || scanner || chr(10) || chr(10) || '**Vulnerable Code**:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) ||
         CASE WHEN message <> '' THEN '**AI Analysis**: ' || substr(message, 1, 500) || '...' ELSE '' END || chr(10) || chr(10) ||
-        CASE WHEN ai_patch <> '' THEN '**AI Patch**: ' || chr(10) || '```' || chr(10) || ai_patch || chr(10) || '```' ELSE '' END || chr(10) || chr(10) || '---' || chr(10) AS block FROM v_findings) GROUP BY scan_id""")
+        CASE WHEN ai_patch <> '' THEN '**AI Patch**: ' || chr(10) || '```' || chr(10) || ai_patch || chr(10) || '```' ELSE '' END || chr(10) || chr(10) || '---' || chr(10) AS block FROM v_findings) GROUP BY scan_id, md5(block)""")
 def report_markdown(t):
-    """Blocks of each scan; scans are small here, so the check joins a scan's blocks into one digest."""
+    """Digest and number of every block of each scan."""
     by_scan = stats.scan_statistics(t.findings).join(t.scan_heads, "scan_id")
     items = reports.report_markdown(_findings(t), by_scan).filter(F.col("part") == reports.ITEM)
-    return items.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("text")), "")).alias("blocks_md5"))
+    return items.groupBy("scan_id", F.md5("text").alias("block_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("html_tables", f"""
