@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scanloom.functions.falsepos import FEATURES
 from scanloom.functions.patches import native_verdict
 from scanloom.operators import feedback, plugins
 from scanloom.operators.enrich import pair_by_finding
@@ -90,7 +91,16 @@ def fp_predict(t):
     return scored.groupBy("severity", "is_false_positive").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fp_confidence"), 4).alias("mean_score"))
 
 
-@query("fp_model_store")
+@query("fp_training_set", """
+    SELECT finding_id, CASE WHEN is_true_positive = 0 THEN 1 ELSE 0 END::DOUBLE AS label, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END::DOUBLE AS f_severity,
+      0.7::DOUBLE AS f_confidence, length(code_snippet)::DOUBLE AS f_snippet_len, length(message)::DOUBLE AS f_message_len, 0::DOUBLE AS f_has_before, 0::DOUBLE AS f_has_after,
+      CASE split_part(scanner, '(', 1) WHEN 'bandit' THEN 1 WHEN 'fusion' THEN 3 ELSE 0 END::DOUBLE AS f_scanner, 0::DOUBLE AS f_cwe, 1::DOUBLE AS f_span FROM v_feedback WHERE is_true_positive IS NOT NULL""")
+def fp_training_set(t):
+    """What the model learns from: labelled rows, nine features, label."""
+    return feedback.training_rows(t.feedback).select("finding_id", "label", *FEATURES)
+
+
+@query("fp_model_store", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differing FROM v_feedback WHERE is_true_positive IS NOT NULL")
 def fp_model_store(t):
     """A saved and reloaded model scores like the one that was saved."""
     model, _ = feedback.train_fp(t.feedback, trees=5)
@@ -101,7 +111,7 @@ def fp_model_store(t):
     feedback.save_model(model, path)
     again = feedback.load_model(path)
     # Score once with each model in one row-wise pass, so no join on ids is needed.
-    first = feedback.score_fp(rows, model).withColumnRenamed("fp_confidence", "a").drop("is_false_positive", *feedback.FEATURES)
+    first = feedback.score_fp(rows, model).withColumnRenamed("fp_confidence", "a").drop("is_false_positive", *FEATURES)
     both = feedback.score_fp(first, again)
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("fp_confidence")).alias("differing"))
 
