@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Refusal marker, chatter prefixes, plan defaults.
@@ -65,3 +65,9 @@ def parse_plan(response: Column, message: Column) -> Column:
         field("potential_side_effects", none, none),
         field("success_criteria", F.lit(""), F.lit(FALLBACK_CRITERIA)),
     )
+
+
+def parse_responses(answers: DataFrame, response: str = "response", message: str = "message") -> DataFrame:
+    """Answers with ``patch``, ``code`` and ``plan`` read from the response text."""
+    r = F.col(response)
+    return answers.withColumns({"patch": extract_patch(r), "code": extract_code(r), "plan": parse_plan(r, F.col(message))})

@@ -200,26 +200,26 @@ def parse_plan(t):
                     "p.estimated_complexity", F.array_join("p.potential_side_effects", ";").alias("side_effects"), "p.success_criteria")
 
 
-# Python-looking patches, one danger each, around the given messages.
-PATCHY = """SELECT item_id, text, CASE item_id % 6 WHEN 0 THEN 'x = literal_eval(y)' WHEN 1 THEN 'exec(z)' || chr(10) || 'os.system(q)' WHEN 2 THEN 'data = pickle.loads(b)' WHEN 3 THEN 'v = user_input(' || CAST(item_id AS STRING) || ')' WHEN 4 THEN text ELSE 'ok = ' || CAST(length(text) AS STRING) END AS patch,
-    CASE item_id % 4 WHEN 0 THEN 'a/b.rb' WHEN 1 THEN 'Makefile' WHEN 2 THEN '.py' ELSE 'c.py' END AS file_path FROM {benchmark}"""
+# Python-looking patches, one danger each, around the given texts.
+PATCHY = """SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN 'x = literal_eval(y)' WHEN 1 THEN 'exec(z)' || chr(10) || 'os.system(q)' WHEN 2 THEN 'data = pickle.loads(b)' WHEN 3 THEN 'v = user_input(' || CAST(doc_id AS STRING) || ')' WHEN 4 THEN text ELSE 'ok = ' || CAST(length(text) AS STRING) END AS patch,
+    CASE doc_id % 4 WHEN 0 THEN 'a/b.rb' WHEN 1 THEN 'Makefile' WHEN 2 THEN '.py' ELSE 'c.py' END AS file_path FROM {documents}"""
 
 
 def _patchy(t):
-    k, j = F.col("item_id") % 6, F.col("item_id") % 4
-    n = F.col("item_id").cast("string")
+    k, j = F.col("doc_id") % 6, F.col("doc_id") % 4
+    n = F.col("doc_id").cast("string")
     patch = (F.when(k == 0, "x = literal_eval(y)").when(k == 1, "exec(z)\nos.system(q)").when(k == 2, "data = pickle.loads(b)")
              .when(k == 3, F.concat(F.lit("v = user_input("), n, F.lit(")"))).when(k == 4, F.col("text")).otherwise(F.concat(F.lit("ok = "), F.length("text").cast("string"))))
     path = F.when(j == 0, "a/b.rb").when(j == 1, "Makefile").when(j == 2, ".py").otherwise("c.py")
-    return t.benchmark.withColumn("patch", patch).withColumn("file_path", path)
+    return t.documents.withColumn("patch", patch).withColumn("file_path", path)
 
 
 DANGER_SQL = "concat_ws('; ', " + ", ".join(f"CASE WHEN contains(patch, '{s}') THEN '{d}' END" for s, d in patches.DANGERS) + ")"
 
 
-@query("danger_patterns", f"SELECT item_id, {DANGER_SQL} AS issues FROM o_patchy", {"o_patchy": PATCHY})
+@query("danger_patterns", f"SELECT doc_id, {DANGER_SQL} AS issues FROM o_patchy", {"o_patchy": PATCHY})
 def danger_patterns(t):
-    return _patchy(t).select("item_id", F.array_join(patches.danger_list(F.col("patch")), "; ").alias("issues"))
+    return _patchy(t).select("doc_id", F.array_join(patches.danger_list(F.col("patch")), "; ").alias("issues"))
 
 
 @query("validate_patch")

@@ -92,6 +92,14 @@ def ingest_bandit(reports: DataFrame, json_col: str = "report", keep: tuple[str,
             _int("end_col_offset").alias("end_col_offset"))).alias("extras"))
 
 
+def ingest(reports: DataFrame, kind: str, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reports of a known kind to findings."""
+    kinds = {"semgrep": ingest_semgrep, "bandit": ingest_bandit}
+    if kind not in kinds:
+        raise ValueError(f"unknown report kind: {kind}")
+    return kinds[kind](reports, json_col, keep)
+
+
 def bandit_floor(findings: DataFrame, *, severities=BANDIT_SEVERITIES, confidences=BANDIT_CONFIDENCES,
                  skip: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """Keep the wanted severities and confidence words; skip or keep only some test ids."""
