@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scanloom.llm import neardup
-from scanloom.llm.tables import documents
+from scanloom.llm import neardup, packing, substring, toxicity
+from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +23,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, folder), words=4, percent=80)
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = documents(spark, folder), of_rest("doc_id", 4, 2)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), learn=~held)
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, folder)).select("doc_id", "text", "removed_spans", "removed_bytes")
