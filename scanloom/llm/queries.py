@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import neardup, packing, substring, toxicity
+from scanloom.llm import decontam, neardup, oracles, packing, substring, toxicity
 from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": oracles.OP2}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -41,3 +41,8 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, folder)).select("doc_id", "text", "removed_spans", "removed_bytes")
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contamination(documents(spark, folder), table(spark, folder, "benchmark"), window=10)
