@@ -8,7 +8,9 @@ common order.  The order is rarest pair first, so a document is posted only unde
 share sits at the end and is not posted, and a document with enough pairs of its own is not posted at all.
 Skip: the long lists left are not merged pair by pair.  First every document of a list meets the list's smallest id only, and what
 is confirmed is joined into components.  Then only documents of different components still meet, so a list whose documents are
-already connected is skipped whole.  Nothing is lost by that: a pair left out lies inside one component.
+already connected is skipped whole.  Nothing is lost by that: a pair left out lies inside one component.  Of these documents, each counts
+its shingles that any other of them has at all.  A pair cannot have more in common than the smaller count, which must reach the
+overlap that the similarity asks of two sets of their sizes: variants of one text that each differ too much do not meet pairwise.
 
 With similarity 0.8, 64 coordinates and 36 agreements a true pair is missed with probability below 1e-5 at exactly 0.8 and falling
 fast above it.  Equal sets are joined before, by their fingerprints.
@@ -76,6 +78,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, coords:
     return batches(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), run, "doc long, n long, k1 long, k2 long, sig array<int>")
 
 
+def shared_counts(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, u): how many of each document's shingles another document of the table has too."""
+    def run(batch: pa.RecordBatch):
+        ids = batch.column(0).to_pylist()
+        sets = list(shingle_sets(batch.column(1).to_pylist(), words))
+        doc = np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["rep", "s"])
+
+    posts = batches(texts.select("doc", "text"), run, "rep long, s long")
+    common = posts.groupBy("s").count().filter("count > 1")
+    return posts.join(common, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("u"))
+
+
 def prefixes(reps: DataFrame, coords: int, least: int) -> DataFrame:
     """(rep, n, coord, value): the rarest ``coords - least + 1`` pairs of each document, without those that nobody shares."""
     posts = reps.select("rep", "n", F.posexplode("sig").alias("coord", "value"))
@@ -139,8 +154,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     open_lists = placed.groupBy("coord", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("coord", "value")
     left = materialise(placed.join(open_lists, ["coord", "value"], "left_semi").select("coord", "value", "rep", "n", "c"), "open")
-    right = left.select("coord", "value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = left.withColumnRenamed("rep", "a").join(right, ["coord", "value"]).filter(f"a < b AND c <> d AND {fits}").select("a", "b").distinct()
+    counts = shared_counts(texts.join(left.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), words)
+    # 100 i >= percent (n + m - i) asks for (100 + percent) i >= percent (n + m); alone, i >= percent n / 100.
+    left = materialise(left.join(counts, "rep").filter(f"100 * u >= {percent} * n"), "open")
+    right = left.select("coord", "value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("u").alias("v"))
+    may = f"a < b AND c <> d AND {fits} AND {100 + percent} * least(u, v) >= {percent} * (n + m)"
+    rest = left.withColumnRenamed("rep", "a").join(right, ["coord", "value"]).filter(may).select("a", "b").distinct()
     more = confirmed(rest.join(star, ["a", "b"], "left_anti"), signs, texts, words, least, percent)
     final = materialise(components(edges.unionByName(more)), "components")
 
