@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontam, neardup, oracles, packing, substring, toxicity
+from scanloom.llm import decontam, neardup, oracles, packing, substring, topk, toxicity
 from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_benchmark_decontamination": oracles.OP2}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": oracles.OP2, "op3_exact_top_k": oracles.OP3}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -46,3 +46,8 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(documents(spark, folder), table(spark, folder, "benchmark"), window=10)
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
