@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontam, langid, neardup, oracles, packing, substring, topk, toxicity
+from scanloom.llm import decontam, hpylm, langid, neardup, oracles, packing, substring, topk, toxicity
 from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs, held = documents(spark, folder), of_rest("doc_id", 5, 0)
     model = langid.fit(docs, learn=~held)
     return docs.select("doc_id", held.alias("held_out"), langid.identify(model, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+@query
+def op6_hierarchical_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = documents(spark, folder), of_rest("doc_id", 5, 1)
+    return hpylm.score(hpylm.fit(docs, learn=~held), docs, held)
