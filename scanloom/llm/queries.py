@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontam, hpylm, langid, neardup, oracles, packing, substring, topk, toxicity
+from scanloom.llm import decontam, hpylm, langid, neardup, oracles, packing, quality, substring, topk, toxicity
 from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op6_hierarchical_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     docs, held = documents(spark, folder), of_rest("doc_id", 5, 1)
     return hpylm.score(hpylm.fit(docs, learn=~held), docs, held)
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.classify(quality.fit(docs, table(spark, folder, "labels").filter("quality = 1")), docs)
