@@ -26,3 +26,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS D
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def licenses_sql(templates: dict[str, str], shingle: int, percent: int) -> str:
+    """Every window of every document against every template, without signatures."""
+    rows = ", ".join("('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in templates.items())
+    return r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+t0 AS (SELECT name, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES {rows}) AS x(name, text)),
+t AS (SELECT name, w, len(w) AS l, least({k}, len(w)) AS k, greatest(1, len(w) // 4) AS step FROM t0),
+ts AS (SELECT DISTINCT name, l, k, step, array_to_string(w[i:i + k - 1], ' ') AS sh FROM (SELECT *, unnest(generate_series(1, l - k + 1)) AS i FROM t)),
+tn AS (SELECT name, count(*) AS n FROM ts GROUP BY name),
+ks AS (SELECT DISTINCT k FROM t),
+ds AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS sh FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT doc_id, name, pos, ts.sh, l, ts.k, step FROM ds JOIN ts ON ds.sh = ts.sh AND ds.k = ts.k),
+g AS (SELECT doc_id, name, sh, unnest(generate_series(greatest(0, CAST(ceil((pos - (l + step - 1 - k)) / step) AS BIGINT)), pos // step)) AS win FROM m),
+s AS (SELECT doc_id, name, win, count(DISTINCT sh) / max(n) AS share FROM g JOIN tn USING (name) GROUP BY doc_id, name, win),
+h AS (SELECT doc_id, name, max(share) AS share FROM s WHERE share * 100 >= {percent} GROUP BY doc_id, name),
+f AS (SELECT doc_id, count(*) AS n, string_agg(name, '; ' ORDER BY name) AS names, max(share) AS share FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, coalesce(share, 0.0) AS containment FROM d LEFT JOIN f USING (doc_id)
+""".replace("{low}", LOWER.replace("{t}", "text")).replace("{rows}", rows).replace("{k}", str(shingle)).replace("{percent}", str(percent))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontam, hpylm, langid, neardup, oracles, packing, quality, substring, topk, toxicity
+from scanloom.llm import decontam, hpylm, langid, licenses, neardup, oracles, packing, quality, substring, topk, toxicity
 from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,11 @@ def op6_hierarchical_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return quality.classify(quality.fit(docs, table(spark, folder, "labels").filter("quality = 1")), docs)
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
+ORACLES["op8_license_scan"] = oracles.licenses_sql(licenses.TEMPLATES, 5, 80)
