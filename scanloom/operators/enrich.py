@@ -22,10 +22,10 @@ def price_table(spark: SparkSession) -> DataFrame:
 
 
 def enrich_cwe(findings: DataFrame, kb: DataFrame | None = None) -> DataFrame:
-    """Findings with their weakness guidance; unknown ids get nulls.  The guidance table has nine fixed rows,
-    so it is broadcast and findings are never shuffled."""
-    kb = knowledge_base(findings.sparkSession) if kb is None else kb
-    return findings.withColumn("kb_id", normalise_cwe(F.col("cwe_id"))).join(F.broadcast(kb), "kb_id", "left")
+    """Findings with their weakness guidance; unknown ids get nulls.  The built-in guidance has nine fixed rows and is
+    broadcast; how a table of the caller's is joined is left to Spark."""
+    kb = F.broadcast(knowledge_base(findings.sparkSession)) if kb is None else kb
+    return findings.withColumn("kb_id", normalise_cwe(F.col("cwe_id"))).join(kb, "kb_id", "left")
 
 
 def fix_example(enriched: DataFrame, language: Column | str = "python") -> DataFrame:
@@ -76,9 +76,14 @@ def token_usage(calls: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame
 
 
 def pair_by_finding(findings: DataFrame, answers: DataFrame, *, key: str, answer: str, into: str,
-                    fallback: Column | str = "") -> DataFrame:
-    """Attach answers to findings by id; a missing answer becomes the fallback text.  One answer per id is kept."""
-    one = answers.groupBy(key).agg(F.min(answer).alias("__answer"))
+                    order: str | None = None, fallback: Column | str = "") -> DataFrame:
+    """Attach answers to findings by id; a missing answer becomes the fallback text.
+
+    Of several answers to one id the last by ``order`` stands; without an order column ids should be unique, and of
+    several the greatest text stands.
+    """
+    last = F.max(answer) if order is None else F.max_by(answer, F.struct(order, answer))
+    one = answers.groupBy(key).agg(last.alias("__answer"))
     alt = F.lit(fallback) if isinstance(fallback, str) else fallback
     return (findings.drop(into).join(one, key, "left")
             .withColumn(into, F.coalesce("__answer", alt)).drop("__answer"))

@@ -16,6 +16,8 @@ from scanloom.session import materialise
 FP_THRESHOLD = 0.7
 MIN_ROWS = 50
 TREES = 100
+# The deepest trees the library allows; its forests cannot be unlimited.
+MAX_DEPTH = 30
 SEED = 42
 HOLDOUT = 0.2
 # Share of features a split may choose from.  Labels leave five of the nine constant, and a draw of constants
@@ -71,15 +73,17 @@ def with_features(findings: DataFrame) -> DataFrame:
 def training_rows(feedback: DataFrame, findings: DataFrame | None = None, key: str = "finding_id") -> DataFrame:
     """Labelled rows with features and ``label`` (1 = false positive).
 
-    Labels do not record confidence, context, weakness or lines; these get constants, unless the full
-    ``findings`` are given, which are then joined by id.
+    Labels do not record confidence, context, weakness or lines; these get constants.  With the full ``findings``
+    they come from there, by id; a label whose finding is gone keeps the constants, and of several findings of one
+    id the one first in order of these columns stands.
     """
     rows = labelled_only(feedback)
     if findings is None:
         rows = rows.withColumns({c: F.lit(v) for c, v in UNRECORDED.items()})
     else:
-        full = findings.select(F.col("id").alias(key), *UNRECORDED)
-        rows = rows.drop(*UNRECORDED).join(full, key)
+        full = findings.groupBy(F.col("id").alias(key)).agg(F.min(F.struct(*UNRECORDED)).alias("__full"))
+        rows = rows.drop(*UNRECORDED).join(full, key, "left")
+        rows = rows.withColumns({c: F.coalesce(F.col("__full")[c], F.lit(v)) for c, v in UNRECORDED.items()}).drop("__full")
     text = {c: F.coalesce(c, F.lit("")) for c in ("code_snippet", "message")}
     label = F.when(F.col("is_true_positive").cast("int") == 0, 1.0).otherwise(0.0)
     return with_features(rows.withColumns(text)).withColumn("label", label)
@@ -114,13 +118,14 @@ def evaluate(predicted: DataFrame) -> DataFrame:
         (F.sum(part("support") * F.col("support")) / F.sum("support")).alias("recall"))
 
 
-def fp_pipeline(trees: int = TREES, seed: int = SEED) -> Pipeline:
+def fp_pipeline(trees: int = TREES, seed: int = SEED, max_depth: int = MAX_DEPTH) -> Pipeline:
+    """Features to forest.  ``max_depth`` defaults to the most the library allows, since trees should grow until pure."""
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"),
-                            RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=10, featureSubsetStrategy=FEATURE_SHARE)])
+                            RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth, featureSubsetStrategy=FEATURE_SHARE)])
 
 
 def train_fp(feedback: DataFrame, *, findings: DataFrame | None = None, min_rows: int = MIN_ROWS,
-             trees: int = TREES, seed: int = SEED) -> tuple[PipelineModel | None, DataFrame]:
+             trees: int = TREES, seed: int = SEED, max_depth: int = MAX_DEPTH) -> tuple[PipelineModel | None, DataFrame]:
     """(model, one-row report).  Too few labels: (None, status ``insufficient_data``)."""
     key = "finding_id"
     # Nine numbers and a label per row, kept once: the forest passes over them many times.
@@ -130,7 +135,7 @@ def train_fp(feedback: DataFrame, *, findings: DataFrame | None = None, min_rows
         report = labelled_only(feedback).agg(F.lit("insufficient_data").alias("status"), F.count(F.lit(1)).alias("samples"))
         return None, report
     train, held_out = split_rows(rows, key)
-    model = fp_pipeline(trees, seed).fit(train)
+    model = fp_pipeline(trees, seed, max_depth).fit(train)
     scores = evaluate(model.transform(held_out)).drop("samples")
     report = scores.select(F.lit("trained").alias("status"), F.lit(n).cast("bigint").alias("samples"), "accuracy", "precision", "recall")
     return model, report

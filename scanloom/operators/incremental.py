@@ -32,11 +32,17 @@ def union_changed(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def changed_stats(base: DataFrame, head: DataFrame, base_ref: str = "main") -> DataFrame:
-    """One row: counts of added, modified and deleted paths."""
+def changed_stats(base: DataFrame, head: DataFrame, base_ref: str = "main", staged: DataFrame | None = None) -> DataFrame:
+    """One row: the number of :func:`changed_files`, staged ones included, and counts of added, modified and deleted paths."""
     kind = lambda k: F.count_if(F.col("change") == k)
-    return compare(base, head).agg(
-        F.lit(base_ref).alias("base_ref"), (kind("added") + kind("modified")).alias("files_changed"),
+    seen = compare(base, head)
+    if staged is None:
+        seen = seen.withColumn("staged", F.lit(False))
+    else:
+        seen = seen.join(staged.select("path").distinct().withColumn("staged", F.lit(True)), "path", "left").withColumn("staged", F.coalesce("staged", F.lit(False)))
+    wanted = F.col("change").isin("added", "modified") | (F.col("staged") & (F.col("change") != "deleted"))
+    return seen.agg(
+        F.lit(base_ref).alias("base_ref"), F.count_if(wanted).alias("files_changed"),
         kind("added").alias("added"), kind("modified").alias("modified"), kind("deleted").alias("deleted"))
 
 

@@ -42,24 +42,32 @@ class ScannerRegistry:
 
 
 def completion_stage(prompts: DataFrame, complete: Callable[[list[str]], list[str]], *, key: str = "id",
-                     prompt: str = "prompt", concurrency: int = 5) -> DataFrame:
-    """``(key, response)`` from a user-supplied client, called batch by batch inside the tasks.
+                     prompt: str = "prompt", batch: int = 16, concurrency: int | None = None) -> DataFrame:
+    """``(key, response)`` from a user-supplied client, called with ``batch`` prompts at a time inside the tasks.
 
-    ``concurrency`` partitions call at most that many clients at once.  A failing batch yields nulls, which the
-    later join turns into fallback texts.
+    Partitions follow the data; ``concurrency`` deals the prompts out to that many tasks, for a client with a limit.  A batch
+    that fails is asked again prompt by prompt, so one failure costs one answer: a null, which the later join turns into the
+    fallback text.
     """
     wanted = prompts.select(key, prompt)
     schema = T.StructType([wanted.schema[key], T.StructField("response", T.StringType())])
 
+    def ask(texts: list[str]) -> list[str | None]:
+        try:
+            answers = list(complete(texts))
+            if len(answers) == len(texts):
+                return answers
+        except Exception:
+            pass
+        return [None] if len(texts) == 1 else [a for t in texts for a in ask([t])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                answers = list(complete(batch[prompt].tolist()))
-            except Exception:
-                answers = [None] * len(batch)
-            yield pd.DataFrame({key: batch[key], "response": pd.Series(answers, dtype=object, index=batch.index)})
+        for rows in batches:
+            texts = rows[prompt].tolist()
+            answers = [a for i in range(0, len(texts), batch) for a in ask(texts[i:i + batch])]
+            yield pd.DataFrame({key: rows[key], "response": pd.Series(answers, dtype=object, index=rows.index)})
 
-    return wanted.repartition(concurrency).mapInPandas(run, schema)
+    return (wanted if concurrency is None else wanted.repartition(concurrency)).mapInPandas(run, schema)
 
 
 def register_functions(spark) -> None:

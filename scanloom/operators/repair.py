@@ -57,16 +57,15 @@ def chain_position(provider: Column, chain: list[str]) -> Column:
 def check_patches(findings: DataFrame, *, patch: str = "ai_patch", validators: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``is_valid`` and ``check_message``.
 
-    Routing and the danger list are native.  Only patches of Python files reach the parser: the text column
-    handed to it is null for all others, and they cost one null each.
+    One pass.  Routing and the danger list are native; the parser is handed the patch only where they leave it open,
+    and a null, which costs it nothing, everywhere else.
     """
     col = F.col(patch)
     routed = findings.withColumn("__native", native_verdict(F.col("file_path"), col, validators or {}))
-    parsed = routed.filter("__native IS NULL").withColumn("__syntax", python_syntax_error(col))
-    python = parsed.withColumn("__v", python_verdict(F.col("__syntax"), col)).drop("__native", "__syntax")
-    native = routed.filter("__native IS NOT NULL").withColumnRenamed("__native", "__v")
-    both = python.unionByName(native)
-    return both.withColumn("is_valid", F.col("__v.is_valid")).withColumn("check_message", F.col("__v.message")).drop("__v")
+    parsed = routed.withColumn("__syntax", python_syntax_error(F.when(F.col("__native").isNull(), col)))
+    judged = parsed.withColumn("__v", F.coalesce("__native", python_verdict(F.col("__syntax"), col)))
+    return (judged.withColumn("is_valid", F.col("__v.is_valid")).withColumn("check_message", F.col("__v.message"))
+            .drop("__native", "__syntax", "__v"))
 
 
 def patched_only(findings: DataFrame) -> DataFrame:
@@ -74,8 +73,12 @@ def patched_only(findings: DataFrame) -> DataFrame:
 
 
 def attach_verdicts(findings: DataFrame, verdicts: DataFrame, key: str = "id") -> DataFrame:
-    """Findings with the verdict of their patch; without one, not validated."""
-    v = verdicts.select(key, F.col("is_valid").alias("__ok"), F.col("check_message").alias("__msg"))
+    """Findings with the verdict of their patch; without one, not validated.
+
+    Ids repeat by design, so verdicts shrink to one row per id first: not valid if any of them is not.
+    """
+    worst = F.min(F.struct(F.col("is_valid").alias("ok"), F.col("check_message").alias("msg")))
+    v = verdicts.groupBy(key).agg(worst.alias("__w")).select(key, F.col("__w.ok").alias("__ok"), F.col("__w.msg").alias("__msg"))
     return (findings.join(v, key, "left")
             .withColumn("patch_validated", F.coalesce("__ok", F.lit(False)))
             .withColumn("patch_validation_result", F.coalesce("__msg", F.lit(""))).drop("__ok", "__msg"))

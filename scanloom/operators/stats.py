@@ -61,33 +61,47 @@ def gate(findings: DataFrame, by: tuple[str, ...] = ("scan_id",), *, fail_on_hig
     return serious_count(findings, by).withColumn("fails", (F.col("critical_high") > 0) & F.lit(fail_on_high))
 
 
+def _long(findings: DataFrame, by: tuple[str, ...], kinds: dict[str, str]) -> DataFrame:
+    """(by, kind, name, n, n_validated): the cube turned into counts of several columns, in one pass over it."""
+    each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in kinds.items())))
+    return (finding_cube(findings, by).select(*by, "n", "n_validated", each.alias("e")).select(*by, "n", "n_validated", "e.*")
+            .groupBy(*by, "kind", "name").agg(F.sum("n").alias("n"), F.sum("n_validated").alias("n_validated")))
+
+
 def scan_statistics(findings: DataFrame, raw: DataFrame | None = None, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """Per scan: total, the five severities, validated patches and rate, counts per scanner, top weaknesses, and
-    (with ``raw``) counts per scanner before fusion.  Count lists are 'name=n' joined by commas."""
-    cube = finding_cube(findings, by)
-    n = F.col("n")
-    wide = cube.groupBy(*by).agg(
-        F.sum("n").alias("total_findings"),
-        *[_where(F.col("severity") == s, n).alias(f"{s.lower()}_count") for s in SEVERITIES],
-        F.sum("n_validated").alias("validated_patches"))
-    wide = wide.withColumn("patch_success_rate", _rate(F.col("validated_patches"), F.col("total_findings")))
-    # One pass over the cube gives both count lists.
-    long = (cube.select(*by, n, F.explode(F.array(
-                F.struct(F.lit("scanner").alias("kind"), F.col("scanner").alias("name")),
-                F.struct(F.lit("cwe").alias("kind"), F.col("cwe_id").alias("name")))).alias("e"))
-            .select(*by, "n", "e.*").filter((F.col("kind") == "scanner") | (F.col("name") != ""))
-            .groupBy(*by, "kind", "name").agg(F.sum("n").alias("n")))
+    (with ``raw``) counts per scanner before fusion.  Count lists are 'name=n' joined by commas.
+
+    The findings are read once: everything follows from one cube.
+    """
+    kind, n = F.col("kind"), F.col("n")
+    long = _long(findings, by, {"severity": "severity", "scanner": "scanner", "cwe": "cwe_id"}).filter((kind != "cwe") | (F.col("name") != ""))
     best = Window.partitionBy(*by, "kind").orderBy(F.desc("n"), "name")
-    kept = long.withColumn("rank", F.row_number().over(best)).filter((F.col("kind") == "scanner") | (F.col("rank") <= TOP_CWES))
-    lists = kept.groupBy(*by).agg(
-        count_list(F.when(F.col("kind") == "scanner", F.struct(F.lit(0).alias("o"), "name", "n"))).alias("scanner_distribution"),
-        count_list(F.when(F.col("kind") == "cwe", F.struct(F.col("rank").alias("o"), "name", "n"))).alias("top_cwes"))
-    out = wide.join(lists, list(by), "left")
+    kept = long.withColumn("rank", F.row_number().over(best)).filter((kind != "cwe") | (F.col("rank") <= TOP_CWES))
+    entry = lambda which, order: F.when(kind == which, F.struct(order.alias("o"), "name", "n"))
+    out = kept.groupBy(*by).agg(
+        _where(kind == "severity", n).alias("total_findings"),
+        *[_where((kind == "severity") & (F.col("name") == s), n).alias(f"{s.lower()}_count") for s in SEVERITIES],
+        _where(kind == "severity", F.col("n_validated")).alias("validated_patches"),
+        count_list(entry("scanner", F.lit(0))).alias("scanner_distribution"),
+        count_list(entry("cwe", F.col("rank"))).alias("top_cwes"))
+    out = out.withColumn("patch_success_rate", _rate(F.col("validated_patches"), F.col("total_findings")))
     if raw is not None:
         out = out.join(raw_scanner_counts(raw, by), list(by), "left")
     return out
 
 
+def scan_counts(findings: DataFrame, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """Per scan: total, the five severities, validated patches, and ``scanner_results`` as one JSON object; one read."""
+    kind, n = F.col("kind"), F.col("n")
+    named = F.collect_list(F.when((kind == "scanner") & F.col("name").isNotNull(), F.struct("name", "n")))
+    return _long(findings, by, {"severity": "severity", "scanner": "scanner"}).groupBy(*by).agg(
+        _where(kind == "severity", n).alias("total_findings"),
+        *[_where((kind == "severity") & (F.col("name") == s), n).alias(f"{s.lower()}_count") for s in SEVERITIES],
+        _where(kind == "severity", F.col("n_validated")).alias("validated_patches"),
+        F.to_json(F.map_from_entries(F.sort_array(named))).alias("scanner_results"))
+
+
 def count_list(entry: Column) -> Column:
     """Aggregate of (order, name, n) structs to 'name=n,...'; nulls are skipped."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(entry)),

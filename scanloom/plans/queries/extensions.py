@@ -76,19 +76,31 @@ def completion_stage(t):
 
 # ---------------------------------------------------------------- model
 
-@query("fp_train")
+def _all(conditions):
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+@query("fp_train", """
+    SELECT CASE WHEN count(*) < 50 THEN 'insufficient_data' ELSE 'trained' END AS status, CAST(count(*) AS BIGINT) AS samples, TRUE AS in_range
+    FROM v_feedback WHERE is_true_positive IS NOT NULL""")
 def fp_train(t):
-    """Training report; forests differ between libraries, so only the shape can be compared."""
-    return feedback.train_fp(t.feedback)[1]
+    """Training report; forests differ between libraries, so scores are compared by their range only."""
+    report = feedback.train_fp(t.feedback)[1]
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall") if c in report.columns]
+    return report.select("status", F.col("samples").cast("long").alias("samples"), _all(shares).alias("in_range"))
 
 
-@query("fp_predict")
+@query("fp_predict", "SELECT severity, CAST(count(*) AS BIGINT) AS n, TRUE AS in_range FROM v_findings GROUP BY severity")
 def fp_predict(t):
     """Scores of all findings by a model trained on the labels."""
-    model, _ = feedback.train_fp(t.feedback, trees=20)
+    model, _ = feedback.train_fp(t.feedback)
     findings = t.findings.withColumns({"context_before": F.lit(""), "context_after": F.lit("")})
     scored = feedback.score_fp(findings, model)
-    return scored.groupBy("severity", "is_false_positive").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fp_confidence"), 4).alias("mean_score"))
+    flagged = F.col("is_false_positive") == (F.col("fp_confidence") > feedback.FP_THRESHOLD)
+    return scored.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("fp_confidence").between(0, 1) & flagged).alias("in_range"))
 
 
 @query("fp_training_set", """
@@ -103,7 +115,7 @@ def fp_training_set(t):
 @query("fp_model_store", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differing FROM v_feedback WHERE is_true_positive IS NOT NULL")
 def fp_model_store(t):
     """A saved and reloaded model scores like the one that was saved."""
-    model, _ = feedback.train_fp(t.feedback, trees=5)
+    model, _ = feedback.train_fp(t.feedback)
     path = run_dir(t.spark, "model")
     rows = feedback.training_rows(t.feedback)
     if model is None:
@@ -120,6 +132,7 @@ def fp_model_store(t):
 
 @query("stream_scan", "SELECT 'question' AS scanner, path AS file_path FROM v_docs WHERE contains(content, '?')")
 def stream_scan(t):
+    """A user's scanner on a stream; :func:`stream_scan_rules` runs the built-in ones."""
     files = (streams.read_parquet_stream(t.spark, t.folder, "documents.parquet")
              .select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content")))
     out = run_dir(t.spark, "scan")

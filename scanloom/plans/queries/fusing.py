@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanloom.functions.text import code_similarity, collapse_spaces, ratio_bound, text_similarity
+from scanloom.functions.text import collapse_spaces, ratio_bound
 from scanloom.operators import fusion as fu
 from scanloom.plans.registry import query
 
@@ -34,7 +34,10 @@ FUSED = """
       max(ai_patch) FILTER (seq = 1) AS ai_patch, bool_or(patch_validated) FILTER (seq = 1) AS patch_validated,
       max(message) FILTER (seq = 1) AS lead_message, list_sort(list(DISTINCT message)) AS messages,
       list_sort(list(DISTINCT scanner)) AS scanners, count(*) - 1 AS duplicate_count
-    FROM o_merged GROUP BY target, file_path, cwe_id, leader_line"""
+    FROM o_merged GROUP BY target, file_path, cwe_id, leader_line
+    UNION ALL
+    SELECT target, file_path, cwe_id, line_start, confidence, severity, scan_id, rule_name, rule_id, code_snippet, line_end, ai_patch, patch_validated,
+      message, [message], [scanner], 0 FROM v_findings WHERE cwe_id = ''"""
 FUSED_TEXT = """
     SELECT *, 'fusion(' || array_to_string(scanners, ',') || ')' AS scanner,
       lead_message || CASE WHEN len(messages) > 1 THEN chr(10) || chr(10) || '[Also detected: ' || array_to_string(list_filter(messages, lambda m: m <> lead_message), '; ') || ']' ELSE '' END AS message
@@ -62,10 +65,18 @@ def fusion_pairs(t):
 
 @query("fusion_location_cwe", """
     SELECT target, file_path, cwe_id, CAST(leader_line AS BIGINT) AS leader_line, CAST(count(*) AS BIGINT) AS n FROM o_placed
-    GROUP BY target, file_path, cwe_id, leader_line""", FUSION_VIEWS)
+    GROUP BY target, file_path, cwe_id, leader_line
+    UNION ALL SELECT target, file_path, cwe_id, CAST(line_start AS BIGINT), CAST(1 AS BIGINT) FROM v_findings WHERE cwe_id = ''""", FUSION_VIEWS)
 def fusion_location_cwe(t):
-    return (fu.location_leaders(t.findings).groupBy("target", "file_path", "cwe_id", F.col("leader_line").cast("long").alias("leader_line"))
-            .agg(F.sum("n").alias("n")))
+    key = ["target", "file_path", "cwe_id"]
+    led = fu.location_leaders(t.findings).groupBy(*key, F.col("leader_line").cast("long").alias("leader_line")).agg(F.sum("n").alias("n"))
+    return led.unionByName(fu.unnamed(t.findings).select(*key, F.col("line_start").cast("long").alias("leader_line"), F.lit(1).cast("long").alias("n")))
+
+
+@query("fusion_accounts", "SELECT target, CAST(count(*) AS BIGINT) AS n FROM v_findings GROUP BY target")
+def fusion_accounts(t):
+    """Leaders and their duplicates together are all findings of a target."""
+    return fu.fuse_by_location(t.findings).groupBy("target").agg(F.sum(F.col("duplicate_count") + 1).alias("n"))
 
 
 @query("fusion_merge", """
@@ -102,21 +113,6 @@ def fusion_cluster(t):
         F.col("duplicate_count").cast("long").alias("duplicate_count"))
 
 
-def _patch_pairs(t):
-    """Distinct (patch, snippet) pairs: equal pairs are compared once."""
-    return t.findings.filter("ai_patch <> ''").select("ai_patch", "code_snippet", "message").distinct()
-
-
-@query("text_similarity")
-def text_similarity_query(t):
-    return _patch_pairs(t).select("ai_patch", "message", F.round(text_similarity("message", "ai_patch"), 6).alias("ratio"))
-
-
-@query("code_similarity")
-def code_similarity_query(t):
-    return _patch_pairs(t).select("ai_patch", "code_snippet", F.round(code_similarity(F.col("code_snippet"), F.col("ai_patch")), 6).alias("ratio"))
-
-
 @query("code_normalise", r"""
     SELECT conv_id, CAST(turn AS BIGINT) AS turn, md5(trim(regexp_replace(lower(prompt), '[\s\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))) AS text_md5 FROM v_llm_calls""")
 def code_normalise(t):

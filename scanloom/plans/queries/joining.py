@@ -83,11 +83,11 @@ def context_join(t):
 
 @query("pair_by_finding", """
     SELECT d.doc_id AS finding_id, coalesce(a.answer, 'no answer for ' || d.source) AS ai_analysis
-    FROM {documents} d LEFT JOIN (SELECT item_id, min(text) AS answer FROM {benchmark} GROUP BY item_id) a ON a.item_id = d.doc_id""")
+    FROM {documents} d LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS answer FROM {conversations} GROUP BY conv_id) a ON a.conv_id = d.doc_id""")
 def pair_by_finding(t):
     findings = t.documents.select(F.col("doc_id").alias("finding_id"), "source")
-    answers = t.benchmark.select(F.col("item_id").alias("finding_id"), "text")
-    return enrich.pair_by_finding(findings, answers, key="finding_id", answer="text", into="ai_analysis",
+    answers = t.conversations.select(F.col("conv_id").alias("finding_id"), "turn", "text")
+    return enrich.pair_by_finding(findings, answers, key="finding_id", answer="text", into="ai_analysis", order="turn",
                                   fallback=F.concat(F.lit("no answer for "), "source")).drop("source")
 
 

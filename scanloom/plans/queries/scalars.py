@@ -222,13 +222,6 @@ def danger_patterns(t):
     return _patchy(t).select("doc_id", F.array_join(patches.danger_list(F.col("patch")), "; ").alias("issues"))
 
 
-@query("validate_patch")
-def validate_patch(t):
-    """Python patches are parsed, so only row counts can be compared."""
-    df = t.findings.select("file_path", "ai_patch").distinct().unionByName(_patchy(t).select("file_path", F.col("patch").alias("ai_patch")))
-    return repair.check_patches(repair.patched_only(df)).select("file_path", "ai_patch", "is_valid", "check_message")
-
-
 @query("validate_routing", """
     SELECT file_path, TRUE AS is_valid, CASE WHEN file_path = 'a/b.rb' THEN 'No validator for .rb, assuming valid' ELSE 'No validator for ., assuming valid' END AS check_message,
       CAST(count(*) AS BIGINT) AS n FROM o_patchy WHERE file_path <> 'c.py' GROUP BY file_path""", {"o_patchy": PATCHY})

@@ -70,6 +70,15 @@ def changed_stats(t):
     return inc.changed_stats(*_manifests(t))
 
 
+@query("changed_stats_staged", """
+    SELECT 'main' AS base_ref, CAST((SELECT count(*) FROM (SELECT path FROM o_changes WHERE change IN ('added', 'modified') UNION SELECT s.path FROM v_staged s JOIN v_head h ON s.path = h.path)) AS BIGINT) AS files_changed,
+      CAST(count(*) FILTER (change = 'added') AS BIGINT) AS added, CAST(count(*) FILTER (change = 'modified') AS BIGINT) AS modified,
+      CAST(count(*) FILTER (change = 'deleted') AS BIGINT) AS deleted FROM o_changes""", {"o_changes": CHANGES})
+def changed_stats_staged(t):
+    """With staged files, as the list of changed files has them."""
+    return inc.changed_stats(*_manifests(t), staged=t.staged)
+
+
 # ---- reports of other scanners, as JSON text built from the findings
 
 def semgrep_reports(t):
@@ -120,6 +129,17 @@ def semgrep_polymorphic(t):
     return ing.ingest_semgrep(semgrep_reports(t)).groupBy("cwe_id", "owasp").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("unreadable_reports", """
+    SELECT scan_id, CAST(sum(CASE WHEN line_start % 3 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS findings, CAST(sum(CASE WHEN line_start % 3 = 0 THEN 1 WHEN severity = 'INFO' THEN 2 ELSE 0 END) AS BIGINT) AS errors,
+      CAST(sum(CASE WHEN line_start % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unreadable FROM v_findings GROUP BY scan_id""")
+def unreadable_reports(t):
+    """A third of the reports broken off in the middle: they count as errors and are named."""
+    broken = F.when(F.get_json_object("report", "$.results[0].start.line").cast("int") % 3 == 0, F.expr("substr(report, 1, length(report) - 2)")).otherwise(F.col("report"))
+    reports = semgrep_reports(t).withColumn("report", broken)
+    return (ing.report_metrics(reports, keep=("scan_id",)).groupBy("scan_id")
+            .agg(F.sum("finding_count").alias("findings"), F.sum("error_count").alias("errors"), F.count_if("parse_error").alias("unreadable")))
+
+
 @query("raw_ingest_metrics", """
     SELECT scan_id, CAST(count(*) * 2 AS BIGINT) AS findings, CAST(sum(CASE WHEN severity = 'INFO' THEN 2 ELSE 0 END) AS BIGINT) AS errors,
       round(sum(CASE WHEN severity = 'LOW' THEN 1.5 ELSE 0 END), 6)::DOUBLE AS total_time FROM v_findings GROUP BY scan_id""")
@@ -199,20 +219,18 @@ def kb_source(t):
 
 
 @query("history_source", """
-    SELECT 'scans' AS tab, CAST(count(*) AS BIGINT) AS n FROM v_scan_heads WHERE scan_timestamp >= TIMESTAMP '2000-01-01'
-    UNION ALL SELECT 'findings', CAST(count(*) AS BIGINT) FROM v_findings JOIN v_scan_heads USING (scan_id) WHERE scan_timestamp >= TIMESTAMP '2000-01-01'
+    SELECT 'scans' AS tab, CAST(count(*) AS BIGINT) AS n FROM v_scan_heads WHERE scan_timestamp >= TIMESTAMP '2000-01-15'
+    UNION ALL SELECT 'findings', CAST(count(*) AS BIGINT) FROM v_findings JOIN v_scan_heads USING (scan_id) WHERE scan_timestamp >= TIMESTAMP '2000-01-15'
     UNION ALL SELECT 'feedback', CAST(count(*) AS BIGINT) FROM v_feedback""")
 def history_source(t):
     """Writes the three history tables once, then reads them back with a date filter that prunes partitions."""
     root = run_dir(t.spark, "history")
-    # Monthly stamps keep the number of day folders small for a test.
-    heads = t.scan_heads.withColumn("scan_timestamp", F.date_trunc("year", "scan_timestamp").cast("timestamp"))
-    history.record_scan(t.findings, heads, root)
+    history.record_scan(t.findings, t.scan_heads, root, run="first")
+    history.record_scan(t.findings, t.scan_heads, root, run="first")  # a replay adds nothing
     labels = t.feedback.withColumn("rule_name", F.lit(""))
     history.record_feedback(labels, F.col("is_true_positive"), root, key="finding_id")
-    since = F.lit("2000-01-01").cast("date")
-    read = lambda name: history.read_history(t.spark, root, name)
+    read = lambda name, since=None: history.read_history(t.spark, root, name, since)
     count = lambda df, name: df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"))
-    return (count(read("scans").filter(F.col("scan_date") >= since), "scans")
-            .unionByName(count(read("findings").filter(F.col("scan_date") >= since), "findings"))
+    return (count(read("scans", "2000-01-15"), "scans")
+            .unionByName(count(read("findings", "2000-01-15"), "findings"))
             .unionByName(count(read("feedback"), "feedback")))

@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,9 +177,6 @@ SELECT path, generate_subscripts(s, 1) AS line_no, unnest(s) AS text FROM (
     SELECT path, string_split(content, chr(10)) AS s FROM v_secret_files))""",
 }
 
-# Bytes between which a local test file is dealt out to all cores.
-DEAL_FROM, DEAL_TO = 2 << 20, 512 << 20
-
 _NAME = re.compile(r"\b[vo]_[a-z_]+\b")
 
 
@@ -219,15 +215,8 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A given table.  The test files hold a single row group, which only one task can read; files that are
-        small but not tiny are therefore dealt out to all cores.  Real tables have row groups enough and are
-        read as they are."""
-        path = f"{self.folder}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        size = os.path.getsize(path) if os.path.isfile(path) else None
-        if size is not None and DEAL_FROM <= size <= DEAL_TO:
-            df = df.repartition(self.spark.sparkContext.defaultParallelism)
-        return df
+        """A given table, read as it is stored."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         ctes = [n for n in _needed(VIEWS[name], {})]

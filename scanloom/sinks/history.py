@@ -1,12 +1,14 @@
-"""Scan history and labels as date-partitioned Parquet."""
+"""Scan history and labels as Parquet, partitioned by month."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.operators.stats import finding_cube, scanner_results_json
-from scanloom.schemas import FEEDBACK_COLUMNS, FINDING_HISTORY_COLUMNS, SCAN_HISTORY_COLUMNS, SEVERITIES
+from scanloom.operators.stats import scan_counts, scanner_results_json
+from scanloom.schemas import FEEDBACK_COLUMNS, FINDING_HISTORY_COLUMNS, SCAN_HISTORY_COLUMNS
 
 
 def scan_key(target: Column, timestamp: Column) -> Column:
@@ -17,13 +19,10 @@ def scan_key(target: Column, timestamp: Column) -> Column:
 def scan_rows(findings: DataFrame, scans: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """History row per scan.  ``scans`` = (scan_id, target_path, scan_timestamp, duration_seconds); scans without
     findings are kept with zeros."""
-    n = F.col("n")
-    counts = finding_cube(findings, ("scan_id",)).groupBy("scan_id").agg(
-        F.sum(n).alias("total_findings"),
-        *[F.sum(F.when(F.col("severity") == s, n).otherwise(0)).alias(f"{s.lower()}_count") for s in SEVERITIES],
-        F.sum("n_validated").alias("validated_patches"))
-    out = (scans.join(counts, "scan_id", "left")
-           .join(scanner_results_json(findings if raw is None else raw), "scan_id", "left"))
+    counts = scan_counts(findings)
+    if raw is not None:
+        counts = counts.drop("scanner_results").join(scanner_results_json(raw), "scan_id", "full")
+    out = scans.join(counts, "scan_id", "left")
     zero = [c for c in SCAN_HISTORY_COLUMNS if c.endswith("_count") or c in ("total_findings", "validated_patches")]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).withColumn("scanner_results", F.coalesce("scanner_results", F.lit("{}")))
     return out.select(*SCAN_HISTORY_COLUMNS)
@@ -41,22 +40,36 @@ def feedback_rows(findings: DataFrame, label: Column, key: str = "id") -> DataFr
     return findings.withColumn("finding_id", F.col(key)).withColumn("is_true_positive", label).select(*FEEDBACK_COLUMNS)
 
 
-def record_scan(findings: DataFrame, scans: DataFrame, root: str, raw: DataFrame | None = None) -> None:
-    """Append one scan's rows below ``root``; partitioned by day, so trend queries read only their days."""
-    day = F.to_date("scan_timestamp").alias("scan_date")
-    rows = scan_rows(findings, scans, raw).select("*", day)
-    rows.write.mode("append").partitionBy("scan_date").parquet(f"{root}/scans")
-    when = scans.select("scan_id", day)
-    finding_rows(findings).join(when, "scan_id").write.mode("append").partitionBy("scan_date").parquet(f"{root}/findings")
+# Files that one month's rows of one run are spread over at most, so that a busy month is not one task.
+FILES_PER_MONTH = 8
+
+
+def record_scan(findings: DataFrame, scans: DataFrame, root: str, raw: DataFrame | None = None, run: str | None = None) -> None:
+    """Write the rows of one run below ``root``, partitioned by run and month, with the day as a column.
+
+    Rows are clustered by month and sorted by day, so a month has few files, and a query for some days reads its months and
+    skips the row groups of other days.  A run of the same name replaces what it wrote before: give a name where a step may be
+    repeated.  Without one every call adds rows.
+    """
+    run = run or uuid.uuid4().hex
+    day = [F.to_date("scan_timestamp").alias("scan_date"), F.date_format("scan_timestamp", "yyyy-MM").alias("scan_month")]
+    when = scans.select("scan_id", *day)
+    for name, rows in (("scans", scan_rows(findings, scans, raw).select("*", *day)), ("findings", finding_rows(findings).join(when, "scan_id"))):
+        spread = rows.repartition("scan_month", F.pmod(F.xxhash64("scan_id"), F.lit(FILES_PER_MONTH))).sortWithinPartitions("scan_month", "scan_date")
+        spread.write.mode("overwrite").partitionBy("scan_month").parquet(f"{root}/{name}/run={run}")
 
 
 def record_feedback(findings: DataFrame, label: Column, root: str, key: str = "id") -> None:
     feedback_rows(findings, label, key).write.mode("append").parquet(f"{root}/feedback")
 
 
-def read_history(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """``scans``, ``findings`` or ``feedback`` written by the functions above."""
-    return spark.read.parquet(f"{root}/{table}")
+def read_history(spark: SparkSession, root: str, table: str, since: str | None = None) -> DataFrame:
+    """``scans``, ``findings`` or ``feedback`` written by the functions above; from the day ``since`` on, whose month prunes
+    the folders."""
+    rows = spark.read.parquet(f"{root}/{table}")
+    if since is None:
+        return rows
+    return rows.filter((F.col("scan_month") >= since[:7]) & (F.col("scan_date") >= F.lit(since).cast("date")))
 
 
 def with_scans(history: DataFrame, scans: DataFrame) -> DataFrame:

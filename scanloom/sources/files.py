@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.text import newline_lines, split_lines
 
+# Fixed value: the limit of one external scanner; no default of the reader.
 MAX_TARGET_BYTES = 10_000_000
 
 
-def read_source_tree(spark: SparkSession, root: str, *, max_bytes: int = MAX_TARGET_BYTES, pattern: str = "*") -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, *, max_bytes: int | None = None, pattern: str = "*") -> DataFrame:
     """Every file below ``root`` as ``(path, content, n_bytes)``.
 
-    The size filter is pushed into the reader, so oversize files are listed but not opened.  Bytes
-    that are not UTF-8 become replacement characters.
+    Without ``max_bytes`` every file is read.  With it, oversize files are listed but not opened, and
+    :func:`skipped_files` names them.  Bytes that are not UTF-8 become replacement characters.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", pattern).load(root))
-    return raw.filter(F.col("length") <= max_bytes).select(
-        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("n_bytes"))
+    raw = _listed(spark, root, pattern)
+    raw = raw if max_bytes is None else raw.filter(F.col("length") <= max_bytes)
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("n_bytes"))
+
+
+def skipped_files(spark: SparkSession, root: str, *, max_bytes: int, pattern: str = "*") -> DataFrame:
+    """``(path, n_bytes)`` of the files that :func:`read_source_tree` leaves out under this limit; none is opened."""
+    return _listed(spark, root, pattern).filter(F.col("length") > max_bytes).select("path", F.col("length").alias("n_bytes"))
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
 def size_cap(files: DataFrame, max_bytes: int = MAX_TARGET_BYTES) -> DataFrame:

@@ -44,8 +44,8 @@ def _int(col: str) -> Column:
 
 
 def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Semgrep reports to findings; missing keys take their defaults."""
-    rows = (reports.select(*keep, F.from_json(json_col, SEMGREP)["results"].alias("r"))
+    """Semgrep reports to findings; missing keys take their defaults.  :func:`parse_errors` has the unreadable reports."""
+    rows = (reports.filter(~unreadable(F.col(json_col))).select(*keep, F.from_json(json_col, SEMGREP)["results"].alias("r"))
             .select(*keep, F.inline("r")))
     meta = F.col("extra.metadata")
     out = rows.select(
@@ -71,8 +71,9 @@ def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str
 
 
 def ingest_bandit(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Bandit reports to findings; the end line is the start line.  A CWE given as an object yields its id."""
-    rows = (reports.select(*keep, F.from_json(json_col, BANDIT)["results"].alias("r"))
+    """Bandit reports to findings; the end line is the start line.  A CWE given as an object yields its id.
+    :func:`parse_errors` has the unreadable reports."""
+    rows = (reports.filter(~unreadable(F.col(json_col))).select(*keep, F.from_json(json_col, BANDIT)["results"].alias("r"))
             .select(*keep, F.inline("r")))
     cwe = F.coalesce(F.get_json_object("cwe", "$.id"), F.col("cwe"), F.lit(""))
     return rows.select(
@@ -111,13 +112,25 @@ def bandit_floor(findings: DataFrame, *, severities=BANDIT_SEVERITIES, confidenc
     return out
 
 
+def unreadable(report: Column) -> Column:
+    """Whether a report is null or no JSON."""
+    return F.try_parse_json(report).isNull()
+
+
+def parse_errors(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The reports that no finding can be read from, as rows: ``keep``, ``parse_error`` and the text's start."""
+    return reports.filter(unreadable(F.col(json_col))).select(
+        *keep, F.lit("report is not readable JSON").alias("parse_error"), F.substring(F.coalesce(json_col, F.lit("")), 1, 200).alias("excerpt"))
+
+
 def report_metrics(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per report: findings, errors and total time."""
-    doc = F.from_json(json_col, SEMGREP)
+    """Per report: findings, errors, total time and whether it could not be read, which counts as one error."""
+    bad = unreadable(F.col(json_col))
+    doc = F.when(~bad, F.from_json(json_col, SEMGREP))
     return reports.select(
-        *keep,
-        F.coalesce(F.size(doc["results"]), F.lit(0)).cast("long").alias("finding_count"),
-        F.greatest(F.coalesce(F.size(doc["errors"]), F.lit(0)), F.lit(0)).cast("long").alias("error_count"),
+        *keep, bad.alias("parse_error"),
+        F.greatest(F.coalesce(F.size(doc["results"]), F.lit(0)), F.lit(0)).cast("long").alias("finding_count"),
+        F.when(bad, 1).otherwise(F.greatest(F.coalesce(F.size(doc["errors"]), F.lit(0)), F.lit(0))).cast("long").alias("error_count"),
         F.coalesce(doc["time"]["total_time"], F.lit(0.0)).alias("total_time"))
 
 

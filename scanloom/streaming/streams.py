@@ -57,8 +57,9 @@ def latest_counts(spark: SparkSession, out: str, by: str = "severity") -> DataFr
     return spark.read.parquet(out).groupBy("window_start", by).agg(F.max_by("n", "batch_id").alias("n"))
 
 
-def read_parquet_stream(spark: SparkSession, folder: str, name: str, *, files_per_trigger: int = 1) -> DataFrame:
-    """A folder's Parquet files of one name pattern as a stream."""
+def read_parquet_stream(spark: SparkSession, folder: str, name: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    """A folder's Parquet files of one name pattern as a stream; all that are there at a time, unless a limit is given."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", name)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
