@@ -189,9 +189,50 @@ def test_completion_failures_become_fallbacks(spark):
             raise RuntimeError("down")
         return [t.upper() for t in texts]
 
-    answers = plugins.completion_stage(df.repartition(2, "id"), client, concurrency=2)
-    paired = enrich.pair_by_finding(df, answers, key="id", answer="response", into="ai", fallback="none")
-    assert set(r.ai for r in paired.collect()) <= {"P", "none"}
+    for options in ({}, {"concurrency": 2}, {"batch": 1}):
+        answers = plugins.completion_stage(df.coalesce(1), client, **options)
+        paired = enrich.pair_by_finding(df, answers, key="id", answer="response", into="ai", fallback="none")
+        assert {r.id: r.ai for r in paired.collect()} == {"a": "P", "b": "none"}  # one failure costs one answer
+
+
+def test_last_answer_stands(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "id string")
+    answers = spark.createDataFrame([("a", 1, "z"), ("a", 2, "m")], "id string, turn int, text string")
+    out = enrich.pair_by_finding(df, answers, key="id", answer="text", into="ai", order="turn", fallback="none")
+    assert {r.id: r.ai for r in out.collect()} == {"a": "m", "b": "none"}
+
+
+def test_verdicts_of_repeated_ids(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
+    verdicts = spark.createDataFrame([("a", True, "ok"), ("a", False, "bad"), ("c", True, "ok")], "id string, is_valid boolean, check_message string")
+    out = repair.attach_verdicts(df, verdicts).collect()
+    assert sorted((r.id, r.patch_validated, r.patch_validation_result) for r in out) == [("a", False, "bad"), ("a", False, "bad"), ("b", False, "")]
+
+
+def test_chain_position(spark):
+    df = spark.createDataFrame([("openai",), ("ollama",), ("none",)], "p string")
+    assert [r.c for r in df.select(repair.chain_position(F.col("p"), ["openai", "ollama"]).alias("c")).collect()] == [0, 1, None]
+
+
+def test_statistics_read_their_input_once(spark, tmp_path):
+    path = str(tmp_path / "f")
+    spark.createDataFrame([(1, "HIGH", "s", "CWE-1", True), (1, "LOW", "t", "", False), (2, None, "s", None, None)],
+                          "scan_id int, severity string, scanner string, cwe_id string, patch_validated boolean").write.parquet(path)
+    df = spark.read.parquet(path)
+    out = {r.scan_id: r for r in stats.scan_statistics(df).collect()}
+    assert (out[1].total_findings, out[1].high_count, out[1].validated_patches, out[1].scanner_distribution, out[1].top_cwes) == (2, 1, 1, "s=1,t=1", "CWE-1=1")
+    assert (out[2].total_findings, out[2].top_cwes) == (1, "")
+    for one in (stats.scan_statistics(df), stats.scan_counts(df)):
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_labels_keep_their_rows(spark):
+    labels = spark.createDataFrame([("a", 1, "LOW", "x", "m", "s"), ("gone", 0, "LOW", "x", "m", "s")],
+                                   "finding_id string, is_true_positive int, severity string, code_snippet string, message string, scanner string")
+    full = spark.createDataFrame([("a", 0.9, "", "", "CWE-1", "r", 1, 3), ("a", 0.8, "", "", "CWE-2", "r", 1, 2)],
+                                 "id string, confidence double, context_before string, context_after string, cwe_id string, rule_name string, line_start int, line_end int")
+    rows = {r.finding_id: r for r in feedback.training_rows(labels, full).collect()}
+    assert set(rows) == {"a", "gone"} and rows["a"].confidence == 0.8 and rows["gone"].confidence == 0.7
 
 
 def test_incremental(spark):
@@ -203,6 +244,7 @@ def test_incremental(spark):
     assert sorted(r.path for r in incremental.changed_files(base, head, staged).collect()) == ["a", "b", "new"]
     r = incremental.changed_stats(base, head).first()
     assert (r.files_changed, r.added, r.modified, r.deleted) == (2, 1, 1, 1)
+    assert incremental.changed_stats(base, head, staged=staged).first().files_changed == 3
     assert incremental.changed_files(base, base).count() == 0
 
 

@@ -154,6 +154,8 @@ def test_source_tree(spark, tmp_path):
     (tmp_path / "big.txt").write_text("y" * 100)
     got = {r.path.rsplit("/", 1)[-1]: (r.content, r.n_bytes) for r in src.read_source_tree(spark, str(tmp_path), max_bytes=50).collect()}
     assert got == {"a.py": ("x = 1\n", 6)}
+    assert [r.n_bytes for r in src.skipped_files(spark, str(tmp_path), max_bytes=50).collect()] == [100]
+    assert src.read_source_tree(spark, str(tmp_path)).count() == 2  # no limit unless one is given
     assert [r.text for r in src.source_lines(src.read_source_tree(spark, str(tmp_path / "d"))).collect()] == ["x = 1"]
 
 
@@ -161,6 +163,13 @@ def reports(spark, *docs):
     return spark.createDataFrame([(json.dumps(d),) for d in docs], "report string")
 
 
+def test_unreadable_reports_are_rows(spark):
+    df = spark.createDataFrame([(1, '{"results": [{"check_id": "a.b"}]}'), (2, '{"results": [{"check'), (3, None)], "n int, report string")
+    assert [r.n for r in ing.ingest_semgrep(df, keep=("n",)).collect()] == [1]
+    assert {r.n: (r.finding_count, r.error_count, r.parse_error) for r in ing.report_metrics(df, keep=("n",)).collect()} == {1: (1, 0, False), 2: (0, 1, True), 3: (0, 1, True)}
+    assert sorted(r.n for r in ing.parse_errors(df, keep=("n",)).collect()) == [2, 3]
+
+
 def test_semgrep_shapes(spark):
     def result(**extra):
         return {"check_id": "a.b.rule", "path": "p.py", "start": {"line": 3, "col": 1}, "end": {"line": 4, "col": 2}, "extra": extra}
