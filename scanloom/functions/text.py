@@ -8,8 +8,8 @@ away from Python.
 from __future__ import annotations
 
 import difflib
+import hashlib
 from collections import Counter
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,10 +60,21 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
-@lru_cache(maxsize=200_000)
+# Ratios a Python worker has computed, by digest of both texts, so that no text is kept: some 20 MB when full.
+_RATIOS: dict[bytes, float] = {}
+_MOST_RATIOS = 200_000
+
+
 def sequence_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio with the standard defaults; not symmetric, ``a`` is the leader."""
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    digest = hashlib.blake2b(a.encode("utf-8", "surrogatepass"), digest_size=16)
+    digest.update(b"\xff" + b.encode("utf-8", "surrogatepass"))
+    key = digest.digest()
+    if key not in _RATIOS:
+        if len(_RATIOS) >= _MOST_RATIOS:
+            _RATIOS.clear()
+        _RATIOS[key] = difflib.SequenceMatcher(None, a, b).ratio()
+    return _RATIOS[key]
 
 
 def reaches(a: str, b: str, bound: float) -> bool:

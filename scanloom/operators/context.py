@@ -55,15 +55,16 @@ def add_context(findings: DataFrame, files: DataFrame, *, before: int = BEFORE,
     """Findings with ``context_before`` / ``context_after`` from their file; '' when the file or line is missing.
 
     What is wanted is first reduced to the distinct start lines (for the text before) and end lines (for the text
-    after) of every file, in chunks of :data:`CHUNK` lines, so a request holds at most two chunks of numbers.  A
-    file's text meets each of its requested chunks once, never each finding, and a range of lines is a slice of its
-    array.  The two texts then join the findings on (file, line).
+    after) of every file, counted in chunks of :data:`CHUNK` lines and then put into one row, which is no longer than
+    the file has lines.  So a file's text meets its requests once and is split once, and a range of lines is a slice
+    of its array.  The two texts then join the findings on (file, line).
     """
     ask = lambda side, line: findings.select(F.col("file_path").alias("path"), F.col(line).alias("line"), F.lit(side).alias("side"))
     at = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("line")))
-    wanted = (ask("start", "line_start").unionByName(ask("end", "line_end"))
+    chunks = (ask("start", "line_start").unionByName(ask("end", "line_end"))
               .groupBy("path", F.floor(F.col("line") / CHUNK).alias("chunk"))
               .agg(at("start").alias("starts"), at("end").alias("ends")))
+    wanted = chunks.groupBy("path").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")))
     served = materialise(_with_lines(wanted.join(files.select("path", "content"), "path")).select(
         F.col("path").alias("file_path"),
         # A start line past the end of the file has no context at all, on either side.
