@@ -23,6 +23,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Count and 128-bit sum of hashes of a set of edges; equal sets have equal ones."""
+    hashed = (F.sum(F.xxhash64("a", "b", F.lit(i)).cast("decimal(38,0)")) for i in (1, 2))
+    return tuple(edges.agg(F.count("*"), *hashed).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node that has an edge, and the smallest node reachable from it.
 
@@ -31,11 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
     chain; a hot node is only ever a group key of partial minima and one side of a join, which Spark splits.  No edges: no rows.
     """
     now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    seen = _fingerprint(now)
     while True:
-        after = materialise(_small_star(_large_star(now)), "edges")
-        changed = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
+        now = materialise(_small_star(_large_star(now)), "edges")
+        before, seen = seen, _fingerprint(now)
+        if seen == before:
             break
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -11,6 +11,7 @@ is confirmed is joined into components.  Then only documents of different compon
 already connected is skipped whole.  Nothing is lost by that: a pair left out lies inside one component.  Of these documents, each counts
 its shingles that any other of them has at all.  A pair cannot have more in common than the smaller count, which must reach the
 overlap that the similarity asks of two sets of their sizes: variants of one text that each differ too much do not meet pairwise.
+The others meet in one list only, and only if wide signatures, made for these documents alone, agree often enough.
 
 With similarity 0.8, 64 coordinates and 36 agreements a true pair is missed with probability below 1e-5 at exactly 0.8 and falling
 fast above it.  Equal sets are joined before, by their fingerprints.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.components import components
@@ -31,10 +32,12 @@ from scanloom.llm.words import chunks, lowered, mix, separators, word_hashes
 
 _TABLE = separators()
 _rng = np.random.RandomState(77)
-_MUL = _rng.randint(0, 2**62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.randint(0, 2**62, 256, dtype=np.int64).astype(np.uint64)
+_MUL = _rng.randint(0, 2**62, 512, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.randint(0, 2**62, 512, dtype=np.int64).astype(np.uint64)
 #: Shingles of one text that meet all coordinates at a time.
 _STEP = 4096
+#: Coordinates, a byte of each, of the signature of the few documents left for pairwise comparison.
+WIDE = 512
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -91,6 +94,21 @@ def shared_counts(texts: DataFrame, words: int) -> DataFrame:
     return posts.join(common, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("u"))
 
 
+def wide_least(percent: int) -> int:
+    """Agreements of wide signatures that a pair of this similarity misses with probability below 1e-7."""
+    p = percent / 100
+    return int(WIDE * p - 5.36 * (WIDE * p * (1 - p)) ** 0.5)
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, sig): the wide signature of each document of the table."""
+    def run(batch: pa.RecordBatch):
+        sets = shingle_sets(batch.column(1).to_pylist(), words)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s, WIDE).astype(np.int8) for s in sets], pa.list_(pa.int8()))], ["rep", "sig"])
+
+    return batches(texts.select("doc", "text"), run, "rep long, sig array<tinyint>")
+
+
 def prefixes(reps: DataFrame, coords: int, least: int) -> DataFrame:
     """(rep, n, coord, value): the rarest ``coords - least + 1`` pairs of each document, without those that nobody shares."""
     posts = reps.select("rep", "n", F.posexplode("sig").alias("coord", "value"))
@@ -100,12 +118,16 @@ def prefixes(reps: DataFrame, coords: int, least: int) -> DataFrame:
     return kept.select("rep", "n", F.explode("p").alias("p")).select("rep", "n", "p.coord", "p.value")
 
 
+def agreement() -> Column:
+    """Coordinates in which the signatures ``sa`` and ``sb`` agree."""
+    return F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, least: int, percent: int) -> DataFrame:
     """Pairs (a, b) that agree on ``least`` coordinates and whose full sets reach the similarity."""
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = (pairs.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
             .join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-            .filter(agree >= least).select("a", "b"))
+            .filter(agreement() >= least).select("a", "b"))
     both = (near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -156,10 +178,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = materialise(placed.join(open_lists, ["coord", "value"], "left_semi").select("coord", "value", "rep", "n", "c"), "open")
     counts = shared_counts(texts.join(left.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), words)
     # 100 i >= percent (n + m - i) asks for (100 + percent) i >= percent (n + m); alone, i >= percent n / 100.
-    left = materialise(left.join(counts, "rep").filter(f"100 * u >= {percent} * n"), "open")
-    right = left.select("coord", "value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("u").alias("v"))
-    may = f"a < b AND c <> d AND {fits} AND {100 + percent} * least(u, v) >= {percent} * (n + m)"
-    rest = left.withColumnRenamed("rep", "a").join(right, ["coord", "value"]).filter(may).select("a", "b").distinct()
+    open_now = left.join(counts, "rep").filter(f"100 * u >= {percent} * n").withColumn("code", F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value"))
+    # Two documents meet in one list only, the first of those that they share, and only if they agree often enough.
+    asked = texts.join(open_now.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    whole = open_now.groupBy("rep").agg(F.collect_list("code").alias("codes")).join(sketches(asked, words), "rep")
+    left = materialise(open_now.join(whole, "rep").select("code", "rep", "n", "c", "u", "codes", "sig"), "open")
+    right = left.select("code", *(F.col(x).alias(y) for x, y in {"rep": "b", "n": "m", "c": "d", "u": "v", "codes": "others", "sig": "sb"}.items()))
+    may = F.expr(f"a < b AND c <> d AND {fits} AND {100 + percent} * least(u, v) >= {percent} * (n + m)")
+    once = F.array_min(F.array_intersect("codes", "others")) == F.col("own")
+    mine = left.withColumnRenamed("rep", "a").withColumnRenamed("sig", "sa").withColumnRenamed("code", "own")
+    rest = mine.join(right, (F.col("own") == F.col("code")) & may & once & (agreement() >= wide_least(percent))).select("a", "b")
     more = confirmed(rest.join(star, ["a", "b"], "left_anti"), signs, texts, words, least, percent)
     final = materialise(components(edges.unionByName(more)), "components")
 
