@@ -10,6 +10,8 @@ so there are at most a few thousand different patterns.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +25,9 @@ from scanloom.llm.tables import batches, materialise, shards, ship_package
 #: Distinct words whose ids a Python worker keeps at a time, in each of two generations.
 CACHE = 300_000
 _TOKENIZERS: dict[str, WordIds] = {}
+#: The printable character that byte-level models use for each byte.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordIds:
@@ -39,6 +44,12 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+        # The short way is for the pipeline it was written for; any other tokenizer encodes every word in full.
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            self._plain = lambda word: None
 
     def __call__(self, text: str | None) -> np.ndarray:
         raw = b"" if text is None else text.encode("utf-8", "replace")
@@ -47,17 +58,42 @@ class WordIds:
             return np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4")
         except KeyError:
             pass
-        missing = set(words).difference(self.new)
+        missing = {w for w in words if w not in self.new}
         if len(self.new) + len(missing) > CACHE:
             self.old, self.new = self.new, {}
             missing = set(words)
-        again = [w for w in missing if w in self.old]
-        self.new.update((w, self.old[w]) for w in again)
-        fresh = list(missing.difference(again))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
+        rest = []
+        for w in missing:
+            known = self.old.get(w)
+            if known is None:
+                known = self._plain(w)
+            if known is None:
+                rest.append(w)
+            else:
+                self.new[w] = known
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             self.new[w] = np.array(e.ids, "<u4").tobytes()
         return np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4")
 
+    def _plain(self, word: bytes) -> bytes | None:
+        """Ids of letters with ``.,;:!?`` behind them, or None for any other word.
+
+        Letters that the normalizer leaves as they are form one piece for the model, and the marks another, so the model can be
+        asked without the steps before it.
+        """
+        letters = word.rstrip(b".,;:!?")
+        text = letters.decode()
+        if not text.isalpha() or not (text.isascii() or unicodedata.is_normalized("NFC", text) and text.lower() == text):
+            return None
+        mapped = text if text.isascii() else "".join(map(_BYTE_CHARS.__getitem__, letters))
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        marks = word[len(letters):]
+        if marks:
+            if marks not in self.marks:
+                self.marks[marks] = np.array([t.id for t in self.tokenizer.model.tokenize(marks.decode())], "<u4").tobytes()
+            ids += self.marks[marks]
+        return ids
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, piece, start, length, ids_crc32): narrow."""
