@@ -36,14 +36,16 @@ def slices(key: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
     return [(s, a, b) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
 
 
-def sharded_sums(docs: DataFrame, table: DataFrame, emit: Callable, value: Callable, width: int, n: int, bits: int, sums: str) -> DataFrame:
-    """All columns of ``docs`` but ``text``, and ``width`` sums named in the schema text ``sums``, for every row of ``docs``.
+def sharded_sums(docs: DataFrame, table: DataFrame, emit: Callable, value: Callable, n: int, bits: int, sums: list[str], sharded: list[str], kind: type = np.float64) -> DataFrame:
+    """All columns of ``docs`` but ``text``, and the columns ``sums``, for every row of ``docs``.
 
-    ``emit(texts)`` gives (rows x width sums decided here, keys, row of each key); ``value(row, keys)`` gives the (keys x width)
+    ``emit(texts)`` gives (rows x sums decided here, keys, row of each key); ``value(row, keys)`` gives the (keys x ``sharded``)
     values of sorted distinct keys from a shard's row of ``table`` as a dict, or None where the table has no such shard.
+    ``sharded`` names the sums that shards add to, ``kind`` the number type in which their part travels.
     """
     kept_schema = docs.drop("text").schema
     first = bounds(n, bits)
+    width, into = len(sums), [sums.index(c) for c in sharded]
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << _ROWS
@@ -75,20 +77,22 @@ def sharded_sums(docs: DataFrame, table: DataFrame, emit: Callable, value: Calla
             for r, k in zip(posts, keys):
                 mine, doc = values[back[at:at + len(k)]], unpack_small(r["docs"]).astype(np.int64)
                 at += len(k)
-                own = np.stack([np.bincount(doc, mine[:, c], r["size"]) for c in range(width)], axis=1)
-                out.append({"uid": r["uid"], "own": own.tobytes(), "kept": None})
+                own = np.stack([np.bincount(doc, mine[:, c], r["size"]) for c in range(len(into))])
+                out.append({"uid": r["uid"], "own": own.astype(kind).tobytes(), "kept": None})
         return pa.Table.from_pylist(out, _BACK)
 
-    names = [c.split()[0] for c in sums.split(",")]
-
     def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x).reshape(-1, width) for x in part.column("own").to_pylist())
-        kept = pa.ipc.open_stream(next(x for x in part.column("kept").to_pylist() if x is not None)).read_all()
-        for i, name in enumerate(names):
+        rows = list(zip(part.column("own").to_pylist(), part.column("kept").to_pylist()))
+        total = next(np.frombuffer(own).reshape(-1, width) for own, kept in rows if kept is not None).copy()
+        for own, kept in rows:
+            if kept is None:
+                total[:, into] += np.frombuffer(own, kind).reshape(len(into), -1).T
+        kept = pa.ipc.open_stream(next(kept for _, kept in rows if kept is not None)).read_all()
+        for i, name in enumerate(sums):
             kept = kept.append_column(name, pa.array(total[:, i]))
         return kept
 
     sent = docs.mapInArrow(read, _SENT_SQL)
     back = sent.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(meet, "uid long, own binary, kept binary")
-    schema = StructType(list(kept_schema.fields) + StructType.fromDDL(", ".join(f"{c} double" for c in names)).fields)
+    schema = StructType(list(kept_schema.fields) + StructType.fromDDL(", ".join(f"{c} double" for c in sums)).fields)
     return back.groupBy("uid").applyInArrow(add, schema)

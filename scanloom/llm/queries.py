@@ -68,8 +68,8 @@ def op6_hierarchical_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
-    return quality.classify(quality.fit(docs, table(spark, folder, "labels").filter("quality = 1")), docs)
+    docs, trusted = documents(spark, folder), table(spark, folder, "labels").filter("quality = 1")
+    return quality.classify(quality.fit(docs, trusted), docs, trusted)
 
 
 @query
