@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from scanloom.llm.tables import batches, materialise, shards, ship_package
 
 #: Distinct words whose ids a Python worker keeps at a time, in each of two generations.
-CACHE = 300_000
+CACHE = 150_000
 _TOKENIZERS: dict[str, WordIds] = {}
 #: The printable character that byte-level models use for each byte.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

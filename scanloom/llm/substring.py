@@ -42,7 +42,7 @@ def gear(buf: np.ndarray) -> np.ndarray:
 
 def windows(texts: list[bytes], window_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: (cuts, last cut of each chunk's window or -1, digest of each window); chunk i is cuts[i]:cuts[i + 1]."""
-    for _, part in chunks(texts, 1 << 20):
+    for _, part in chunks(texts, 1 << 19):
         buf = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
         prefix, h = prefix_hash(buf), gear(buf)
         space = _SPACE[buf]

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SPACES = b" \t\n\x0b\x0c\r"
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.RandomState(20240501)
 _BYTE = _rng.randint(0, 2**63 - 1, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
