@@ -11,6 +11,7 @@ so there are at most a few thousand different patterns.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from scanloom.llm.tables import batches, materialise, shards, ship_package
 #: Distinct words whose ids a Python worker keeps at a time, in each of two generations.
 CACHE = 150_000
 _TOKENIZERS: dict[str, WordIds] = {}
+#: In the bytes of texts that are not lower-cased: the start of a special token, and the first byte of U+0300 to U+037F, where all
+#: marks are that compose with ASCII letters.
+_AS_IT_IS = re.compile(rb"<\||[\xcc\xcd]")
 #: The printable character that byte-level models use for each byte.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -34,7 +38,8 @@ class WordIds:
     """Ids of the white-space separated words of texts, for a tokenizer file under which words are independent of each other.
 
     Each distinct word is encoded once; texts are joined from the words' ids.  Upper and lower case of ASCII letters are one word
-    where the tokenizer lower-cases, except in texts that might hold a special token.
+    where the tokenizer lower-cases, except in texts that might hold a special token or hold combining marks: the normalizer composes
+    before it lower-cases, and some marks compose with the small letter only.
     """
 
     def __init__(self, path: str):
@@ -53,7 +58,7 @@ class WordIds:
 
     def __call__(self, text: str | None) -> np.ndarray:
         raw = b"" if text is None else text.encode("utf-8", "replace")
-        words = (raw if b"<|" in raw else raw.lower()).split()
+        words = (raw if _AS_IT_IS.search(raw) else raw.lower()).split()
         try:
             return np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4")
         except KeyError:
@@ -76,14 +81,14 @@ class WordIds:
         return np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4")
 
     def _plain(self, word: bytes) -> bytes | None:
-        """Ids of letters with ``.,;:!?`` behind them, or None for any other word.
+        """Ids of small letters with ``.,;:!?`` behind them, or None for any other word.
 
         Letters that the normalizer leaves as they are form one piece for the model, and the marks another, so the model can be
         asked without the steps before it.
         """
         letters = word.rstrip(b".,;:!?")
         text = letters.decode()
-        if not text.isalpha() or not (text.isascii() or unicodedata.is_normalized("NFC", text) and text.lower() == text):
+        if not text.isalpha() or text.lower() != text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return None
         mapped = text if text.isascii() else "".join(map(_BYTE_CHARS.__getitem__, letters))
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()

@@ -38,6 +38,13 @@ def test_word_ids_equal_the_tokenizer(text):
     assert own(text).tolist() == want  # from the cache
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> Hello NASA", "<| Hello, NASA! École", "H\u0331 Hello h\u0331", "T\u0308 J\u030c W\u030a Y\u030a NASA", "H\u1dc0\u0331 e\u0301 E\u0301"])
+def test_capitals_beside_special_tokens_and_combining_marks(text):
+    own = WordIds(PATH)
+    want = own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own(text).tolist() == want
+
+
 def test_plan_replaces_the_smallest_by_two_that_fit_tighter():
     # Greedy fills 6 + 3 and leaves 1; 6 + 2 + 2 fills the bin.
     assert plan({6: 1, 3: 1, 2: 2}, 10) == [({6: 1, 2: 2}, 1), ({3: 1}, 1)]
