@@ -142,6 +142,24 @@ def test_quality_prefers_trusted_words(spark, odd, empty):
     assert all(x.kept for x in quality.classify(quality.fit(odd, none), odd, none).collect())
 
 
+def test_quality_learns_from_every_trusted_row(spark):
+    texts = [f"only{i} {prose(i, 3)}" for i in range(700)] + [f"{prose(1, 5000)} farback"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").cache()
+    got = quality.classify(quality.fit(docs, docs.select("doc_id")), docs).collect()
+    assert len(got) == 701 and all(x.n_known == x.n_tokens for x in got)
+
+
+def test_quality_filter_is_bounded_and_loses_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 40), "en") for i in range(40)], "doc_id long, text string, lang string").cache()
+    wide = quality.fit(docs, docs.select("doc_id"))
+    want = sorted((x.doc_id, x.n_known, round(x.perplexity, 3)) for x in quality.classify(wide, docs).collect())
+    monkeypatch.setattr(quality, "FILTER_BITS", 1)
+    monkeypatch.setattr(quality, "HOT", 5)
+    narrow = quality.fit(docs, docs.select("doc_id"))
+    assert len(narrow.filter) == narrow.n * 128 and len(narrow.hot) == 5
+    assert sorted((x.doc_id, x.n_known, round(x.perplexity, 3)) for x in quality.classify(narrow, docs).collect()) == want
+
+
 def test_quality_equals_a_plain_back_off_model(spark):
     texts = [prose(i % 5, 30) for i in range(12)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
