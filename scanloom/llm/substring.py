@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut where the gear hash of the last 16 bytes meets a condition: at about every second word end, and rarely inside words
-(so that text without spaces is cut too).  A cut depends on the bytes before it alone, so an insertion moves only the cuts beside
-it.  A window is the fewest consecutive chunks from a cut on that hold ``window_words`` words; it is known by the 64-bit digest of
-its bytes.  A window that also stands in a document of smaller id is a repeat, and the chunks of repeated windows are removed: the
+A text is cut where the gear hash of the last 16 bytes meets a condition: at about every second word end, rarely inside words, and
+at about every 32nd character where no white space was in the last 64 bytes.  A cut depends on the bytes before it alone, so an
+insertion moves only the cuts beside it.  A window is the fewest consecutive chunks from a cut on that hold ``window_words`` words;
+where no white space was in the last 64 bytes (Chinese, Japanese, Thai, minified or encoded text), every 8 bytes count as a word
+too.  A window is known by the 64-bit digest of its bytes.  A window that also stands in a document of smaller id is a repeat, and the chunks of repeated windows are removed: the
 document with the smallest id keeps the passage.
 
 Why windows and not single chunks: a chunk is two words on average, and short phrases and lines of boilerplate recur in clean
@@ -29,6 +30,8 @@ _SPACE = separators()
 _GEAR = np.random.RandomState(5).randint(0, 1 << 16, 256).astype(np.uint32)
 #: Bytes that the 16-bit hash looks back on, and the bits that must be zero at a word end and inside a word.
 _LOOK, _AT_WORD, _INSIDE = 16, 1, 9
+#: Bytes without white space after which text counts as spaceless, the zero bits of a cut there, and the bytes that count as a word.
+_FAR, _AT_FAR, _WORD = 64, 5, 8
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -40,6 +43,18 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return (h & np.uint32(0xFFFF)).astype(np.uint16)
 
 
+def spaceless(space: np.ndarray) -> np.ndarray | None:
+    """Whether the ``_FAR`` bytes before each place, and before the end, hold no white space; None if that is so nowhere."""
+    at = np.concatenate([[-1], np.flatnonzero(space), [len(space)]])
+    long = np.flatnonzero(np.diff(at) > _FAR)
+    if not len(long):
+        return None
+    edge = np.zeros(len(space) + 2, np.int8)
+    edge[at[long] + 1 + _FAR] = 1
+    edge[at[long + 1] + 1] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
 def windows(texts: list[bytes], window_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: (cuts, last cut of each chunk's window or -1, digest of each window); chunk i is cuts[i]:cuts[i + 1]."""
     for _, part in chunks(texts, 1 << 19):
@@ -52,13 +67,18 @@ def windows(texts: list[bytes], window_words: int) -> Iterator[tuple[np.ndarray,
         lead = (buf & 0xC0) != 0x80                                           # never inside a character
         inside = np.flatnonzero(((h[:-1] >> np.uint16(16 - _INSIDE)) == 0) & lead[1:]) + 1
         cut = np.union1d(at_word, inside)
+        far = spaceless(space)
+        if far is not None:
+            cut = np.union1d(cut, np.flatnonzero(((h[:-1] >> np.uint16(16 - _AT_FAR)) == 0) & lead[1:] & far[1:-1]) + 1)
+            far = np.cumsum(far)
         a = 0
         for t in part:
             b = a + len(t)
             own = cut[np.searchsorted(cut, a, "right"):np.searchsorted(cut, b)]
             cuts = np.concatenate([[a], own, [b]]) if b > a else np.array([a])
             words = np.searchsorted(ends, cuts, "right")                      # words ended up to each cut
-            last = np.searchsorted(words, words[:-1] + window_words)
+            weight = words * _WORD if far is None else words * _WORD + far[cuts]
+            last = np.searchsorted(weight, weight[:-1] + window_words * _WORD)
             ok = last < len(cuts)
             last = np.where(ok, last, -1)
             digest = np.zeros(len(last), np.uint64)
@@ -89,8 +109,11 @@ def _of_group(ids: list, cut: list) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame, window_words: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated passages cut out of ``text_col``, plus ``removed_spans`` and ``removed_bytes``.
 
-    A passage of at least ``window_words`` words that also stands in a document of smaller id is removed up to the cuts next to its
-    ends, about two words each.  ``removed_spans`` holds [start, end) in bytes of the UTF-8 text.  Repeats inside one document, and
+    A passage that also stands in a document of smaller id is removed up to the cuts next to its ends, about two words each, if it
+    holds a window: ``window_words`` words from one cut to another, the first cut at least 16 bytes after its start or at the start
+    of both texts.  So a passage of just ``window_words`` words is mostly kept, and one some ten words longer is mostly found.  In
+    spaceless text a window is ``8 * window_words`` bytes from cut to cut, beginning 64 bytes or more after the last white space
+    or the passage's start, and about 32 characters are left at each end.  ``removed_spans`` holds [start, end) in bytes of the UTF-8 text.  Repeats inside one document, and
     between rows of one id, stay.  Null and shorter texts and rows without an id come back unchanged.  All other columns are kept;
     columns of the names added here are replaced.  Empty table: no rows.
     """

@@ -1,3 +1,5 @@
+import random
+
 from llm.conftest import SCHEMA, prose, rows
 from scanloom.llm.substring import remove_repeats, windows
 
@@ -29,6 +31,25 @@ def test_short_repeats_and_repeats_inside_a_document_stay(spark):
     assert {i: r.text for i, r in got.items()} == dict(texts)
 
 
+def test_passages_without_spaces_go_too(spark):
+    def run(seed, n, alphabet):
+        r = random.Random(seed)
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    han, code = [chr(c) for c in range(0x4E00, 0x5200)], "abcdefghijklmnopqrstuvwxyz(){};=.,0123456789"
+    for alphabet in (han, code):
+        passage = run(1, 900, alphabet)
+        texts = [(i, run(10 + i, 200 + 7 * i, alphabet) + passage + run(20 + i, 300, alphabet)) for i in (3, 5)] + [(7, run(30, 900, alphabet))]
+        texts.append((9, texts[0][1]))
+        got, _ = cut(spark, texts)
+        assert got[3].text == texts[0][1] and got[7].text == texts[2][1]
+        gone = len(texts[1][1]) - len(got[5].text)
+        assert 500 <= gone <= 900
+        raw = texts[1][1].encode()
+        assert all(raw[a:b].decode() in passage for a, b in got[5].removed_spans)
+        assert len(got[9].text) <= 200
+
+
 def test_cuts_resist_insertions():
     text = prose(7, 400).encode()
     moved = b"some words before it " + text
