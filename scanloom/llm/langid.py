@@ -130,6 +130,7 @@ def train(texts: dict[str, list[str]]) -> Model:
 def cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(bits per character of each text under each language, characters of each text)."""
     bits, size = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), np.int64)
+    texts = [t or "" for t in texts]
     for at, part in chunks(texts, 1 << 19):
         own = [codes(t) for t in part]
         n = np.array([len(c) for c in own])

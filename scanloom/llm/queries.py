@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontam, hpylm, langid, licenses, neardup, oracles, packing, quality, substring, topk, toxicity
+from scanloom.llm import decontam, hardneg, hpylm, langid, licenses, neardup, oracles, packing, quality, substring, topk, toxicity, urlrules, whitening
 from scanloom.llm.tables import documents, of_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,28 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op8_license_scan"] = oracles.licenses_sql(licenses.TEMPLATES, 5, 80)
+
+
+#: The list that op 11 starts from.
+URL_RULES = [urlrules.UrlRule("com", "/", "allow"), urlrules.UrlRule("example.com", "/en/", "block"), urlrules.UrlRule("www.example.com", "/en/", "allow"),
+             urlrules.UrlRule("net", "/es/", "block"), urlrules.UrlRule("net", "/fr/", "block")]
+
+
+@query
+def op11_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = urlrules.filter_urls(table(spark, folder, "pages"), URL_RULES)
+    return found.withColumn("mined", F.array_join("mined", " "))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), components=8, scale=1024, shift=100_000)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+ORACLES |= {"op11_url_rules": oracles.url_rules_sql(URL_RULES, 0.01, 0.9), "op13_hard_negatives": oracles.OP13}
