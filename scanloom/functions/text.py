@@ -11,6 +11,7 @@ import difflib
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,6 +91,57 @@ def reaches(a: str, b: str, bound: float) -> bool:
     return 2.0 * shared / total >= bound
 
 
+class GramIndex:
+    """Inverted index of the characters and character pairs of some texts: which of them may reach a ratio to a text.
+
+    A ratio of t over texts of T characters together needs M >= t * T / 2 matched characters.  They stand in both texts, and since
+    two matched runs are parted by an unmatched character, in at most T - 2 * M + 1 runs: so at least M common characters and
+    3 * M - T - 1 common pairs, each counted as often as it occurs.  Both counts come from the posting lists of the text's own grams.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.length = np.array([len(t) for t in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        number = np.repeat(np.arange(len(texts)), self.length)
+        same = number[1:] == number[:-1]
+        self.lists = [self._posted(chars, number), self._posted((chars[:-1] << 21 | chars[1:])[same], number[1:][same])]
+
+    @staticmethod
+    def _posted(grams: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(gram, where its list begins, text numbers, counts), lists in the order of the grams."""
+        order = np.lexsort((number, grams))
+        grams, number = grams[order], number[order]
+        first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (number[1:] != number[:-1])])) if len(grams) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(grams)))
+        kinds, begin = np.unique(grams[first], return_index=True)
+        return kinds, np.append(begin, len(first)), number[first], count
+
+    def _common(self, posted: tuple[np.ndarray, ...], grams: np.ndarray) -> np.ndarray:
+        kinds, begin, number, count = posted
+        own, times = np.unique(grams, return_counts=True)
+        at = np.searchsorted(kinds, own)
+        found = at < len(kinds)
+        found[found] = kinds[at[found]] == own[found]
+        at, times = at[found], times[found]
+        size = begin[at + 1] - begin[at]
+        if not size.sum():
+            return np.zeros(len(self.length), np.int64)
+        take = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        shared = np.minimum(count[take], np.repeat(times, size))
+        return np.bincount(number[take], shared, len(self.length)).astype(np.int64)
+
+    def may_reach(self, text: str, bound: float) -> np.ndarray:
+        """For each text whether the ratio may be >= ``bound``; never false wrongly."""
+        total = self.length + len(text)
+        matched = bound * total / 2 - 1e-9
+        near = np.minimum(self.length, len(text)) >= matched
+        if near.any():
+            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            near &= self._common(self.lists[0], chars) >= matched
+            near &= self._common(self.lists[1], chars[:-1] << 21 | chars[1:]) >= 3 * matched - total - 1
+        return near
+
+
 @F.pandas_udf(T.DoubleType())
 def text_similarity(leader: pd.Series, other: pd.Series) -> pd.Series:
     """Ratio of the lower-cased texts."""

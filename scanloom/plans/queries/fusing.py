@@ -113,6 +113,36 @@ def fusion_cluster(t):
         F.col("duplicate_count").cast("long").alias("duplicate_count"))
 
 
+# The sequential pass itself, as a fold over the rows of a file; with all ratios at 1 the text tests are equality.
+SAME = """(abs(l.line - x.line) <= 3 OR (l.len > 10 AND x.len > 10 AND l.code <> '' AND l.code = x.code))
+      AND ((l.cwe <> '' AND l.cwe = x.cwe) OR (l.msg <> '' AND l.msg = x.msg) OR (l.code <> '' AND l.code = x.code))"""
+STRICT_VIEWS = {
+    "o_ordered": """
+    SELECT *, row_number() OVER (PARTITION BY target, file_path ORDER BY line_start, scan_id, scanner, severity, confidence, rule_id, line_end, code_snippet, ai_patch) AS pos,
+      CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS rk FROM v_findings""",
+    "o_each": r"""
+    SELECT *, {'pos': pos, 'line': line_start, 'cwe': cwe_id, 'msg': lower(message), 'code': trim(regexp_replace(lower(code_snippet), '\s+', ' ', 'g')), 'len': length(code_snippet)} AS item
+    FROM o_ordered""",
+    "o_folded": f"""
+    SELECT target, file_path, list_reduce(list(item ORDER BY pos), lambda acc, x: CASE WHEN len(list_filter(acc, lambda l: {SAME})) > 0 THEN acc ELSE list_append(acc, x) END,
+      list(item)[:0]) AS leaders FROM o_each GROUP BY target, file_path""",
+    "o_claimed": f"""
+    SELECT e.*, list_filter(leaders, lambda l: {SAME.replace("x.", "e.item.")})[1] AS leader FROM o_each e JOIN o_folded f ON e.target = f.target AND e.file_path = f.file_path""",
+}
+
+
+@query("fusion_cluster_strict", """
+    SELECT target, file_path, CAST(leader.line AS BIGINT) AS line_start,
+      CASE max(rk) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFO' END AS severity, round(max(confidence), 6) AS confidence,
+      'fusion(' || array_to_string(list_sort(list(DISTINCT scanner)), ',') || ')' AS scanner, CAST(count(*) - 1 AS BIGINT) AS duplicate_count
+    FROM o_claimed GROUP BY target, file_path, leader""", STRICT_VIEWS)
+def fusion_cluster_strict(t):
+    """The exact form over all findings with every ratio at 1, where SQL can say what a duplicate is."""
+    return fu.fuse_exact(t.findings, sim_far=1.0, sim_msg=1 - 1e-9, sim_code=1.0).select(
+        "target", "file_path", F.col("line_start").cast("long").alias("line_start"), "severity", F.round("confidence", 6).alias("confidence"), "scanner",
+        F.col("duplicate_count").cast("long").alias("duplicate_count"))
+
+
 @query("code_normalise", r"""
     SELECT conv_id, CAST(turn AS BIGINT) AS turn, md5(trim(regexp_replace(lower(prompt), '[\s\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))) AS text_md5 FROM v_llm_calls""")
 def code_normalise(t):
