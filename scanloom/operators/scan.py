@@ -1,19 +1,28 @@
-"""Native scanners: configuration rules and secrets over source files.
+"""Scanners over source files: configuration rules, rules given as a table, and secrets.
 
-Both are narrow: files -> lines -> hits, no shuffle, every pattern a literal.
+All are narrow: files -> lines -> hits, no shuffle of texts.  The fixed catalogue is compiled into the plan; rule tables and secrets
+first look for the literals of all patterns at once, and only lines that hold one meet their patterns.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions.scalar import rule_family_of, rule_name_of
 from scanloom.functions.text import shannon_entropy, split_lines
 from scanloom.rules import catalogue as cat
 from scanloom.rules import secrets as sec
+from scanloom.rules.literals import LineMatcher
+
+# Rules of one automaton; a larger table is read in several passes.
+RULES_A_PASS = 20_000
 
 
 def routed_files(files: DataFrame) -> DataFrame:
@@ -49,6 +58,87 @@ def scan_rules(files: DataFrame, rules: list[cat.Rule] = cat.RULES, keep: tuple[
         rule_family_of(F.col("rule_id")).alias("config_type"))
 
 
+def pattern_candidates(files: DataFrame, patterns: dict[str | None, list[tuple[str, str]]], *, keep: tuple[str, ...] = (),
+                       family: str | None = None) -> DataFrame:
+    """``(keep, path, family, candidates)``: each file with the lines that may match, as ``(line_no, text, rule_id, pattern)``.
+
+    ``patterns`` has ``(rule_id, pattern)`` by family; the patterns of family None meet every file.  A file whose family (the column
+    ``family``) has no patterns is dropped.  One pass of an automaton over the text; the texts of other lines go no further.
+    """
+    common = patterns.get(None, [])
+    of_family = {f: p if f is None else [*common, *p] for f, p in patterns.items()}
+    columns = [*dict.fromkeys([*keep, "path", *([family] if family else [])])]
+    found = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()),
+                                      T.StructField("rule_id", T.StringType()), T.StructField("pattern", T.StringType())]))
+    schema = T.StructType([*[files.schema[c] for c in columns], T.StructField("candidates", found)])
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string()), ("rule_id", pa.string()), ("pattern", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict = {}
+        for batch in batches:
+            texts = batch.column(len(columns)).to_pylist()
+            names = batch.column(columns.index(family)).to_pylist() if family else [None] * len(texts)
+            out, rows = [], []
+            for i, (text, name) in enumerate(zip(texts, names)):
+                name = name if name in of_family else None
+                if text is None or name not in of_family:
+                    continue
+                if name not in matchers:
+                    matchers[name] = LineMatcher([p for _, p in of_family[name]])
+                rules = of_family[name]
+                out.append([{"line_no": n, "text": line, "rule_id": rules[r][0], "pattern": rules[r][1]} for n, line, r in matchers[name].candidates(text)])
+                rows.append(i)
+            kept = pa.Table.from_batches([batch]).select(columns).take(pa.array(rows, pa.int64()))
+            yield from kept.append_column("candidates", pa.array(out, kind)).combine_chunks().to_batches()
+
+    return files.select(*columns, "content").mapInArrow(run, schema)
+
+
+def scan_rule_table(files: DataFrame, rules: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of rules given as a table: one row per (file, rule, line), with the columns of :func:`scan_rules`.
+
+    ``rules``: ``rule_id``, ``family`` (null: every file, routed or not), ``pattern`` (searched in every line, ignoring case, as
+    regular expression), ``absent`` (true: the rule reports line 1 of files without any matching line, case counts), ``message``,
+    ``severity``, ``cwe_id``.  Patterns are tested only on lines that hold one of their required literals; the result is that of
+    testing all.  The table is read in passes of at most :data:`RULES_A_PASS` rules, each one automaton a task.
+    """
+    n = rules.count()
+    passes = max(1, math.ceil(n / RULES_A_PASS))
+    routed = files.withColumn("family", cat.route_file(F.col("path"), F.col("content")))
+    columns = [*keep, "path"]
+    parts = []
+    for p in range(passes):
+        own = rules.filter(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == p)
+        by_family: dict[str | None, list[tuple[str, str]]] = {}
+        absent: dict[str | None, list[str]] = {}
+        for r in own.select("rule_id", "family", "pattern", "absent").collect():
+            by_family.setdefault(r.family, []).append((r.rule_id, ("(?U)" if r.absent else cat.FLAGS) + r.pattern))
+            if r.absent:
+                absent.setdefault(r.family, []).append(r.rule_id)
+        if not by_family:
+            continue
+        hit = F.filter("candidates", lambda c: F.rlike(c["text"], c["pattern"]))
+        found = pattern_candidates(routed, by_family, keep=keep, family="family").select(*columns, "family", hit.alias("hits"))
+        missing = F.array().cast("array<string>")
+        for name, ids in absent.items():
+            listed = F.array(*[F.lit(i) for i in ids])
+            missing = F.concat(missing, F.when((F.lit(True) if name is None else F.col("family") == name),
+                                               F.array_except(listed, F.transform("hits", lambda c: c["rule_id"]))).otherwise(F.array().cast("array<string>")))
+        every = F.array(*[F.lit(i) for ids in absent.values() for i in ids]).cast("array<string>")
+        rows = F.concat(
+            F.transform(F.filter("hits", lambda c: ~F.array_contains(every, c["rule_id"])), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["line_no"].alias("line_no"), c["text"].alias("text"))),
+            F.transform(missing, lambda i: F.struct(i.alias("rule_id"), F.lit(1).alias("line_no"), F.lit("").alias("text"))))
+        parts.append(found.select(*columns, F.inline(rows)))
+    if not parts:
+        parts = [files.select(*columns, F.lit("").alias("rule_id"), F.lit(1).alias("line_no"), F.lit("").alias("text")).limit(0)]
+    hits = reduce(DataFrame.unionByName, parts)
+    line = F.col("line_no")
+    return hits.join(rules.select("rule_id", "message", "severity", "cwe_id"), "rule_id").select(
+        *keep, F.lit("config_audit").alias("scanner"), "rule_id", rule_name_of(F.col("rule_id")).alias("rule_name"), "message", "severity", "cwe_id",
+        F.lit(cat.CONFIG_CONFIDENCE).alias("confidence"), F.lit(cat.CONFIG_OWASP).alias("owasp"), F.col("path").alias("file_path"),
+        line.alias("line_start"), line.alias("line_end"), F.col("text").alias("code_snippet"), rule_family_of(F.col("rule_id")).alias("config_type"))
+
+
 def allowed(value: Column) -> Column:
     """Values that name themselves as samples."""
     return reduce(lambda a, b: a | b, [F.lower(value).contains(w) for w in sec.ALLOWED_WORDS])
@@ -77,13 +167,21 @@ def may_hold_secret(text: Column) -> Column:
     return text.rlike(f"(?i){words}") | text.rlike(sec.ENTROPY_RULE.pattern)
 
 
+def _secret_hits(files: DataFrame, min_entropy: float, keep: tuple[str, ...]) -> DataFrame:
+    """Credential matches of whole files: the patterns meet only lines that hold one of their literals."""
+    patterns = {None: [(r.name, r.pattern) for r in [*sec.SECRET_RULES, sec.ENTROPY_RULE]]}
+    values = F.transform("candidates", lambda c: F.struct(
+        c["line_no"].alias("line_no"), c["text"].alias("text"), c["rule_id"].alias("kind"), F.regexp_extract_all(c["text"], c["pattern"], F.lit(1)).alias("values")))
+    each = (pattern_candidates(files, patterns, keep=keep)
+            .select(*keep, "path", F.inline(F.filter(values, lambda c: F.size(c["values"]) > 0)))
+            .select(*keep, "path", "line_no", "text", "kind", F.explode("values").alias("value"))
+            .withColumn("entropy", shannon_entropy(F.col("value"))))
+    return each.filter((F.col("kind") != sec.ENTROPY_RULE.name) | (F.col("entropy") > min_entropy))
+
+
 def scan_secrets(files: DataFrame, *, min_entropy: float = sec.MIN_ENTROPY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Credential findings: 14 patterns and the entropy test, minus allow-listed values."""
-    gated = files.filter(may_hold_secret(F.col("content")))
-    lines = (gated.select(*keep, "path", F.posexplode(split_lines(F.col("content"))).alias("pos", "text"))
-             .filter(may_hold_secret(F.col("text")))
-             .select(*keep, "path", (F.col("pos") + 1).alias("line_no"), "text"))
-    hits = secret_candidates(lines, min_entropy=min_entropy, keep=keep).filter(~allowed(F.col("value")))
+    hits = _secret_hits(files, min_entropy, keep).filter(~allowed(F.col("value")))
 
     def attr(field: str) -> Column:
         return F.create_map(*[F.lit(x) for r in [*sec.SECRET_RULES, sec.ENTROPY_RULE]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanloom.operators.scan import allowed, scan_rules, scan_secrets, secret_candidates
+from scanloom.operators.scan import allowed, scan_rule_table, scan_rules, scan_secrets, secret_candidates
 from scanloom.plans.queries.sourcing import RULE_VALUES
 from scanloom.plans.registry import query
 from scanloom.plans.views import VIEWS
 from scanloom.rules import secrets as sec
-from scanloom.rules.catalogue import RULES, family_of, route_file, rules_table
+from scanloom.rules.catalogue import RULES, family_of, pattern_table, route_file, rules_table
 from scanloom.sources.files import python_only, source_lines
 
 
@@ -81,7 +81,28 @@ def rule_scan(t):
 
 @query("rule_lines_join", "SELECT rule_id, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT path) AS BIGINT) AS files FROM o_rule_hits GROUP BY rule_id")
 def rule_lines_join(t):
-    return scan_rules(t.config_files).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("file_path").alias("files"))
+    """Files by a table of rules: literals pick the few patterns that a line meets."""
+    return scan_rule_table(t.config_files, pattern_table(t.spark)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("file_path").alias("files"))
+
+
+@query("rule_table_scan", RULE_ROWS.replace("{hits}", "SELECT * FROM o_rule_hits"))
+def rule_table_scan(t):
+    """Every hit of the rule table, absence rules too."""
+    return _rule_rows(scan_rule_table(t.config_files, pattern_table(t.spark)))
+
+
+# Watch words from the data, one rule each, over every line of the documents: the rule table grows with the input.
+@query("rule_table_words", """
+    SELECT rule_id, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT path) AS BIGINT) AS files
+    FROM o_doc_lines l JOIN o_words w ON regexp_matches(l.text, '(?i)(^|[^[:alnum:]])' || w.word || '([^[:alnum:]]|$)') GROUP BY rule_id""",
+       {"o_words": """
+    SELECT 'watch.' || word AS rule_id, word FROM (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{9,}')) AS word FROM benchmark) WHERE word <> ''"""})
+def rule_table_words(t):
+    words = t.benchmark.select(F.lower(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("word")).filter("word <> ''").distinct()
+    table = words.select(F.concat(F.lit("watch."), "word").alias("rule_id"), F.lit(None).cast("string").alias("family"),
+                         F.concat(F.lit(r"(?-U)(?:^|[^\p{Alnum}])"), "word", F.lit(r"(?:[^\p{Alnum}]|$)")).alias("pattern"), F.lit(False).alias("absent"),
+                         F.lit("watch word").alias("message"), F.lit("INFO").alias("severity"), F.lit("").alias("cwe_id"))
+    return scan_rule_table(t.docs, table).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("file_path").alias("files"))
 
 
 @query("absence_rules", RULE_ROWS.replace("{hits}", " UNION ALL ".join(_rule_hits(r) for r in RULES if r.absent)))

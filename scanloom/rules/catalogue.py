@@ -106,6 +106,17 @@ def rules_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
     return df.withColumns({"family": rule_family_of(F.col("rule_id")), "rule_name": rule_name_of(F.col("rule_id"))})
 
 
+# What the absence tests look for, as patterns that some line must match.
+ABSENT_PATTERNS = {"user_instruction": r"^USER\s+(?!root)", "resources_block": r"resources:", "frame_header": r"X-Frame-Options|x-frame-options"}
+
+
+def pattern_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    """The catalogue as a rule table: ``rule_id, family, pattern, absent, message, severity, cwe_id``."""
+    return spark.createDataFrame(
+        [(r.id, family_of(r), r.pattern or ABSENT_PATTERNS[r.absent], r.pattern is None, r.message, r.severity, r.cwe) for r in rules],
+        "rule_id string, family string, pattern string, absent boolean, message string, severity string, cwe_id string")
+
+
 def route_file(path: Column, content: Column) -> Column:
     """Rule family of a file by name, suffix and the head of the text; null for none.
 
