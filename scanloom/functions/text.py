@@ -22,6 +22,9 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 # Unicode white space, as in whitespace splitting.
 SPACES = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
+# Characters with the Unicode property of white space, as one text.
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def _without_last_empty(pieces: Column) -> Column:
     n = F.size(pieces)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanloom.functions.text import newline_lines
+from scanloom.functions.text import SPACE_CHARS, newline_lines
 from scanloom.session import materialise
-from scanloom.sources.files import source_lines
 
 BEFORE = AFTER = 5
-# Findings of one file are served in chunks of lines, so a request list stays bounded.
+# Findings of one file are served in chunks of lines, so a request list stays bounded; so are the rows of a chunk of lines.
 CHUNK = 4096
+_NEWLINE = re.compile(r"\r\n|\n|\r")
 
 
 def _joined(lines: Column) -> Column:
@@ -32,16 +38,43 @@ def _with_lines(files: DataFrame) -> DataFrame:
     return files.withColumn("lines", newline_lines(F.col("content"))).withColumn("ends_nl", F.col("content").rlike(r"[\n\r]\z"))
 
 
+def _text_lines(content: str) -> tuple[list[str], bool]:
+    """(lines as a text reader yields them, without their breaks; whether the last one has a break)."""
+    lines = _NEWLINE.split(content)
+    ends = lines[-1] == ""
+    return (lines[:-1] if ends else lines), ends and bool(content)
+
+
 def line_context(files: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
-    """Every line with the text before and after it.  A narrow step inside the file's row: no shuffle, no window."""
-    src = _with_lines(files)
-    ctx = F.transform(
-        F.sequence(F.lit(1), F.size("lines")),
-        lambda k: F.struct(
-            k.alias("line_no"), F.get("lines", k - 1).alias("text"),
-            _window_text(F.col("lines"), k - before, k - 1).alias("context_before"),
-            _window_text(F.col("lines"), k + 1, k + after).alias("context_after")))
-    return src.filter(F.size("lines") > 0).select("path", F.inline(ctx))
+    """Every line with the text before and after it.
+
+    A narrow step: a file's lines are cut into chunks of :data:`CHUNK` lines, each with ``before`` and ``after`` lines of its neighbours,
+    and a generator hands on one chunk at a time, so no row holds more than a line's own texts and no shuffle is needed.
+    """
+    schema = "path string, line_no int, text string, context_before string, context_after string"
+
+    def chunks(path: str, content: str) -> Iterator[pa.RecordBatch]:
+        lines, ends = _text_lines(content)
+        n = len(lines)
+
+        def window(lo: int, hi: int) -> str:  # lines lo..hi-1 from 0, with their breaks
+            lo, hi = max(lo, 0), min(hi, n)
+            return "" if hi <= lo else "\n".join(lines[lo:hi]) + ("\n" if hi < n or ends else "")
+
+        for at in range(0, n, CHUNK):
+            own = range(at, min(at + CHUNK, n))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([path] * len(own), pa.string()), pa.array([i + 1 for i in own], pa.int32()), pa.array([lines[i] for i in own], pa.string()),
+                pa.array([window(i - before, i) for i in own], pa.string()), pa.array([window(i + 1, i + 1 + after) for i in own], pa.string())],
+                names=["path", "line_no", "text", "context_before", "context_after"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                if content.is_valid:
+                    yield from chunks(path.as_py(), content.as_py())
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def window_context(lines: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
@@ -100,42 +133,70 @@ def import_block(files: DataFrame) -> DataFrame:
             .select("path", F.array_join(kept, "").alias("imports"), F.size(kept).cast("long").alias("import_count")))
 
 
+def _functions_of(content: str, wanted: list[int]) -> dict[int, tuple[int, int]]:
+    """(first, last line) of the function or class around each of the wanted lines, in one pass down and one up.
+
+    Upwards, a stack keeps the code lines that may close something: each is indented less than the one above it in the file, so the
+    line that closes a depth is found by bisection.
+    """
+    lines, _ = _text_lines(content)
+    n = len(lines)
+    indents: list[int] = []
+    header = [-1] * n
+    code = [False] * n
+    last = -1
+    for i, line in enumerate(lines):
+        body = line.lstrip(SPACE_CHARS)
+        indents.append(len(line) - len(body))
+        if body.startswith(("def ", "class ")):
+            last = i
+        header[i] = last
+        code[i] = body != "" and not body.startswith("#")
+    asked: dict[int, list[int]] = {}  # by the first line that may close
+    for w in wanted:
+        if 1 <= w <= n and header[w - 1] >= 0:
+            asked.setdefault(max(w, header[w - 1] + 2), []).append(w)
+    found = {w: (header[w - 1] + 1, n) for ws in asked.values() for w in ws}
+    depths: list[int] = []
+    places: list[int] = []
+    for i in range(n - 1, min(asked, default=n) - 1, -1):
+        if code[i]:
+            while depths and depths[-1] >= indents[i]:
+                depths.pop(), places.pop()
+            depths.append(indents[i])
+            places.append(i)
+        for w in asked.get(i, ()):
+            at = bisect_right(depths, indents[header[w - 1]]) - 1
+            if at >= 0:
+                found[w] = (header[w - 1] + 1, places[at])
+    return found
+
+
 def enclosing_function(targets: DataFrame, files: DataFrame) -> DataFrame:
     """``(path, line_no, func_start, func_end)`` for each target line: the nearest ``def``/``class`` line at or
     above it, down to the line before the next code line indented no deeper; null when there is none.
 
-    The header is a running ``last``.  The end is an as-of join forward: every code line is filed under each
-    header depth it would close, targets under their own header's depth, and one window per (file, depth)
-    finds the next closing line.  Depths per file are few (they nest), so this stays n log n; nothing is
-    compared pairwise.
+    What is wanted is reduced to the distinct lines of each file, which meet the file's text once; a stack of indents then gives
+    all answers of a file in one pass over its lines.  No line ever leaves its file's row.
     """
-    wanted = targets.select("path", "line_no").distinct()
-    with_targets = files.join(wanted.select("path").distinct(), "path", "left_semi")
-    lines = source_lines(with_targets, universal=False)
-    body = F.regexp_replace("text", r"(?U)^\s+", "")
-    indent = F.length("text") - F.length(body)
-    marks = lines.select(
-        "path", "line_no",
-        F.when(body.startswith("def ") | body.startswith("class "), F.struct(F.col("line_no").alias("at"), indent.alias("depth"))).alias("header"),
-        F.when((body != "") & ~body.startswith("#"), indent).alias("code_indent"))
-    w = Window.partitionBy("path").orderBy("line_no")
-    led = marks.withColumn("header", F.last("header", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    asked = (led.join(wanted, ["path", "line_no"], "left_semi").filter("header IS NOT NULL")
-             .select("path", F.col("header.depth").alias("depth"), "line_no", F.col("header.at").alias("func_start")))
-    # First line that may close: after the target, and not the line right below the header.
-    asks = asked.select("path", "depth", "line_no", "func_start",
-                        F.greatest(F.col("line_no") + 1, F.col("func_start") + 2).alias("pos"), F.lit(None).cast("int").alias("close_at"))
-    depths = asked.groupBy("path").agg(F.collect_set("depth").alias("depths"))
-    closing = (marks.filter("code_indent IS NOT NULL").join(depths, "path")
-               .select("path", F.explode(F.filter("depths", lambda d: d >= F.col("code_indent"))).alias("depth"),
-                       F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("func_start"),
-                       F.col("line_no").alias("pos"), F.col("line_no").alias("close_at")))
-    nxt = Window.partitionBy("path", "depth").orderBy("pos").rangeBetween(0, Window.unboundedFollowing)
-    ends = (asks.unionByName(closing).withColumn("close_at", F.min("close_at").over(nxt)).filter("line_no IS NOT NULL"))
-    sizes = with_targets.select("path", F.size(newline_lines(F.col("content"))).alias("n_lines"))
-    found = ends.join(sizes, "path").select(
-        "path", "line_no", "func_start", F.coalesce(F.col("close_at") - 1, F.col("n_lines")).alias("func_end"))
-    return wanted.join(found, ["path", "line_no"], "left")
+    wanted = targets.select("path", "line_no").groupBy("path").agg(F.collect_set("line_no").alias("lines"), F.count_if(F.col("line_no").isNull()).alias("no_line"))
+    asked = wanted.join(files.select("path", "content"), "path", "left").select("path", "lines", "no_line", "content")
+    schema = T.StructType([targets.schema["path"], targets.schema["line_no"], T.StructField("func_start", T.IntegerType()), T.StructField("func_end", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, numbers, starts, ends = [], [], [], []
+            for path, lines, no_line, content in zip(*(batch.column(i) for i in range(4))):
+                own = [*lines.as_py()] + [None] * bool(no_line.as_py())
+                found = _functions_of(content.as_py(), [w for w in own if w is not None]) if content.is_valid else {}
+                paths += [path.as_py()] * len(own)
+                numbers += own
+                starts += [found.get(w, (None, None))[0] for w in own]
+                ends += [found.get(w, (None, None))[1] for w in own]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, batch.schema.field(1).type.value_type),
+                                              pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["path", "line_no", "func_start", "func_end"])
+
+    return asked.mapInArrow(run, schema)
 
 
 def function_text(functions: DataFrame, files: DataFrame) -> DataFrame:

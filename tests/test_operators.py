@@ -2,6 +2,8 @@
 
 import ast
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,39 @@ def test_enclosing_function(spark):
     assert text == {i: "".join(keep[g[0] - 1:g[1]]) if g else "" for i, g in got.items()}
 
 
+def test_enclosing_function_in_random_files(spark):
+    rng = random.Random(4)
+    lines = lambda: ["    " * rng.randint(0, 3) + rng.choice(["def f():", "class C:", "x = 1", "# note", "", "return"]) for _ in range(rng.randint(0, 60))]
+    texts = {f"f{i}.py": lines() for i in range(25)}
+    files = spark.createDataFrame([(p, "\n".join(t)) for p, t in texts.items()] + [("none.py", None)], "path string, content string")
+    wanted = [(p, i) for p, t in texts.items() for i in range(-1, len(t) + 3)] + [("none.py", 1), ("gone.py", 3), (None, 1), ("f1.py", None)]
+    found = context.enclosing_function(spark.createDataFrame(wanted + wanted[:40], "path string, line_no int"), files)
+    got = {(r.path, r.line_no): (r.func_start, r.func_end) if r.func_start else None for r in found.collect()}
+    assert found.count() == len(set(wanted)) == len(got)
+    for p, i in wanted:
+        t = "\n".join(texts.get(p, [])).splitlines() if p in texts else []
+        assert got[p, i] == (reference_function(t, i - 1) if i and 1 <= i <= len(t) else None), (p, i)
+
+
+def test_enclosing_function_reads_files_once_and_moves_no_lines(spark, tmp_path):
+    spark.createDataFrame([("a.py", CODE)], "path string, content string").write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame([("a.py", 3)], "path string, line_no int").write.parquet(str(tmp_path / "t"))
+    files, targets = spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "t"))
+    plan = context.enclosing_function(targets, files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "Generate" not in plan and "Window" not in plan
+    alone = context.line_context(files)._jdf.queryExecution().executedPlan().toString()
+    assert alone.count("FileScan parquet") == 1 and "Exchange" not in alone
+
+
+def test_line_context_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(context, "CHUNK", 7)
+    for text in ("\n".join(f"l{i}" for i in range(40)) + "\n", "a\r\nb\rc", "", "\n", "\n\n", None):
+        files = spark.createDataFrame([("a.py", text)], "path string, content string")
+        per_line = {r.line_no: (r.context_before, r.context_after) for r in context.line_context(files).collect()}
+        n = len(re.split("\r\n|\r|\n", text)) - (text == "" or text.endswith("\n")) if text is not None else 0
+        assert per_line == {i: reference_context(text.replace("\r\n", "\n").replace("\r", "\n"), i, i) for i in range(1, n + 1)}
+
+
 def test_import_block(spark):
     files = spark.createDataFrame([("a.py", CODE), ("b.txt", CODE), ("c.py", "x = 1\nimport a"), ("d.py", "y")], "path string, content string")
     got = {r.path: (r.imports, r.import_count) for r in context.import_block(files).collect()}
