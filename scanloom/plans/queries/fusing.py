@@ -69,8 +69,9 @@ def fusion_pairs(t):
     UNION ALL SELECT target, file_path, cwe_id, CAST(line_start AS BIGINT), CAST(1 AS BIGINT) FROM v_findings WHERE cwe_id = ''""", FUSION_VIEWS)
 def fusion_location_cwe(t):
     key = ["target", "file_path", "cwe_id"]
-    led = fu.location_leaders(t.findings).groupBy(*key, F.col("leader_line").cast("long").alias("leader_line")).agg(F.sum("n").alias("n"))
-    return led.unionByName(fu.unnamed(t.findings).select(*key, F.col("line_start").cast("long").alias("leader_line"), F.lit(1).cast("long").alias("n")))
+    led = fu.location_leaders(t.findings).select(*key, F.col("leader_line").cast("long").alias("leader_line"), "n")
+    named = led.filter("cwe_id <> ''").groupBy(*key, "leader_line").agg(F.sum("n").alias("n"))
+    return named.unionByName(led.filter("cwe_id = ''"))
 
 
 @query("fusion_accounts", "SELECT target, CAST(count(*) AS BIGINT) AS n FROM v_findings GROUP BY target")
