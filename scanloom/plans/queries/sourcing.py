@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanloom.operators import incremental as inc
@@ -40,6 +41,19 @@ def source_lines(t):
     return src.source_lines(t.docs).select("path", F.col("line_no").cast("long").alias("line_no"), F.md5("text").alias("text_md5"))
 
 
+@query("source_lines_ranges", """
+    SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) AS BIGINT) AS line_no, md5(text) AS text_md5 FROM (
+      SELECT doc_id, generate_subscripts(s, 1) AS line_no, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))""")
+def source_lines_ranges(t):
+    """The documents as text files that are read back in ranges of 64 KB; lines are numbered through all files in their order."""
+    folder = run_dir(t.spark, "texts")
+    t.documents.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(folder)
+    lines = src.read_source_lines(t.spark, folder, universal=False, split_bytes=64 * 1024)
+    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(files.select("path", before.alias("before")), "path").select((F.col("before") + F.col("line_no")).alias("line_no"), F.md5("text").alias("text_md5"))
+
+
 @query("size_cap", f"SELECT path FROM v_docs WHERE octet_length(encode(content)) <= {SMALL_FILE}")
 def size_cap(t):
     return src.size_cap(t.docs, SMALL_FILE).select("path")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -159,6 +160,33 @@ def test_source_tree(spark, tmp_path):
     assert [r.text for r in src.source_lines(src.read_source_tree(spark, str(tmp_path / "d"))).collect()] == ["x = 1"]
 
 
+@pytest.mark.parametrize("universal", [True, False])
+@pytest.mark.parametrize("split_bytes", [None, 64, 1000])
+def test_files_larger_than_a_range(spark, tmp_path, universal, split_bytes):
+    """Every line once, numbered as if its file had been read whole; breaks and characters lie across the borders of ranges."""
+    rng = random.Random(7)
+    words = ["a", "bé漢", "🙂" * 9, "x" * 150, "", "two words", "tab\there", "v\x0bt", "nel\x85", "sep\u2028z"]
+    for i, end in enumerate(["\n", "\r\n", "\r", "\n"]):
+        text = end.join(rng.choice(words) for _ in range(60)) + (end if i % 2 else "last")
+        (tmp_path / f"f{i}.txt").write_bytes(text.encode())
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "empty.txt").write_bytes(b"")
+    (tmp_path / "d" / "one.txt").write_bytes(b"one")
+    (tmp_path / "d" / "bad.txt").write_bytes(b"ok\n\xff\xfe x\n\nend\n")
+    key = lambda df: sorted((r.path.rsplit("/", 1)[-1], r.line_no, r.text) for r in df.collect())
+    whole = key(src.source_lines(src.read_source_tree(spark, str(tmp_path)), universal=universal))
+    assert key(src.read_source_lines(spark, str(tmp_path), universal=universal, split_bytes=split_bytes)) == whole
+    assert len(whole) > 200
+
+
+def test_ranges_shuffle_no_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("x\ny\n" * 50)
+    plan = src.read_source_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(src, "FEW_BLOCKS", 0)
+    assert src.read_source_lines(spark, str(tmp_path)).agg(F.max("line_no")).first()[0] == 100
+
+
 def reports(spark, *docs):
     return spark.createDataFrame([(json.dumps(d),) for d in docs], "report string")
 
