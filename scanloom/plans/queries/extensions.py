@@ -9,9 +9,10 @@ from scanloom.functions.patches import native_verdict
 from scanloom.operators import feedback, plugins
 from scanloom.operators.enrich import pair_by_finding
 from scanloom.operators.scan import scan_rules
+from scanloom.plans.queries.rules import NOT_ALLOWED, _with_entropy
 from scanloom.plans.registry import query
 from scanloom.rules.catalogue import Rule
-from scanloom.session import run_dir
+from scanloom.session import materialise, run_dir
 from scanloom.sinks import reports
 from scanloom.streaming import streams
 
@@ -130,14 +131,29 @@ def fp_model_store(t):
 
 # ---------------------------------------------------------------- streams
 
-@query("stream_scan", "SELECT 'question' AS scanner, path AS file_path FROM v_docs WHERE contains(content, '?')")
-def stream_scan(t):
-    """A user's scanner on a stream; :func:`stream_scan_rules` runs the built-in ones."""
+@query("stream_scan_plugin", "SELECT 'question' AS scanner, path AS file_path FROM v_docs WHERE contains(content, '?')")
+def stream_scan_plugin(t):
+    """A user's scanner on a stream."""
     files = (streams.read_parquet_stream(t.spark, t.folder, "documents.parquet")
              .select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content")))
     out = run_dir(t.spark, "scan")
     streams.stream_scan(files, out + "/rows", out + "/state", registry=plugins.ScannerRegistry({"question": todo_scanner}))
-    return t.spark.read.parquet(out + "/rows").select("scanner", "file_path")
+    return streams.current_findings(t.spark, out + "/rows").select("scanner", "file_path")
+
+
+@query("stream_scan", f"""
+    SELECT 'config_audit' AS scanner, rule_id, path AS file_path, CAST(line_no AS BIGINT) AS line_start FROM o_rule_hits
+    UNION ALL SELECT 'secret_scanner', 'secret.' || kind, path, CAST(line_no AS BIGINT) FROM o_secrets WHERE (kind <> 'high_entropy' OR entropy > 4.5) AND {NOT_ALLOWED}""",
+       {"o_secrets": _with_entropy("o_secret_lines")})
+def stream_scan(t):
+    """Both built-in scanners over files that arrive twice: some in an older version first, then all as they are."""
+    out = run_dir(t.spark, "scan")
+    files = t.config_files.unionByName(t.secret_files)
+    older = F.when(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(7)) == 0, F.concat("content", F.lit("\nUSER root\nprivileged: true\n"))).otherwise(F.col("content"))
+    for version in (files.withColumn("content", older), files):
+        version.write.mode("append").parquet(out + "/in")
+        streams.stream_scan(streams.read_parquet_stream(t.spark, out + "/in", "*.parquet"), out + "/rows", out + "/state")
+    return streams.current_findings(t.spark, out + "/rows").select("scanner", "rule_id", "file_path", F.col("line_start").cast("long").alias("line_start"))
 
 
 def _event_stream(t):
@@ -147,11 +163,31 @@ def _event_stream(t):
             .select(F.col("ts").cast("timestamp").alias("ts"), sev.alias("severity"), F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("id")))
 
 
-@query("stream_dedup", "SELECT DISTINCT id FROM v_reports_in")
+# Reports come in four deliveries by time; every eleventh comes one delivery late, some of these too late for the watermark.
+DELIVERIES = """
+    SELECT event_id, id, severity, ts, least(3, CAST(floor(4.0 * (epoch_ms(ts) - a) / (z - a + 1)) AS INTEGER)) + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS delivery
+    FROM v_reports_in, (SELECT epoch_ms(min(ts)) AS a, epoch_ms(max(ts)) AS z FROM v_reports_in)"""
+
+
+@query("stream_dedup", """
+    SELECT k.event_id, id, k.at AS ts_us FROM (
+      SELECT id, unnest(list_reduce(list({'at': epoch_us(ts), 'event_id': event_id} ORDER BY delivery, ts, event_id),
+        lambda acc, x: CASE WHEN len(list_filter(acc, lambda l: abs(l.at - x.at) <= 604800000000)) > 0 THEN acc ELSE list_append(acc, x) END,
+        list({'at': epoch_us(ts), 'event_id': event_id})[:0])) AS k FROM o_on_time GROUP BY id)""",
+       {"o_deliveries": DELIVERIES,
+        "o_latest": "SELECT delivery, max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM o_deliveries GROUP BY delivery",
+        "o_on_time": "SELECT d.* FROM o_deliveries d JOIN o_latest l ON l.delivery = d.delivery WHERE latest IS NULL OR epoch_ms(ts) > epoch_ms(latest) - 604800000"})
 def stream_dedup(t):
+    """Several deliveries, rows out of order and too late, and a restart after each."""
     out = run_dir(t.spark, "dedup")
-    streams.stream_dedup(_event_stream(t), out + "/rows", out + "/state")
-    return t.spark.read.parquet(out + "/rows").select("id")
+    reports = t.reports_in.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "id", "severity", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    ends = reports.agg(F.min("ms").alias("a"), F.max("ms").alias("z")).first()
+    part = F.least(F.lit(3), F.floor(4.0 * (F.col("ms") - (ends.a or 0)) / ((ends.z or 0) - (ends.a or 0) + 1)).cast("int")) + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    dealt = materialise(reports.withColumn("delivery", part), "deliveries")
+    for n in range(5):
+        dealt.filter(F.col("delivery") == n).drop("delivery", "ms").write.mode("append").parquet(out + "/in")
+        streams.stream_dedup(streams.read_parquet_stream(t.spark, out + "/in", "*.parquet"), out + "/rows", out + "/state", delay="7 days")
+    return t.spark.read.parquet(out + "/rows").select("event_id", "id", F.unix_micros("ts").alias("ts_us"))
 
 
 @query("stream_trend", """

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scanloom.operators.plugins import ScannerRegistry
 
@@ -13,24 +17,85 @@ def _drain(query) -> None:
 
 
 def stream_scan(files: DataFrame, out: str, checkpoint: str, *, registry: ScannerRegistry | None = None) -> None:
-    """Scan the files that arrived since the last run and append their findings.
+    """Scan the files that arrived since the last run, unless they were scanned before with the same content.
 
-    Stateless.  Each micro-batch goes to its own folder and overwrites it when replayed, so a lost executor or a
-    restart never doubles rows.
+    ``out/files`` keeps (path, hash) of every scanned version by micro-batch, ``out/findings`` what was found.  A file is scanned when
+    its hash differs from the last one known for its path; of several versions in one micro-batch the one with the greatest hash
+    is taken.  Each micro-batch has folders of its own, overwritten when it is replayed, and looks only at those before it, so
+    a lost executor or a restart doubles nothing.  :func:`current_findings` reads the result.
     """
     registry = registry or ScannerRegistry()
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        registry.run(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        hashed = batch.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))
+        one = hashed.groupBy("path").agg(F.max_by(F.struct(*hashed.columns), "hash").alias("f")).select("f.*")
+        known = _before(spark, f"{out}/files", batch_id)
+        if known is not None:
+            last = known.groupBy("path").agg(F.max_by("hash", "batch_id").alias("hash"))
+            one = one.join(last, ["path", "hash"], "left_anti")
+        one.write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
+        fresh = spark.read.parquet(f"{out}/versions/batch_id={batch_id}")
+        registry.run(fresh.drop("hash")).write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
+        # Last, so that a version counts as scanned only when its findings are there.
+        fresh.select("path", "hash").write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}")
 
     _drain(files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """What earlier micro-batches wrote; None for the first."""
+    if batch_id == 0:
+        return None
+    return spark.read.option("basePath", folder).parquet(folder).filter(F.col("batch_id") < batch_id)
+
+
+def current_findings(spark: SparkSession, out: str) -> DataFrame:
+    """Findings of the version of each file that was scanned last."""
+    last = spark.read.parquet(f"{out}/files").groupBy("path").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{out}/findings").join(last.withColumnRenamed("path", "file_path"), ["file_path", "batch_id"], "left_semi").drop("batch_id")
+
+
 def stream_dedup(findings: DataFrame, out: str, checkpoint: str, *, key: str = "id", ts: str = "ts", delay: str = "1 day") -> None:
-    """First report of each id; state is bounded by the watermark."""
-    unique = findings.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-    _drain(unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-           .outputMode("append").trigger(availableNow=True).start())
+    """Reports that repeat no kept report of their id within ``delay``, before or after.
+
+    Reports are taken in the order of the micro-batches and inside one by time, then by their text.  Those that are no later than the
+    watermark (``delay`` behind the latest report of earlier micro-batches) are dropped.  The state of an id is the times of
+    its kept reports that can still matter, which lie more than ``delay`` apart, so it holds two or three; a timer removes it once the
+    watermark has passed.  Ids that are null are one id.  Micro-batches are overwritten when replayed.
+    """
+    schema, exact = findings.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    start = F.timestamp_seconds(F.lit(0))
+    wait = findings.sparkSession.range(1).select(F.unix_micros(start + F.expr(f"INTERVAL {delay}")).alias("us")).first().us
+    rows = findings.withWatermark(ts, delay).select(
+        F.col(key).alias("key"), F.col(ts).alias("event_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.to_json(F.struct(*findings.columns), exact).alias("report"))
+
+    def keep(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept: list[int] = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new: list[str] = []
+        for at, report in sorted((a, r) for part in parts for a, r in zip(part["at"].tolist(), part["report"])):
+            if all(abs(at - k) > wait for k in kept):
+                kept.append(at)
+                new.append(report)
+        now = state.getCurrentWatermarkMs() * 1000
+        kept = [k for k in kept if k + wait > now]
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp((max(kept) + wait) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"report": new})
+
+    first = rows.groupBy("key").applyInPandasWithState(keep, "report string", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        reports = batch.select(F.from_json("report", schema, exact).alias("r")).select("r.*")
+        reports.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    _drain(first.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
 
 
 def windowed_counts(findings: DataFrame, *, ts: str = "ts", size: str = "1 day", slide: str | None = None, by: str = "severity") -> DataFrame:

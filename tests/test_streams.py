@@ -15,7 +15,7 @@ def event_files(spark, folder):
     return spark.read.parquet(folder)
 
 
-def test_trend_and_dedup_over_batches(spark, tmp_path):
+def test_trend_over_batches(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     batch = event_files(spark, folder)
     stream = lambda: streams.read_parquet_stream(spark, folder, "*.parquet", files_per_trigger=1)
@@ -23,8 +23,63 @@ def test_trend_and_dedup_over_batches(spark, tmp_path):
     want = sorted((r.severity, r.n) for r in streams.windowed_counts(batch).collect())
     assert sorted((r.severity, r.n) for r in streams.latest_counts(spark, out + "/trend").collect()) == want == [("HIGH", 3), ("LOW", 2)]
     assert spark.read.parquet(out + "/trend").select("batch_id").distinct().count() >= 2
-    streams.stream_dedup(stream(), out + "/dedup", out + "/dedup-state")
-    assert sorted(r.id for r in spark.read.parquet(out + "/dedup").collect()) == ["a", "b", "c"]
+
+
+def deliver(spark, folder, rows):
+    df = spark.createDataFrame(rows, "id string, n int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    df.write.mode("append").parquet(folder)
+
+
+def test_dedup_over_deliveries_late_rows_and_restarts(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda d, h=0: f"2024-01-{d:02d} {h:02d}:00:00.123456"
+    run = lambda: streams.stream_dedup(streams.read_parquet_stream(spark, folder, "*.parquet"), out + "/rows", out + "/state", ts="at", delay="2 days")
+    rows = lambda: sorted((r.n, str(r.at)) for r in spark.read.parquet(out + "/rows").collect())
+    deliver(spark, folder, [("a", 1, day(3)), ("a", 2, day(4)), ("a", 3, day(2)), ("b", 4, day(3)), ("a", 5, day(6)), (None, 6, day(3)), (None, 7, day(3, 1))])
+    run()
+    assert [n for n, _ in rows()] == [3, 4, 5, 6]  # 3 comes first in time, 1 and 2 repeat it, 5 lies four days on
+    assert rows()[0][1] == "2024-01-02 00:00:00.123456"
+    # The watermark stands two days behind the sixth: the third is too late, the fifth is not.
+    deliver(spark, folder, [("c", 10, day(3)), ("c", 11, day(5)), ("b", 12, day(5)), ("a", 13, day(5)), ("a", 14, day(8)), ("a", 15, day(9))])
+    run()
+    assert [n for n, _ in rows()] == [3, 4, 5, 6, 11, 15]  # 12 repeats 4, 13 and 14 repeat 5
+    deliver(spark, folder, [("c", 20, day(20)), ("a", 21, day(20)), ("a", 22, day(20)), ("b", 23, day(9))])
+    run()
+    assert [n for n, _ in rows()] == [3, 4, 5, 6, 11, 15, 20, 21, 23]
+    run()  # nothing new
+    assert len(rows()) == 9
+
+
+def test_a_replayed_batch_doubles_nothing(spark, tmp_path):
+    """A micro-batch whose folder was written but that was not committed runs again."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver(spark, folder, [("a", 1, "2024-01-03"), ("b", 2, "2024-01-03")])
+    run = lambda: streams.stream_dedup(streams.read_parquet_stream(spark, folder, "*.parquet"), out + "/rows", out + "/state", ts="at")
+    run()
+    for commit in (tmp_path / "out" / "state" / "commits").iterdir():
+        commit.rename(tmp_path / commit.name)
+    run()
+    assert sorted(r.n for r in spark.read.parquet(out + "/rows").collect()) == [1, 2]
+
+
+def test_unchanged_files_are_skipped_and_changed_ones_scanned_again(spark, tmp_path):
+    folder, out = str(tmp_path / "files"), str(tmp_path / "out")
+    texts = {"x/Dockerfile": "FROM a:latest\n", "y/Dockerfile": "FROM b:1\nUSER app\n", "z/.env": "K = 'AKIA" + "A1" * 8 + "'"}
+    put = lambda files: spark.createDataFrame(list(files.items()), "path string, content string").write.mode("append").parquet(folder)
+    run = lambda: streams.stream_scan(streams.read_parquet_stream(spark, folder, "*.parquet"), out + "/rows", out + "/state")
+    scanned = lambda: spark.read.parquet(out + "/rows/files").groupBy("batch_id").count().orderBy("batch_id").collect()
+    now = lambda: {(r.file_path, r.rule_id) for r in streams.current_findings(spark, out + "/rows").collect()}
+    put(texts)
+    run()
+    first = now()
+    assert ("x/Dockerfile", "docker.latest_tag") in first and ("z/.env", "secret.aws_access_key") in first
+    put({**texts, "y/Dockerfile": "FROM b:1\nUSER root\n"})
+    run()
+    assert [r["count"] for r in scanned()] == [3, 1]
+    assert now() - first == {("y/Dockerfile", "docker.root_user"), ("y/Dockerfile", "docker.no_user")}
+    put(texts)  # back to the first version: it is not the last one known
+    run()
+    assert [r["count"] for r in scanned()] == [3, 1, 1] and now() == first
 
 
 def test_scan_sees_only_new_files(spark, tmp_path):
@@ -33,8 +88,8 @@ def test_scan_sees_only_new_files(spark, tmp_path):
     run = lambda: streams.stream_scan(streams.read_parquet_stream(spark, folder, "*.parquet"), out + "/rows", out + "/state")
     add("x/Dockerfile")
     run()
-    first = spark.read.parquet(out + "/rows").count()
+    first = streams.current_findings(spark, out + "/rows").count()
     add("y/Dockerfile")
     run()
-    rows = spark.read.parquet(out + "/rows")
+    rows = streams.current_findings(spark, out + "/rows")
     assert first == 2 and rows.count() == 4 and {r.file_path for r in rows.collect()} == {"x/Dockerfile", "y/Dockerfile"}
