@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from llm.conftest import SCHEMA, VOCABULARY, prose, rows
+from scanloom.llm import neardup
 from scanloom.llm.components import components
 from scanloom.llm.neardup import near_duplicates
 
@@ -47,6 +50,44 @@ def test_against_brute_force_with_a_family_of_variants(spark):
     assert result(near_duplicates(spark.createDataFrame(rows(texts), SCHEMA))) == brute(texts)
 
 
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    one, two = prose(21, 60), prose(22, 70)
+    texts = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (5, one), (6, two), (7, prose(23, 50))]
+    got = result(near_duplicates(spark.createDataFrame(rows(texts), SCHEMA)))
+    assert {i: c for i, (_, c, _) in got.items()} == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 7}
+
+
+def test_a_large_family_below_the_limit_meets_seldom(spark, monkeypatch):
+    """Variants of one text at 0.70 to 0.85: all links are found, and hardly a pair below the limit is compared in full."""
+    r = random.Random(8)
+    base = prose(31, 200).split()
+    texts = []
+    for i in range(130):
+        own = list(base)
+        for at in r.sample(range(0, 200, 4), r.choice([3, 5, 6, 7])):
+            own[at] = r.choice(VOCABULARY) + str(i)
+        texts.append((i, " ".join(own)))
+    compared = []
+    plain = neardup.confirmed
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+    monkeypatch.setattr(neardup, "confirmed", counting)
+    assert result(near_duplicates(spark.createDataFrame(rows(texts), SCHEMA))) == brute(texts)
+    assert compared[-1] < 200
+
+
+def test_odd_sketches_never_rule_out_a_pair():
+    r = np.random.RandomState(3)
+    for n in (0, 1, 50, 3000, 20000):
+        a = r.randint(0, 2**62, n).astype(np.uint64)
+        b = np.concatenate([a[r.rand(n) > 0.1], r.randint(0, 2**62, n // 9).astype(np.uint64)])
+        apart = len(np.setxor1d(a, b))
+        bits = int(np.unpackbits((neardup.odd_sketch(a) ^ neardup.odd_sketch(b)).view(np.uint8)).sum())
+        assert bits <= apart and (apart > 200 or bits > 0.9 * apart - 2)
+
+
 def test_odd_rows(odd, odd_texts):
     got = result(near_duplicates(odd))
     assert got == brute(odd_texts)
