@@ -61,14 +61,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     vocabulary = wins.select(F.explode("win").alias("word")).distinct()
     often = None
     for part in _slices(vocabulary, F.col("word")):
-        one = words.select(F.explode("words").alias("word")).join(F.broadcast(part), "word").groupBy("word").count()
+        # The outer forms: the plain ones would tokenise every text again in a filter against empty arrays.
+        one = words.select(F.explode_outer("words").alias("word")).join(F.broadcast(part), "word").groupBy("word").count()
         often = one if often is None else often.unionByName(one)
     spots = wins.select("win", "items", F.posexplode("win").alias("o", "word")).join(often, "word", "left")
     prefix = spots.groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "o")).alias("p"), F.first("items").alias("items"))
     prefix = prefix.select(F.col("p.word").alias("word"), F.col("p.o").alias("o"), "win", "items").cache()
 
     # '' is no word: the closing row of each document, whatever else it holds.
-    ended = words.select("doc", "version", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "word"))
+    ended = words.select("doc", "version", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("at", "word"))
     found = None
     for part in _slices(prefix, F.col("win")):
         closing = part.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).alias("o"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
