@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from scanloom.llm.tables import hand_back
 from scanloom.llm.words import pack, pack_small, unpack, unpack_small
 
 _SENT = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("own", pa.binary()), ("kept", pa.binary())])
@@ -66,6 +67,7 @@ def sharded_sums(docs: DataFrame, table: DataFrame, emit: Callable, value: Calla
             uid += batch.num_rows
 
     def meet(sent: pa.Table, shard: pa.Table) -> pa.Table:
+        hand_back()
         got = sent.to_pylist()
         out = [{k: r[k] for k in ("uid", "own", "kept")} for r in got if r["own"] is not None]
         posts = [r for r in got if r["own"] is None]

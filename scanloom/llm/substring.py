@@ -10,12 +10,13 @@ document with the smallest id keeps the passage.
 Why windows and not single chunks: a chunk is two words on average, and short phrases and lines of boilerplate recur in clean
 documents.  Windows recur only where a passage of ``window_words`` words does.
 
-Digests meet in packed postings, a few bytes each: the documents are dealt once into groups by their id; each group sends a window
+Digests meet in packed postings, a few bytes each: the documents are dealt once into groups by their id, as many as their bytes ask for; each group sends a window
 once, however many of its documents hold it, with the smallest of their ids, and gets back the windows known from smaller ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.tables import shards, ship_package
+from scanloom.llm.tables import hand_back, shards, ship_package
 from scanloom.llm.words import chunks, pack, pack_small, prefix_hash, separators, span_hash, unpack, unpack_small
 
 _SPACE = separators()
 _GEAR = np.random.RandomState(5).randint(0, 1 << 16, 256).astype(np.uint32)
 #: Bytes that the 16-bit hash looks back on, and the bits that must be zero at a word end and inside a word.
 _LOOK, _AT_WORD, _INSIDE = 16, 1, 9
+#: Bytes of text that a group of documents has on average; a group and its postings are held by one task at a time.
+GROUP_BYTES = 12_000_000
 #: Bytes without white space after which text counts as spaceless, the zero bits of a cut there, and the bytes that count as a word.
 _FAR, _AT_FAR, _WORD = 64, 5, 8
 
@@ -118,11 +121,15 @@ def remove_repeats(docs: DataFrame, window_words: int = 32, id_col: str = "doc_i
     columns of the names added here are replaced.  Empty table: no rows.
     """
     ship_package(docs.sparkSession)
-    n = shards(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first().n or 0
+    n = max(shards(docs.sparkSession), math.ceil(size / GROUP_BYTES))
     group = "_substring_group"
     names = [c for c in docs.columns if c not in ("removed_spans", "removed_bytes", group)]
+    # Rows without an id repeat nothing and pass by.
+    known_id = F.col(id_col).cast("long").isNotNull()
+    beside = docs.filter(~known_id).select(*names, F.array().cast("array<array<bigint>>").alias("removed_spans"), F.lit(0).cast("bigint").alias("removed_bytes"))
     # Both passes read all columns of ``dealt``, so the texts are shuffled once and that exchange is used twice.
-    dealt = docs.select(*names, F.pmod(F.hash(F.col(id_col).cast("long")), F.lit(n)).alias(group))
+    dealt = docs.filter(known_id).select(*names, F.pmod(F.hash(F.col(id_col).cast("long")), F.lit(n)).alias(group))
     bounds = np.arange(n, dtype=np.uint64) * np.uint64(2**64 // n)
 
     def read(part: pa.Table):
@@ -131,6 +138,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 32, id_col: str = "doc_i
         return texts, ids, list(windows([_bytes(t) for t in texts], window_words))
 
     def post(key: tuple, part: pa.Table) -> pa.Table:
+        hand_back()
         _, ids, cut = read(part)
         d, low = _of_group(ids, cut)
         at = np.append(np.searchsorted(d, bounds), len(d)).tolist()
@@ -140,6 +148,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 32, id_col: str = "doc_i
                          "ids": pa.array([pack_small(low[a:b].view(np.uint64)) for _, a, b in rows], pa.binary())})
 
     def meet(part: pa.Table) -> pa.Table:
+        hand_back()
         keys = [unpack(x) for x in part.column("keys").to_pylist()]
         ids = [unpack_small(x).astype(np.uint64).view(np.int64) for x in part.column("ids").to_pylist()]
         all_keys, least = _least(np.concatenate(keys), np.concatenate(ids))
@@ -150,6 +159,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 32, id_col: str = "doc_i
     out_schema = dealt.select(*names).schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def cut_out(part: pa.Table, known: pa.Table) -> pa.Table:
+        hand_back()
         texts, ids, cut = read(part)
         d, low = _of_group(ids, cut)
         low[np.isin(d, np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in known.column("keys").to_pylist())]))] = np.iinfo(np.int64).min
@@ -181,4 +191,5 @@ def remove_repeats(docs: DataFrame, window_words: int = 32, id_col: str = "doc_i
     posted = dealt.groupBy(group).applyInArrow(post, "grp int, shard int, keys binary, ids binary")
     repeats = posted.groupBy("shard").applyInArrow(meet, "grp int, keys binary")
     both = dealt.groupBy(group).cogroup(repeats.groupBy("grp"))
-    return both.applyInArrow(cut_out, f"{out_schema}, removed_spans array<array<bigint>>, removed_bytes bigint")
+    cut = both.applyInArrow(cut_out, f"{out_schema}, removed_spans array<array<bigint>>, removed_bytes bigint")
+    return cut.unionByName(beside)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scanloom.session import materialise, ship_package
 
-__all__ = ["batches", "documents", "materialise", "of_rest", "ship_package", "shards", "table"]
+__all__ = ["batches", "documents", "hand_back", "materialise", "of_rest", "ship_package", "shards", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,10 +32,20 @@ def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hand_back() -> None:
+    """Give freed memory of this Python worker back to the machine: workers are kept between tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
     def run(it):
         for batch in it:
             yield from fn(batch)
+        batch = None
+        hand_back()
 
     return df.mapInArrow(run, schema)
