@@ -42,11 +42,12 @@ def scan_rules(files: DataFrame, rules: list[cat.Rule] = cat.RULES, keep: tuple[
     # Position 0 stands for the file itself, so files and lines are covered by one generator.
     each = split.select(
         *keep, "path", "family", "file_hits",
-        F.posexplode(F.concat(F.array(F.lit("")), F.col("lines"))).alias("pos", "text"))
+        F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("lines"))).alias("pos", "text"))
     hits = each.select(
         *keep, "path", "pos", "text",
-        F.explode(F.when(F.col("pos") == 0, F.col("file_hits"))
-                  .otherwise(cat.line_rules(F.col("family"), F.col("text"), rules))).alias("rule_id"))
+        # The outer forms: before the plain ones, Spark would test all patterns again in a filter against empty arrays.
+        F.explode_outer(F.when(F.col("pos") == 0, F.col("file_hits"))
+                        .otherwise(cat.line_rules(F.col("family"), F.col("text"), rules))).alias("rule_id")).filter("rule_id IS NOT NULL")
     line = F.greatest(F.col("pos"), F.lit(1))
     return hits.select(
         *keep, F.lit("config_audit").alias("scanner"), "rule_id",
@@ -128,7 +129,7 @@ def scan_rule_table(files: DataFrame, rules: DataFrame, *, keep: tuple[str, ...]
         rows = F.concat(
             F.transform(F.filter("hits", lambda c: ~F.array_contains(every, c["rule_id"])), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["line_no"].alias("line_no"), c["text"].alias("text"))),
             F.transform(missing, lambda i: F.struct(i.alias("rule_id"), F.lit(1).alias("line_no"), F.lit("").alias("text"))))
-        parts.append(found.select(*columns, F.inline(rows)))
+        parts.append(found.select(*columns, F.explode_outer(rows).alias("hit")).filter("hit IS NOT NULL").select(*columns, "hit.*"))
     if not parts:
         parts = [files.select(*columns, F.lit("").alias("rule_id"), F.lit(1).alias("line_no"), F.lit("").alias("text")).limit(0)]
     hits = reduce(DataFrame.unionByName, parts)
@@ -173,8 +174,8 @@ def _secret_hits(files: DataFrame, min_entropy: float, keep: tuple[str, ...]) ->
     values = F.transform("candidates", lambda c: F.struct(
         c["line_no"].alias("line_no"), c["text"].alias("text"), c["rule_id"].alias("kind"), F.regexp_extract_all(c["text"], c["pattern"], F.lit(1)).alias("values")))
     each = (pattern_candidates(files, patterns, keep=keep)
-            .select(*keep, "path", F.inline(F.filter(values, lambda c: F.size(c["values"]) > 0)))
-            .select(*keep, "path", "line_no", "text", "kind", F.explode("values").alias("value"))
+            .select(*keep, "path", F.explode_outer(values).alias("c")).filter("size(c.values) > 0")
+            .select(*keep, "path", "c.line_no", "c.text", "c.kind", F.explode("c.values").alias("value"))
             .withColumn("entropy", shannon_entropy(F.col("value"))))
     return each.filter((F.col("kind") != sec.ENTROPY_RULE.name) | (F.col("entropy") > min_entropy))
 

@@ -44,7 +44,8 @@ def size_cap(files: DataFrame, max_bytes: int = MAX_TARGET_BYTES) -> DataFrame:
 def source_lines(files: DataFrame, *, universal: bool = True) -> DataFrame:
     """``(path, line_no, text)``, 1-based.  A narrow step: no shuffle."""
     lines = split_lines(F.col("content")) if universal else newline_lines(F.col("content"))
-    return (files.select("path", F.posexplode(lines).alias("pos", "text"))
+    # The outer form: before the plain one, Spark would split every text again in a filter against empty arrays.
+    return (files.select("path", F.posexplode_outer(lines).alias("pos", "text")).filter("pos IS NOT NULL")
             .select("path", (F.col("pos") + 1).alias("line_no"), "text"))
 
 
@@ -94,6 +95,6 @@ def read_source_lines(spark: SparkSession, root: str, *, universal: bool = True,
         raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
                .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("text")))
         if universal:
-            raw = raw.select("path", "block", F.explode(F.split("text", LINE_BREAK, -1)).alias("text"))
+            raw = raw.select("path", "block", F.explode_outer(F.split("text", LINE_BREAK, -1)).alias("text"))
         lines = numbered_blocks(raw, ["path"], "block").select("path", "line_no", "text")
         return lines if split_bytes is None else materialise(lines, "lines")

@@ -1,7 +1,6 @@
 """Other scanners' JSON reports to unified finding rows.
 
-A report is one JSON text per row.  Parsing is one ``from_json`` with a fixed schema (so unread fields
-are never materialised) plus ``inline``; no shuffle.
+A report is one JSON text per row.  It is parsed once, into a variant, from which the fields of a fixed schema are taken; no shuffle.
 """
 
 from __future__ import annotations
@@ -13,14 +12,14 @@ from scanloom.functions.scalar import confidence_map, finding_id, last_part, sev
 from scanloom.schemas import FINDING_COLUMNS, conform
 
 _POS = "struct<line: int, col: int>"
-SEMGREP = (
-    "results array<struct<check_id: string, path: string, start: " + _POS + ", end: " + _POS + ", "
+_SEMGREP_RESULTS = (
+    "array<struct<check_id: string, path: string, start: " + _POS + ", end: " + _POS + ", "
     "extra: struct<message: string, severity: string, lines: string, fingerprint: string, is_ignored: boolean, "
-    "validation_state: string, metadata: variant>>>, errors array<string>, time struct<total_time: double>")
-BANDIT = (
-    "results array<struct<test_id: string, test_name: string, issue_text: string, issue_severity: string, "
+    "validation_state: string, metadata: variant>>>")
+_BANDIT_RESULTS = (
+    "array<struct<test_id: string, test_name: string, issue_text: string, issue_severity: string, "
     "issue_confidence: string, cwe: string, filename: string, line_number: int, code: string, more_info: string, "
-    "col_offset: int, end_col_offset: int>>, errors array<string>, metrics string")
+    "col_offset: int, end_col_offset: int>>")
 
 # The severities and confidences the Python scanner is asked for.
 BANDIT_SEVERITIES = ["HIGH", "MEDIUM"]
@@ -43,10 +42,20 @@ def _int(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(0))
 
 
-def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Semgrep reports to findings; missing keys take their defaults.  :func:`parse_errors` has the unreadable reports."""
-    rows = (reports.filter(~unreadable(F.col(json_col))).select(*keep, F.from_json(json_col, SEMGREP)["results"].alias("r"))
-            .select(*keep, F.inline("r")))
+def _results(reports: DataFrame, json_col: str, keep: tuple[str, ...], kind: str, partitions: int | None) -> DataFrame:
+    """The result objects of all readable reports, one row each.  A report is parsed once, and only its wanted fields are taken out."""
+    dealt = reports if partitions is None else reports.repartition(partitions)
+    found = F.try_variant_get(F.try_parse_json(json_col), "$.results", kind)
+    # The outer form: before the plain one, Spark would parse every report again in a filter against empty arrays.
+    return dealt.select(*keep, F.explode_outer(found).alias("r")).filter("r IS NOT NULL").select(*keep, "r.*")
+
+
+def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = (), *, partitions: int | None = None) -> DataFrame:
+    """Semgrep reports to findings; missing keys take their defaults.  :func:`parse_errors` has the unreadable reports.
+
+    ``partitions`` deals the reports out to that many tasks before they are parsed, for inputs that come in few large pieces.
+    """
+    rows = _results(reports, json_col, keep, _SEMGREP_RESULTS, partitions)
     meta = F.col("extra.metadata")
     out = rows.select(
         *keep,
@@ -70,11 +79,10 @@ def ingest_semgrep(reports: DataFrame, json_col: str = "report", keep: tuple[str
     return out
 
 
-def ingest_bandit(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
+def ingest_bandit(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = (), *, partitions: int | None = None) -> DataFrame:
     """Bandit reports to findings; the end line is the start line.  A CWE given as an object yields its id.
-    :func:`parse_errors` has the unreadable reports."""
-    rows = (reports.filter(~unreadable(F.col(json_col))).select(*keep, F.from_json(json_col, BANDIT)["results"].alias("r"))
-            .select(*keep, F.inline("r")))
+    :func:`parse_errors` has the unreadable reports; ``partitions`` is that of :func:`ingest_semgrep`."""
+    rows = _results(reports, json_col, keep, _BANDIT_RESULTS, partitions)
     cwe = F.coalesce(F.get_json_object("cwe", "$.id"), F.col("cwe"), F.lit(""))
     return rows.select(
         *keep,
@@ -125,13 +133,12 @@ def parse_errors(reports: DataFrame, json_col: str = "report", keep: tuple[str,
 
 def report_metrics(reports: DataFrame, json_col: str = "report", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per report: findings, errors, total time and whether it could not be read, which counts as one error."""
-    bad = unreadable(F.col(json_col))
-    doc = F.when(~bad, F.from_json(json_col, SEMGREP))
-    return reports.select(
-        *keep, bad.alias("parse_error"),
-        F.greatest(F.coalesce(F.size(doc["results"]), F.lit(0)), F.lit(0)).cast("long").alias("finding_count"),
-        F.when(bad, 1).otherwise(F.greatest(F.coalesce(F.size(doc["errors"]), F.lit(0)), F.lit(0))).cast("long").alias("error_count"),
-        F.coalesce(doc["time"]["total_time"], F.lit(0.0)).alias("total_time"))
+    size = lambda key: F.greatest(F.coalesce(F.size(F.try_variant_get("doc", f"$.{key}", "array<variant>")), F.lit(0)), F.lit(0))
+    bad = F.col("doc").isNull()
+    return reports.select(*keep, F.try_parse_json(json_col).alias("doc")).select(
+        *keep, bad.alias("parse_error"), size("results").cast("long").alias("finding_count"),
+        F.when(bad, 1).otherwise(size("errors")).cast("long").alias("error_count"),
+        F.coalesce(F.try_variant_get("doc", "$.time.total_time", "double"), F.lit(0.0)).alias("total_time"))
 
 
 # Canonical column -> names tried in order, by presence.
