@@ -1,14 +1,19 @@
-"""The whole scan as one lazy plan: scan, fuse, score, filter, count."""
+"""The whole scan as one lazy plan: scan, fuse, explain and patch, score, filter, check, count."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.prompts import prompt
+from scanloom.functions.responses import extract_patch
 from scanloom.operators import feedback, fusion, stats
 from scanloom.operators.context import add_context
-from scanloom.operators.plugins import ScannerRegistry
+from scanloom.operators.plugins import ScannerRegistry, completion_stage
 from scanloom.operators.repair import check_patches
+from scanloom.session import materialise
 
 
 def scan_and_fuse(files: DataFrame, *, target: str = "", registry: ScannerRegistry | None = None, mode: str = "exact") -> DataFrame:
@@ -18,6 +23,23 @@ def scan_and_fuse(files: DataFrame, *, target: str = "", registry: ScannerRegist
     return add_context(fused, files)
 
 
+def explain_and_patch(findings: DataFrame, complete: Callable[[list[str]], list[str]], *, batch: int = 16, concurrency: int | None = None) -> DataFrame:
+    """Findings with ``ai_analysis`` and ``ai_patch`` from a user's model client.
+
+    Every distinct prompt is asked once, however many findings share it, and is known by its digest, so answers travel without their
+    prompts.  The answers are kept as a table, so no prompt is asked again when a later step is repeated.  Without an answer the explanation is the fixed text made from the scanner's own words, and there is no patch.
+    """
+    asked = findings.withColumns({f"{kind}_prompt": prompt(kind) for kind in ("explain", "patch")})
+    keyed = asked.withColumns({f"{kind}_key": F.sha2(f"{kind}_prompt", 256) for kind in ("explain", "patch")})
+    texts = keyed.select(F.explode_outer(F.array(*[F.struct(F.col(f"{kind}_key").alias("key"), F.col(f"{kind}_prompt").alias("prompt")) for kind in ("explain", "patch")])).alias("p"))
+    answers = materialise(completion_stage(texts.select("p.*").dropDuplicates(["key"]), complete, key="key", batch=batch, concurrency=concurrency), "answers")
+    out = keyed.drop("explain_prompt", "patch_prompt", "ai_analysis", "ai_patch")
+    for kind, text in (("explain", F.coalesce("response", prompt("fallback"))), ("patch", F.coalesce(extract_patch(F.col("response")), F.lit("")))):
+        found = answers.select(F.col("key").alias(f"{kind}_key"), "response")
+        out = out.join(found, f"{kind}_key", "left").withColumn("ai_analysis" if kind == "explain" else "ai_patch", text).drop("response", f"{kind}_key")
+    return out.select(*[c for c in findings.columns if c in out.columns], *[c for c in ("ai_analysis", "ai_patch") if c not in findings.columns])
+
+
 def finish(fused: DataFrame, *, model=None, fp_threshold: float = feedback.FP_THRESHOLD, check: bool = True) -> DataFrame:
     """Score, drop likely false positives, check patches."""
     kept = feedback.drop_false_positives(feedback.score_fp(fused, model), threshold=fp_threshold)
@@ -35,3 +57,11 @@ def scored_statistics(findings: DataFrame, by: tuple[str, ...] = ("target",)) ->
     fused = fusion.fuse_by_location(findings)
     kept = feedback.drop_false_positives(feedback.score_fp(fused))
     return stats.scan_statistics(kept, by=by)
+
+
+def full_scan(files: DataFrame, *, target: str = "", complete: Callable[[list[str]], list[str]] | None = None, mode: str = "exact", model=None,
+              registry: ScannerRegistry | None = None) -> DataFrame:
+    """Files to the findings of a report: scanned, fused, with context, explained and patched if there is a client, without likely false
+    positives, patches checked."""
+    fused = scan_and_fuse(files, target=target, registry=registry, mode=mode)
+    return finish(fused if complete is None else explain_and_patch(fused, complete), model=model)
