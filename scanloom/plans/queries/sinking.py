@@ -93,6 +93,45 @@ def report_markdown(t):
     return items.groupBy("scan_id", F.md5("text").alias("block_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("report_json_ends", """
+    SELECT scan_id, target_path, strftime(scan_timestamp, '%Y-%m-%d') AS day, round(duration_seconds, 6)::DOUBLE AS duration_seconds, CAST(scan_id % 7 AS BIGINT) AS total, CAST(0 AS BIGINT) AS items
+    FROM v_scan_heads""")
+def report_json_ends(t):
+    """Head and tail of every document, which together are a document without findings."""
+    heads = t.scan_heads.withColumn("statistics", F.to_json(F.struct((F.col("scan_id") % 7).alias("total"))))
+    ends = reports.report_json(_findings(t), heads).filter(F.col("part") != reports.ITEM)
+    docs = ends.groupBy("scan_id").agg(F.concat(F.max(F.when(F.col("part") == reports.HEAD, F.col("text"))), F.max(F.when(F.col("part") == reports.TAIL, F.col("text")))).alias("doc"))
+    get = lambda k: F.get_json_object("doc", "$." + k)
+    return docs.select("scan_id", get("target_path").alias("target_path"), F.substring(get("scan_timestamp"), 1, 10).alias("day"),
+                       F.round(get("duration_seconds").cast("double"), 6).alias("duration_seconds"), get("statistics.total").cast("long").alias("total"),
+                       F.json_array_length(get("findings")).cast("long").alias("items"))
+
+
+@query("report_sarif_ends", """
+    SELECT scan_id, '2.1.0' AS version, 'scanloom' AS tool, CAST(1 AS BIGINT) AS runs, CAST(0 AS BIGINT) AS items FROM v_scan_heads""")
+def report_sarif_ends(t):
+    ends = reports.report_sarif(_findings(t), t.scan_heads).filter(F.col("part") != reports.ITEM)
+    docs = ends.groupBy("scan_id").agg(F.concat(F.max(F.when(F.col("part") == reports.HEAD, F.col("text"))), F.max(F.when(F.col("part") == reports.TAIL, F.col("text")))).alias("doc"))
+    get = lambda k: F.get_json_object("doc", "$." + k)
+    return docs.select("scan_id", get("version").alias("version"), get("runs[0].tool.driver.name").alias("tool"), F.json_array_length(get("runs")).cast("long").alias("runs"),
+                       F.json_array_length(get("runs[0].results")).cast("long").alias("items"))
+
+
+@query("report_markdown_head", f"""
+    SELECT h.scan_id, target_path, strftime(scan_timestamp, '%Y-%m-%d') AS day, total_findings, critical_count, high_count, medium_count, low_count, info_count, validated_patches
+    FROM v_scan_heads h JOIN (SELECT scan_id, CAST(count(*) AS BIGINT) AS total_findings, {SEV_SUMS}, CAST(count(*) FILTER (patch_validated) AS BIGINT) AS validated_patches
+      FROM v_findings GROUP BY scan_id) c ON c.scan_id = h.scan_id""")
+def report_markdown_head(t):
+    """The summary and the severity table, read back from the text."""
+    by_scan = stats.scan_statistics(t.findings).join(t.scan_heads, "scan_id")
+    heads = reports.report_markdown(_findings(t), by_scan).filter(F.col("part") == reports.HEAD)
+    count = lambda name: F.regexp_extract("text", r"\| \S+ " + name + r" \| (\d+) \|", 1).cast("long")
+    return heads.select("scan_id", F.regexp_extract("text", "Target\\*\\* \\| `([^`]*)`", 1).alias("target_path"), F.substring(F.regexp_extract("text", r"Scan Time\*\* \| ([^|]*) \|", 1), 1, 10).alias("day"),
+                        F.regexp_extract("text", r"Total Findings\*\* \| (\d+) \|", 1).cast("long").alias("total_findings"),
+                        *[count(s).alias(s.lower() + "_count") for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")],
+                        F.regexp_extract("text", r"Validated Patches\*\* \| (\d+) \|", 1).cast("long").alias("validated_patches"))
+
+
 @query("html_tables", f"""
     SELECT scan_id, substr({ID}, 1, 8) AS short_id, severity, rule_name, split_part(file_path, '/', 3) || ':' || CAST(line_start AS STRING) AS location, coalesce(nullif(cwe_id, ''), 'N/A') AS cwe,
       CASE WHEN ai_patch = '' THEN 'No Patch' WHEN patch_validated THEN 'Validated' ELSE 'Unvalidated' END AS patch_status FROM v_findings""")
