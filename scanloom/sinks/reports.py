@@ -87,14 +87,17 @@ def markdown_head(stats: DataFrame) -> DataFrame:
 def _document(heads: DataFrame, items: DataFrame, tails: DataFrame | None, separator: str = "") -> DataFrame:
     """Pieces of all documents.  ``heads``/``tails`` = (scan_id, text); ``items`` = (scan_id, ord, text).
 
-    A separator goes in front of every item but a scan's first.  The first is found by a map-side minimum, not
-    by numbering a scan's items in one task; equal items are counted and told apart by a copy number.
+    A separator goes in front of every item but a scan's first.  The first is found by a map-side minimum over orders and digests,
+    not by numbering a scan's items in one task; equal items are counted and told apart by a copy number.  Items are known by their
+    digests, and the first ones join under the key of the counting, so a text is shuffled once and is never a key.
     """
     if separator:
-        counted = items.groupBy("scan_id", "ord", "text").agg(F.count(F.lit(1)).alias("copies"))
-        single = counted.select("scan_id", "ord", "text", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
-        first = items.groupBy("scan_id").agg(F.min(F.struct("ord", "text")).alias("first"))
-        led = single.join(first, "scan_id").withColumn("is_first", (F.struct("ord", "text") == F.col("first")) & (F.col("copy") == 1))
+        known = items.withColumn("digest", F.md5("text"))
+        key = ["scan_id", "ord", "digest"]
+        counted = known.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
+        first = known.groupBy("scan_id").agg(F.min(F.struct("ord", "digest")).alias("f")).select("scan_id", "f.ord", "f.digest", F.lit(True).alias("leads"))
+        single = counted.join(first, key, "left").select("*", F.explode_outer(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+        led = single.withColumn("is_first", F.coalesce("leads", F.lit(False)) & (F.col("copy") == 1))
         body = led.select("scan_id", F.lit(ITEM).alias("part"),
                           F.struct((~F.col("is_first")).alias("late"), "ord", "copy").alias("ord"),
                           F.when(F.col("is_first"), F.col("text")).otherwise(F.concat(F.lit(separator), "text")).alias("text"))
