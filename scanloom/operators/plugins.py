@@ -68,11 +68,3 @@ def completion_stage(prompts: DataFrame, complete: Callable[[list[str]], list[st
             yield pd.DataFrame({key: rows[key], "response": pd.Series(answers, dtype=object, index=rows.index)})
 
     return (wanted if concurrency is None else wanted.repartition(concurrency)).mapInPandas(run, schema)
-
-
-def register_functions(spark) -> None:
-    """The Python-backed functions under SQL names."""
-    from scanloom.functions.patches import python_syntax_error
-    from scanloom.functions.text import text_similarity
-    spark.udf.register("text_similarity", text_similarity)
-    spark.udf.register("python_syntax_error", python_syntax_error)
