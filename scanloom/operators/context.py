@@ -115,22 +115,30 @@ def add_context(findings: DataFrame, files: DataFrame, *, before: int = BEFORE,
         c: F.when(F.col("inside"), F.coalesce(c, F.lit(""))).otherwise("") for c in ("context_before", "context_after")}).drop("inside")
 
 
+def _imports_of(content: str) -> list[str]:
+    lines, ends = _text_lines(content)
+    kept: list[str] = []
+    for i, line in enumerate(lines):
+        body = line.strip(SPACE_CHARS)
+        if body.startswith(("import ", "from ")):
+            kept.append(line + ("\n" if i < len(lines) - 1 or ends else ""))
+        elif kept and body and not body.startswith(("#", '"""', "'''")):
+            break
+    return kept
+
+
 def import_block(files: DataFrame) -> DataFrame:
     """Leading imports of Python files: import lines up to the first other code line after an import.
 
-    Array functions inside the file's row; no shuffle.
+    A narrow step that stops reading a file at its first other code line; no shuffle.
     """
-    s = lambda ln: F.regexp_replace(ln, r"(?U)^\s+|\s+$", "")
-    imp = lambda ln: s(ln).startswith("import ") | s(ln).startswith("from ")
-    other = lambda ln: ((s(ln) != "") & ~imp(ln) & ~s(ln).startswith("#") & ~s(ln).startswith('"""') & ~s(ln).startswith("'''"))
-    numbered = F.transform("lines", lambda ln, i: F.struct(i.alias("i"), ln.alias("ln"), imp(ln).alias("imp"), other(ln).alias("stop")))
-    first = F.array_min(F.transform(F.filter("rows", lambda r: r["imp"]), lambda r: r["i"]))
-    stop = F.array_min(F.transform(F.filter("rows", lambda r: r["stop"] & (r["i"] > F.col("first"))), lambda r: r["i"]))
-    kept = F.transform(F.filter("rows", lambda r: r["imp"] & (F.col("stop").isNull() | (r["i"] < F.col("stop")))),
-                       lambda r: F.concat(r["ln"], F.when((r["i"] < F.size("rows") - 1) | F.col("ends_nl"), "\n").otherwise("")))
-    py = _with_lines(files.filter(F.col("path").endswith(".py")))
-    return (py.select("path", "ends_nl", numbered.alias("rows")).withColumn("first", first).withColumn("stop", stop)
-            .select("path", F.array_join(kept, "").alias("imports"), F.size(kept).cast("long").alias("import_count")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if c is None else _imports_of(c) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if f is None else "".join(f) for f in found], pa.string()),
+                                              pa.array([None if f is None else len(f) for f in found], pa.int64())], names=["path", "imports", "import_count"])
+
+    return files.filter(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, "path string, imports string, import_count long")
 
 
 def _functions_of(content: str, wanted: list[int]) -> dict[int, tuple[int, int]]:
