@@ -28,7 +28,7 @@ _ROWS = 40
 
 def bounds(n: int, bits: int) -> np.ndarray:
     """First key of each of ``n`` shards of equal ranges."""
-    return np.arange(n, dtype=np.uint64) * np.uint64((1 << bits) // n)
+    return np.arange(n, dtype=np.uint64) * np.uint64(min((1 << bits) // n, (1 << 64) - 1))
 
 
 def slices(key: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:

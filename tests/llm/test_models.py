@@ -100,19 +100,60 @@ def test_pitman_yor_is_a_distribution(spark):
         assert abs(total + hpylm._unseen(s, model.history, np.array([ctx]))[0] - 1) < 1e-9
 
 
-def test_seating_follows_the_restaurant():
+def seat_one_by_one(c, others, prior, d, strength, sweeps, r):
+    """Mean tables of a dish when single customers leave and are seated again given all others."""
+    sizes, seen = [c], 0
+    for sweep in range(sweeps + 20):
+        for _ in range(c):
+            at = r.choices(range(len(sizes)), sizes)[0]
+            sizes[at] -= 1
+            if not sizes[at]:
+                sizes.pop(at)
+            weights = [x - d for x in sizes] + [(strength + d * (others + len(sizes))) * prior]
+            at = r.choices(range(len(weights)), weights)[0]
+            sizes[at:at + 1] = [sizes[at] + 1] if at < len(sizes) else [1]
+        seen += len(sizes) if sweep >= 20 else 0
+    return seen / sweeps
+
+
+def test_seating_is_the_conditional_of_single_customers():
     rng = np.random.default_rng(1)
-    n, c, prior, d, strength, others = 4000, 60, 0.02, 0.6, 1.0, 30
-    fast = hpylm.seat(np.full(n, c), np.full(n, others), np.full(n, prior), d, strength, rng).mean()
-    slow = []
-    for _ in range(n):
-        t = 1
-        for k in range(1, c):
-            a = (strength + d * (others + t)) * prior
-            t += rng.random() * (a + k - d * t) < a
-        slow.append(t)
-    assert abs(fast - np.mean(slow)) < 0.03 * np.mean(slow)
-    assert hpylm.seat(np.ones(5, int), np.zeros(5), np.ones(5), d, strength, rng).tolist() == [1] * 5
+    n = 20000
+    for c, others, prior, d in ((30, 1000, 0.01, 0.8), (12, 5, 0.3, 0.4), (60, 30, 0.02, 0.6)):
+        got = hpylm.seat(np.full(n, c), np.full(n, float(others)), np.full(n, prior), d, 1.0, rng).mean()
+        assert abs(got - seat_one_by_one(c, others, prior, d, 1.0, 1500, random.Random(3))) < 0.03 * got
+    assert hpylm.seat(np.ones(5, int), np.zeros(5), np.ones(5), 0.6, 1.0, rng).tolist() == [1] * 5
+
+
+def test_seating_of_large_dishes(monkeypatch):
+    cases = [(3000, o, p, d) for o, p, d in ((1e3, 0.001, 0.6), (1e3, 0.5, 0.5), (1e4, 0.01, 0.8), (1e5, 0.01, 0.8), (1e6, 0.01, 0.8), (1e6, 0.001, 0.6), (100, 0.3, 0.9), (0, 0.0001, 0.05))]
+    n, rng = 2000, np.random.default_rng(2)
+    got = [hpylm.seat(np.full(n, c), np.full(n, o), np.full(n, p), d, 1.0, rng) for c, o, p, d in cases]
+    monkeypatch.setattr(hpylm, "EXACT", 3000)
+    for (c, o, p, d), tables in zip(cases, got):
+        t = np.arange(1, c + 1)
+        w = np.cumsum(np.log((1 + d * (o + t - 1)) * p)) + hpylm._log_stirling.__wrapped__(d)[c, 1:]
+        w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+        mean = (w * t).sum()
+        deviation = math.sqrt((w * t * t).sum() - mean**2)
+        assert abs(tables.mean() - mean) < 0.015 * mean + 4 * deviation / math.sqrt(n), (o, p, d)
+        assert abs(tables.std() - deviation) < 0.1 * deviation + 0.05, (o, p, d)
+
+
+def test_frequent_words_do_not_depend_on_batches(spark):
+    # 99 of 200,000 tokens are not a share of 1/2000, 100 are; both come in few texts and in many.
+    filler = [f"w{i}" for i in range(30000)]
+    words_ = ["edge"] * 99 + ["just"] * 100 + [filler[i % 30000] for i in range(199301)]
+    random.Random(5).shuffle(words_)
+    found = []
+    for texts, parts in ((500, 1), (500, 40)):
+        size = -(-len(words_) // texts)
+        docs = spark.createDataFrame([(" ".join(words_[i * size:(i + 1) * size]),) for i in range(texts)], "text string").repartition(parts)
+        frequent, total = hpylm.frequent_words(docs)
+        assert total == 200000
+        found.append(set(frequent.tolist()))
+    name = lambda w: int(hpylm.tokens([w])[0][0])
+    assert found[0] == found[1] == {int(hpylm.END), name(b"just")}
 
 
 def test_pitman_yor_without_training_rows(spark, odd, empty):
