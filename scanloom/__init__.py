@@ -22,7 +22,7 @@ _PUBLIC = {
     "trend_summary": "operators.trends", "top_cwe": "operators.trends", "fix_rate_by_severity": "operators.trends", "recent_history": "operators.trends",
     "changed_files": "operators.incremental", "changed_stats": "operators.incremental", "compare_scans": "operators.incremental",
     "view": "operators.filters", "ScannerRegistry": "operators.plugins", "completion_stage": "operators.plugins",
-    "record_scan": "sinks.history", "record_feedback": "sinks.history", "read_history": "sinks.history",
+    "record_scan": "sinks.history", "record_feedback": "sinks.history", "read_history": "sinks.history", "compact_history": "sinks.history",
     "report": "sinks.reports", "write_report": "sinks.reports", "register_reporter": "sinks.reports",
     "stream_scan": "streaming.streams", "stream_dedup": "streaming.streams", "stream_trend": "streaming.streams",
     "scan_and_fuse": "plans.full_scan", "finish": "plans.full_scan",

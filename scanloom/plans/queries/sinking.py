@@ -8,6 +8,8 @@ from scanloom.functions.scalar import finding_id
 from scanloom.operators import stats
 from scanloom.plans.queries.aggregations import SEV_SUMS
 from scanloom.plans.registry import query
+from scanloom.schemas import FEEDBACK_COLUMNS, FINDING_HISTORY_COLUMNS, SCAN_HISTORY_COLUMNS
+from scanloom.session import run_dir
 from scanloom.sinks import history, reports
 
 ID = "substr(sha256(file_path || ':' || CAST(line_start AS STRING) || ':' || rule_id || ':' || code_snippet), 1, 16)"
@@ -20,6 +22,12 @@ def _findings(t):
         "column_start": F.lit(1), "column_end": F.lit(2), "ai_analysis": F.col("message")})
 
 
+def _recorded(t, table):
+    root = run_dir(t.spark, "history")
+    history.record_scan(t.findings, t.scan_heads, root)
+    return history.read_history(t.spark, root, table)
+
+
 @query("record_scan", f"""
     SELECT h.scan_id, h.target_path, strftime(h.scan_timestamp, '%Y-%m-%d') AS scan_day, round(h.duration_seconds, 6) AS duration_seconds, coalesce(c.total_findings, 0) AS total_findings,
       coalesce(c.critical_count, 0) AS critical_count, coalesce(c.high_count, 0) AS high_count, coalesce(c.medium_count, 0) AS medium_count, coalesce(c.low_count, 0) AS low_count,
@@ -28,7 +36,8 @@ def _findings(t):
     LEFT JOIN (SELECT scan_id, '{{' || string_agg('"' || scanner || '":' || CAST(n AS STRING), ',' ORDER BY scanner) || '}}' AS scanner_results
       FROM (SELECT scan_id, scanner, count(*) AS n FROM v_findings GROUP BY scan_id, scanner) GROUP BY scan_id) j ON j.scan_id = h.scan_id""")
 def record_scan(t):
-    rows = history.scan_rows(t.findings, t.scan_heads)
+    """Written, committed, and read back."""
+    rows = _recorded(t, "scans").select(*SCAN_HISTORY_COLUMNS)
     return rows.withColumn("scan_day", F.date_format("scan_timestamp", "yyyy-MM-dd")).withColumn("duration_seconds", F.round("duration_seconds", 6)).drop("scan_timestamp")
 
 
@@ -36,13 +45,15 @@ def record_scan(t):
     SELECT scan_id, rule_name, severity, cwe_id, file_path, CAST(CASE WHEN ai_patch <> '' THEN 1 ELSE 0 END AS BIGINT) AS patch_generated,
       CAST(CASE WHEN patch_validated THEN 1 ELSE 0 END AS BIGINT) AS patch_validated FROM v_findings""")
 def record_findings(t):
-    return history.finding_rows(t.findings).withColumns({c: F.col(c).cast("long") for c in ("patch_generated", "patch_validated")})
+    return _recorded(t, "findings").select(*FINDING_HISTORY_COLUMNS).withColumns({c: F.col(c).cast("long") for c in ("patch_generated", "patch_validated")})
 
 
 @query("record_feedback", f"""
     SELECT {ID} AS finding_id, rule_name, severity, code_snippet, message, scanner, patch_validated AS is_true_positive FROM v_findings""")
 def record_feedback(t):
-    return history.feedback_rows(_findings(t), F.col("patch_validated"))
+    root = run_dir(t.spark, "history")
+    history.record_feedback(_findings(t), F.col("patch_validated"), root)
+    return history.read_history(t.spark, root, "feedback").select(*FEEDBACK_COLUMNS)
 
 
 @query("report_json", f"""

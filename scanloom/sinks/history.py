@@ -1,4 +1,11 @@
-"""Scan history and labels as Parquet, partitioned by month."""
+"""Scan history and labels as Parquet tables that several runs write to.
+
+A run writes its rows to folders of its own and then adds one line to a manifest, its commit: readers see the folders that the manifest
+names, so a run that broke off is not seen, and a run of the same name replaces what it wrote before.  Small runs can be
+compacted into one folder; rows carry their run, so a run can still be replaced afterwards.
+
+Layout: ``root/<table>/folder=<f>/[scan_month=<m>/]`` and ``root/manifest/`` as JSON lines (seq, folder, kind, runs, tables).
+"""
 
 from __future__ import annotations
 
@@ -6,10 +13,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from scanloom.operators.stats import scan_counts, scanner_results_json
 from scanloom.schemas import FEEDBACK_COLUMNS, FINDING_HISTORY_COLUMNS, SCAN_HISTORY_COLUMNS
 
+KINDS = {"history": ("scans", "findings"), "feedback": ("feedback",)}
+_MANIFEST = "seq long, folder string, kind string, runs array<string>, rows long"
+
 
 def scan_key(target: Column, timestamp: Column) -> Column:
     """Positive 63-bit scan id from target and time: no counter, so scans can be written in parallel."""
@@ -40,38 +51,104 @@ def feedback_rows(findings: DataFrame, label: Column, key: str = "id") -> DataFr
     return findings.withColumn("finding_id", F.col(key)).withColumn("is_true_positive", label).select(*FEEDBACK_COLUMNS)
 
 
-# Files that one month's rows of one run are spread over at most, so that a busy month is not one task.
-FILES_PER_MONTH = 8
-
-
 def record_scan(findings: DataFrame, scans: DataFrame, root: str, raw: DataFrame | None = None, run: str | None = None) -> None:
-    """Write the rows of one run below ``root``, partitioned by run and month, with the day as a column.
+    """Write the rows of one run below ``root``, partitioned by month, with the day as a column.
 
-    Rows are clustered by month and sorted by day, so a month has few files, and a query for some days reads its months and
-    skips the row groups of other days.  A run of the same name replaces what it wrote before: give a name where a step may be
-    repeated.  Without one every call adds rows.
+    Rows are gathered by month and sorted by day; partitions are cut and joined by their size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so quiet months have few files and a busy one as many as it needs, and a
+    query for some days reads its months and skips the row groups of other days.  A run of the same name replaces what it wrote before:
+    give a name where a step may be repeated.  Without one every call adds rows.  Findings whose scan is not in ``scans`` are left out.
     """
-    run = run or uuid.uuid4().hex
-    day = [F.to_date("scan_timestamp").alias("scan_date"), F.date_format("scan_timestamp", "yyyy-MM").alias("scan_month")]
-    when = scans.select("scan_id", *day)
-    for name, rows in (("scans", scan_rows(findings, scans, raw).select("*", *day)), ("findings", finding_rows(findings).join(when, "scan_id"))):
-        spread = rows.repartition("scan_month", F.pmod(F.xxhash64("scan_id"), F.lit(FILES_PER_MONTH))).sortWithinPartitions("scan_month", "scan_date")
-        spread.write.mode("overwrite").partitionBy("scan_month").parquet(f"{root}/{name}/run={run}")
+    when = scans.select("scan_id", *_days())
+    _write(root, "history", run or uuid.uuid4().hex,
+           {"scans": scan_rows(findings, scans, raw).select("*", *_days()), "findings": finding_rows(findings).join(when, "scan_id")})
 
 
-def record_feedback(findings: DataFrame, label: Column, root: str, key: str = "id") -> None:
-    feedback_rows(findings, label, key).write.mode("append").parquet(f"{root}/feedback")
+def record_feedback(findings: DataFrame, label: Column, root: str, key: str = "id", run: str | None = None) -> None:
+    """Write the labels of one run; a run of the same name replaces what it wrote before, as in :func:`record_scan`."""
+    _write(root, "feedback", run or uuid.uuid4().hex, {"feedback": feedback_rows(findings, label, key)})
 
 
 def read_history(spark: SparkSession, root: str, table: str, since: str | None = None) -> DataFrame:
-    """``scans``, ``findings`` or ``feedback`` written by the functions above; from the day ``since`` on, whose month prunes
-    the folders."""
-    rows = spark.read.parquet(f"{root}/{table}")
+    """``scans``, ``findings`` or ``feedback`` of all committed runs; from the day ``since`` on, whose month prunes the folders.
+
+    Raises ``ValueError`` where no run has been committed.
+    """
+    kind = next(k for k, tables in KINDS.items() if table in tables)
+    owners = _owners(manifest(spark, root), kind).collect()  # one short line a run
+    if not owners:
+        raise ValueError(f"no committed run of {table} below {root}")
+    rows = _read(spark, root, table, {r.folder: r.lost for r in owners})
     if since is None:
         return rows
     return rows.filter((F.col("scan_month") >= since[:7]) & (F.col("scan_date") >= F.lit(since).cast("date")))
 
 
+def compact_history(spark: SparkSession, root: str, kind: str = "history", below: int = 1_000_000) -> int:
+    """Write the runs of all folders with fewer than ``below`` rows into one folder; the number of folders that it replaces.
+
+    Readers see the old folders until the new one is committed.  A compaction that broke off leaves everything as it was.
+    """
+    small = [r for r in _owners(manifest(spark, root), kind).collect() if r.rows < below]
+    if len(small) < 2:
+        return 0
+    parts = {r.folder: r.lost for r in small}
+    tables = {t: _read(spark, root, t, parts).drop("folder") for t in KINDS[kind]}
+    _write(root, kind, None, tables, [x for r in small for x in r.kept])
+    return len(small)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(seq, folder, kind, runs, rows), one row per commit; empty where nothing has been committed."""
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{root}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def _days() -> list[Column]:
+    return [F.to_date("scan_timestamp").alias("scan_date"), F.date_format("scan_timestamp", "yyyy-MM").alias("scan_month")]
+
+
+def _write(root: str, kind: str, run: str | None, tables: dict[str, DataFrame], runs: list[str] | None = None) -> None:
+    """Write the tables to a fresh folder and commit it for ``runs``, or for ``run`` alone, whose name the rows then get."""
+    folder, rows = "f" + uuid.uuid4().hex, 0
+    for name, table in tables.items():
+        spark = table.sparkSession
+        path = f"{root}/{name}/folder={folder}"
+        named = table if run is None else table.withColumn("run", F.lit(run))
+        if "scan_month" in table.columns:
+            spread = named.hint("rebalance", F.col("scan_month")).sortWithinPartitions("scan_month", "scan_date")
+            spread.write.partitionBy("scan_month").parquet(path)
+        else:
+            named.hint("rebalance").write.parquet(path)
+        rows += spark.read.schema(named.schema).parquet(path).count()  # from the footers
+    last = manifest(spark, root).agg(F.max("seq")).first()[0]
+    line = [((last or 0) + 1, folder, kind, runs or [run], rows)]
+    spark.createDataFrame(line, _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifest")
+
+
+def _owners(commits: DataFrame, kind: str) -> DataFrame:
+    """(folder, rows, kept, lost): the folders with a run that no later commit holds, and which of their runs one does."""
+    each = commits.filter(F.col("kind") == kind).select("seq", "folder", "rows", F.explode("runs").alias("run"))
+    last = each.groupBy("run").agg(F.max(F.struct("seq", "folder")).alias("last")).select("run", F.col("last.folder").alias("owner"))
+    mine = F.col("owner") == F.col("folder")
+    per = each.join(last, "run").groupBy("folder", "rows").agg(
+        F.collect_list(F.when(mine, F.col("run"))).alias("kept"), F.collect_list(F.when(~mine, F.col("run"))).alias("lost"))
+    return per.filter(F.size("kept") > 0).orderBy("folder")
+
+
+def _read(spark: SparkSession, root: str, table: str, folders: dict[str, list[str]]) -> DataFrame:
+    """The rows of ``folders``, each without its lost runs."""
+    rows = spark.read.option("basePath", f"{root}/{table}").option("mergeSchema", "true").parquet(*[f"{root}/{table}/folder={f}" for f in folders])
+    lost = [(f, run) for f, runs in folders.items() for run in runs]
+    if not lost:
+        return rows
+    return rows.join(spark.createDataFrame(lost, "folder string, run string"), ["folder", "run"], "left_anti")
+
+
 def with_scans(history: DataFrame, scans: DataFrame) -> DataFrame:
     """History findings with their scan."""
     return history.join(scans, "scan_id")

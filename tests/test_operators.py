@@ -386,6 +386,61 @@ def test_history_tables(spark, tmp_path):
     assert spark.range(1).select(history.scan_key(F.lit("t"), F.lit("now")).alias("k")).first().k > 0
 
 
+def test_history_replays_broken_runs_and_compaction(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    h = heads(spark).withColumn("scan_timestamp", F.col("scan_timestamp").cast("timestamp")).drop("statistics")
+    n = lambda table: history.read_history(spark, root, table).count()
+    with pytest.raises(ValueError):
+        n("scans")
+    for run in ("a", "b", "c", "a"):
+        history.record_scan(found(spark), h, root, run=run)
+    assert (n("scans"), n("findings")) == (6, 12)
+
+    scan_rows = history.finding_rows
+    monkeypatch.setattr(history, "finding_rows", lambda f: scan_rows(f).withColumn("severity", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        history.record_scan(found(spark), h, root, run="b")  # scans are written, findings break off
+    monkeypatch.undo()
+    assert (n("scans"), n("findings")) == (6, 12)
+
+    before = sorted(history.read_history(spark, root, "findings").drop("folder").collect(), key=str)
+    assert history.compact_history(spark, root, below=100) == 3
+    assert sorted(history.read_history(spark, root, "findings").drop("folder").collect(), key=str) == before
+    assert history.compact_history(spark, root, below=100) == 0
+    assert history.read_history(spark, root, "scans").select("folder").distinct().count() == 1
+
+    history.record_scan(found(spark).limit(0), h.filter("scan_id = 1"), root, run="b")  # replaces one run of the compacted folder
+    assert (n("scans"), n("findings")) == (5, 8)
+    assert [r.total_findings for r in history.read_history(spark, root, "scans").filter("run = 'b'").collect()] == [0]
+    assert history.compact_history(spark, root, below=100) == 2
+    assert (n("scans"), n("findings")) == (5, 8)
+
+    for _ in range(2):
+        history.record_feedback(found(spark), F.lit(True), root, run="labels")
+    assert n("feedback") == 4
+
+
+def test_history_splits_a_busy_month_by_size(spark, tmp_path):
+    root = str(tmp_path)
+    many = spark.range(0, 60000, 1, 8).select(
+        F.when(F.col("id") % 50 == 0, 2 + F.col("id") % 9).otherwise(1).alias("scan_id"),
+        *[F.sha2(F.concat(F.lit(c), F.col("id").cast("string")), 256).alias(c) for c in ("rule_name", "severity", "cwe_id", "file_path", "ai_patch")], F.lit(True).alias("patch_validated"), F.lit("s").alias("scanner"))
+    scans = spark.range(1, 11).select(F.col("id").alias("scan_id"), F.lit("t").alias("target_path"), F.lit(1.0).alias("duration_seconds"),
+                                      F.make_timestamp(F.lit(2024), F.col("id").cast("int"), F.lit(3), F.lit(0), F.lit(0), F.lit(0)).alias("scan_timestamp"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        history.record_scan(many, scans, root, run="one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {}
+    for f in (tmp_path / "findings").rglob("*.parquet"):
+        files.setdefault(f.parent.name, []).append(f)
+    assert len(files["scan_month=2024-01"]) > 3
+    assert len(files) == 10
+    assert history.read_history(spark, root, "findings").count() == 60000
+    assert history.read_history(spark, root, "findings", "2024-02-01").count() == 1200 - many.filter("scan_id = 1 and id % 50 = 0").count()
+
+
 def test_statistics(spark):
     r = stats.scan_statistics(found(spark), raw=found(spark)).first()
     assert (r.total_findings, r.critical_count, r.info_count, r.validated_patches, r.patch_success_rate) == (4, 3, 1, 2, 0.5)
