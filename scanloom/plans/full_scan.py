@@ -27,16 +27,18 @@ def explain_and_patch(findings: DataFrame, complete: Callable[[list[str]], list[
     """Findings with ``ai_analysis`` and ``ai_patch`` from a user's model client.
 
     Every distinct prompt is asked once, however many findings share it, and is known by its digest, so answers travel without their
-    prompts.  The answers are kept as a table, so no prompt is asked again when a later step is repeated.  Without an answer the explanation is the fixed text made from the scanner's own words, and there is no patch.
+    prompts.  The findings and the answers are kept as tables, so neither is made again when a later step is repeated.  Without an answer the explanation is the fixed text made from the scanner's own words, and there is no patch.
     """
-    asked = findings.withColumns({f"{kind}_prompt": prompt(kind) for kind in ("explain", "patch")})
-    keyed = asked.withColumns({f"{kind}_key": F.sha2(f"{kind}_prompt", 256) for kind in ("explain", "patch")})
-    texts = keyed.select(F.explode_outer(F.array(*[F.struct(F.col(f"{kind}_key").alias("key"), F.col(f"{kind}_prompt").alias("prompt")) for kind in ("explain", "patch")])).alias("p"))
+    keyed = materialise(findings.withColumns({f"{kind}_key": F.sha2(prompt(kind), 256) for kind in ("explain", "patch")}), "asked")
+    texts = keyed.select(F.explode_outer(F.array(*[F.struct(F.col(f"{kind}_key").alias("key"), prompt(kind).alias("prompt")) for kind in ("explain", "patch")])).alias("p"))
     answers = materialise(completion_stage(texts.select("p.*").dropDuplicates(["key"]), complete, key="key", batch=batch, concurrency=concurrency), "answers")
-    out = keyed.drop("explain_prompt", "patch_prompt", "ai_analysis", "ai_patch")
-    for kind, text in (("explain", F.coalesce("response", prompt("fallback"))), ("patch", F.coalesce(extract_patch(F.col("response")), F.lit("")))):
-        found = answers.select(F.col("key").alias(f"{kind}_key"), "response")
-        out = out.join(found, f"{kind}_key", "left").withColumn("ai_analysis" if kind == "explain" else "ai_patch", text).drop("response", f"{kind}_key")
+    # Answers first meet the distinct pairs of digests, so a finding with its texts is shuffled once for both.
+    pairs = keyed.select("explain_key", "patch_key").distinct()
+    for kind in ("explain", "patch"):
+        pairs = pairs.join(answers.select(F.col("key").alias(f"{kind}_key"), F.col("response").alias(f"{kind}_answer")), f"{kind}_key", "left")
+    out = (keyed.drop("ai_analysis", "ai_patch").join(pairs, ["explain_key", "patch_key"], "left")
+           .withColumn("ai_analysis", F.coalesce("explain_answer", prompt("fallback")))
+           .withColumn("ai_patch", F.coalesce(extract_patch(F.col("patch_answer")), F.lit(""))))
     return out.select(*[c for c in findings.columns if c in out.columns], *[c for c in ("ai_analysis", "ai_patch") if c not in findings.columns])
 
 
