@@ -123,8 +123,9 @@ def latest_counts(spark: SparkSession, out: str, by: str = "severity") -> DataFr
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, name: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder's Parquet files of one name pattern as a stream; all that are there at a time, unless a limit is given."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """What is stored under one name pattern in a folder as a stream: Parquet files, or folders of them, as a table is when Spark
+    wrote it.  All that are there at a time, unless a limit is given."""
+    path = f"{folder}/{{{name}}}"  # braces: a single file is read as a pattern, not as the base of partitions
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)

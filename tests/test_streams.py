@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scanloom.operators.plugins import ScannerRegistry
 from scanloom.streaming import streams
 
 
@@ -93,3 +94,16 @@ def test_scan_sees_only_new_files(spark, tmp_path):
     run()
     rows = streams.current_findings(spark, out + "/rows")
     assert first == 2 and rows.count() == 4 and {r.file_path for r in rows.collect()} == {"x/Dockerfile", "y/Dockerfile"}
+
+
+def test_a_table_is_a_stream_as_a_file_and_as_a_folder_of_files(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = spark.range(40).select(F.col("id"), F.concat(F.lit("what? "), F.col("id").cast("string")).alias("text"))
+    rows.repartition(4).write.parquet(folder + "/many.parquet")  # a folder, as Spark writes it
+    rows.toPandas().to_parquet(folder + "/one.parquet")
+    for name in ("many.parquet", "one.parquet"):
+        out = f"{folder}/out-{name}"
+        files = streams.read_parquet_stream(spark, folder, name).select(F.col("id").cast("string").alias("path"), F.col("text").alias("content"))
+        found = lambda files: files.select(F.lit("q").alias("rule_id"), F.lit("q").alias("check_name"), F.lit("low").alias("severity"), "path", F.lit(1).alias("line"))
+        streams.stream_scan(files, out + "/rows", out + "/state", registry=ScannerRegistry({"q": found}))
+        assert sorted(int(r.file_path) for r in streams.current_findings(spark, out + "/rows").collect()) == list(range(40))
