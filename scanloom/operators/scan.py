@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ from scanloom.rules.literals import LineMatcher
 
 # Rules of one automaton; a larger table is read in several passes.
 RULES_A_PASS = 20_000
+# Characters of candidate lines and patterns that a task hands on at a time.
+PIECE = 1 << 22
 
 
 def routed_files(files: DataFrame) -> DataFrame:
@@ -61,36 +64,53 @@ def scan_rules(files: DataFrame, rules: list[cat.Rule] = cat.RULES, keep: tuple[
 
 def pattern_candidates(files: DataFrame, patterns: dict[str | None, list[tuple[str, str]]], *, keep: tuple[str, ...] = (),
                        family: str | None = None) -> DataFrame:
-    """``(keep, path, family, candidates)``: each file with the lines that may match, as ``(line_no, text, rule_id, pattern)``.
+    """``(keep, path, family, candidates)``: each file with the lines that may match, as ``(line_no, text, rules)``; ``rules`` has
+    ``(rule_id, pattern)``.
 
     ``patterns`` has ``(rule_id, pattern)`` by family; the patterns of family None meet every file.  A file whose family (the column
-    ``family``) has no patterns is dropped.  One pass of an automaton over the text; the texts of other lines go no further.
+    ``family``) has no patterns is dropped.  One pass of an automaton over the text; the texts of other lines go no further.  Files
+    are read one at a time and handed on in pieces of some :data:`PIECE` characters, and a line stands in them once.
     """
     common = patterns.get(None, [])
     of_family = {f: p if f is None else [*common, *p] for f, p in patterns.items()}
     columns = [*dict.fromkeys([*keep, "path", *([family] if family else [])])]
-    found = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()),
-                                      T.StructField("rule_id", T.StringType()), T.StructField("pattern", T.StringType())]))
-    schema = T.StructType([*[files.schema[c] for c in columns], T.StructField("candidates", found)])
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("text", pa.string()), ("rule_id", pa.string()), ("pattern", pa.string())]))
+    rule = T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("pattern", T.StringType())])
+    line = T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("rules", T.ArrayType(rule))])
+    schema = T.StructType([*[files.schema[c] for c in columns], T.StructField("candidates", T.ArrayType(line))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = list(dict.fromkeys(r for rules in of_family.values() for r in rules))
+        number = {r: i for i, r in enumerate(every)}
+        names_of = [pa.array([r[k] for r in every], pa.string()) for k in (0, 1)]
         matchers: dict = {}
+
+        def piece(batch: pa.RecordBatch, rows: list[int], found: list[list]) -> pa.RecordBatch:
+            lines = [x for f in found for x in f]
+            at = pa.array([n for x in lines for n in x[2]], pa.int32())
+            rules = pa.StructArray.from_arrays([c.take(at) for c in names_of], ["rule_id", "pattern"])
+            rules = pa.ListArray.from_arrays(pa.array([0, *accumulate(len(x[2]) for x in lines)], pa.int32()), rules)
+            each = pa.StructArray.from_arrays([pa.array([x[0] for x in lines], pa.int32()), pa.array([x[1] for x in lines], pa.string()), rules], ["line_no", "text", "rules"])
+            kept = batch.select(columns).take(pa.array(rows, pa.int64()))
+            return pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), each)], [*columns, "candidates"])
+
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            names = batch.column(columns.index(family)).to_pylist() if family else [None] * len(texts)
-            out, rows = [], []
-            for i, (text, name) in enumerate(zip(texts, names)):
+            names = batch.column(columns.index(family)).to_pylist() if family else [None] * batch.num_rows
+            rows, found, size = [], [], 0
+            for i, (text, name) in enumerate(zip(batch.column(len(columns)), names)):
                 name = name if name in of_family else None
-                if text is None or name not in of_family:
+                if not text.is_valid or name not in of_family:
                     continue
                 if name not in matchers:
-                    matchers[name] = LineMatcher([p for _, p in of_family[name]])
-                rules = of_family[name]
-                out.append([{"line_no": n, "text": line, "rule_id": rules[r][0], "pattern": rules[r][1]} for n, line, r in matchers[name].candidates(text)])
+                    matchers[name] = LineMatcher([p for _, p in of_family[name]]), [number[r] for r in of_family[name]]
+                matcher, place = matchers[name]
+                found.append([(n, line, [place[r] for r in hits]) for n, line, hits in matcher.lines(text.as_py())])
                 rows.append(i)
-            kept = pa.Table.from_batches([batch]).select(columns).take(pa.array(rows, pa.int64()))
-            yield from kept.append_column("candidates", pa.array(out, kind)).combine_chunks().to_batches()
+                size += sum(len(line) + 100 * len(hits) for _, line, hits in found[-1])
+                if size > PIECE:
+                    yield piece(batch, rows, found)
+                    rows, found, size = [], [], 0
+            if rows:
+                yield piece(batch, rows, found)
 
     return files.select(*columns, "content").mapInArrow(run, schema)
 
@@ -118,18 +138,21 @@ def scan_rule_table(files: DataFrame, rules: DataFrame, *, keep: tuple[str, ...]
                 absent.setdefault(r.family, []).append(r.rule_id)
         if not by_family:
             continue
-        hit = F.filter("candidates", lambda c: F.rlike(c["text"], c["pattern"]))
+        hit = F.transform("candidates", lambda c: F.struct(c["line_no"].alias("line_no"), c["text"].alias("text"), F.transform(
+            F.filter(c["rules"], lambda r: F.rlike(c["text"], r["pattern"])), lambda r: r["rule_id"]).alias("rules")))
         found = pattern_candidates(routed, by_family, keep=keep, family="family").select(*columns, "family", hit.alias("hits"))
         missing = F.array().cast("array<string>")
         for name, ids in absent.items():
             listed = F.array(*[F.lit(i) for i in ids])
             missing = F.concat(missing, F.when((F.lit(True) if name is None else F.col("family") == name),
-                                               F.array_except(listed, F.transform("hits", lambda c: c["rule_id"]))).otherwise(F.array().cast("array<string>")))
+                                               F.array_except(listed, F.flatten(F.transform("hits", lambda c: c["rules"])))).otherwise(F.array().cast("array<string>")))
         every = F.array(*[F.lit(i) for ids in absent.values() for i in ids]).cast("array<string>")
         rows = F.concat(
-            F.transform(F.filter("hits", lambda c: ~F.array_contains(every, c["rule_id"])), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["line_no"].alias("line_no"), c["text"].alias("text"))),
-            F.transform(missing, lambda i: F.struct(i.alias("rule_id"), F.lit(1).alias("line_no"), F.lit("").alias("text"))))
-        parts.append(found.select(*columns, F.explode_outer(rows).alias("hit")).filter("hit IS NOT NULL").select(*columns, "hit.*"))
+            F.transform("hits", lambda c: F.struct(c["line_no"].alias("line_no"), c["text"].alias("text"), F.filter(c["rules"], lambda r: ~F.array_contains(every, r)).alias("rules"))),
+            F.array(F.struct(F.lit(1).alias("line_no"), F.lit("").alias("text"), missing.alias("rules"))))
+        # Lines first, then their rules, so that a line's text stands once in a file's row.
+        lines = found.select(*columns, F.explode_outer(rows).alias("hit")).filter("size(hit.rules) > 0")
+        parts.append(lines.select(*columns, F.explode_outer("hit.rules").alias("rule_id"), "hit.line_no", "hit.text"))
     if not parts:
         parts = [files.select(*columns, F.lit("").alias("rule_id"), F.lit(1).alias("line_no"), F.lit("").alias("text")).limit(0)]
     hits = reduce(DataFrame.unionByName, parts)
@@ -171,11 +194,10 @@ def may_hold_secret(text: Column) -> Column:
 def _secret_hits(files: DataFrame, min_entropy: float, keep: tuple[str, ...]) -> DataFrame:
     """Credential matches of whole files: the patterns meet only lines that hold one of their literals."""
     patterns = {None: [(r.name, r.pattern) for r in [*sec.SECRET_RULES, sec.ENTROPY_RULE]]}
-    values = F.transform("candidates", lambda c: F.struct(
-        c["line_no"].alias("line_no"), c["text"].alias("text"), c["rule_id"].alias("kind"), F.regexp_extract_all(c["text"], c["pattern"], F.lit(1)).alias("values")))
     each = (pattern_candidates(files, patterns, keep=keep)
-            .select(*keep, "path", F.explode_outer(values).alias("c")).filter("size(c.values) > 0")
-            .select(*keep, "path", "c.line_no", "c.text", "c.kind", F.explode("c.values").alias("value"))
+            .select(*keep, "path", F.explode_outer("candidates").alias("c")).filter("c IS NOT NULL")
+            .select(*keep, "path", "c.line_no", "c.text", F.explode_outer("c.rules").alias("r"))
+            .select(*keep, "path", "line_no", "text", F.col("r.rule_id").alias("kind"), F.explode_outer(F.regexp_extract_all("text", F.col("r.pattern"), F.lit(1))).alias("value")).filter("value IS NOT NULL")
             .withColumn("entropy", shannon_entropy(F.col("value"))))
     return each.filter((F.col("kind") != sec.ENTROPY_RULE.name) | (F.col("entropy") > min_entropy))
 

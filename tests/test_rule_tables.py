@@ -107,3 +107,27 @@ def test_secrets_equal_all_patterns_on_all_lines(spark):
 def test_texts_are_not_shuffled(spark):
     plan = scan_secrets(files(spark, ("a", "b")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("pattern,want", [
+    (r"(?iU)privileged:\s*true", {"privileged:"}), (r"(?iU)(?-U)(?:^|[^\p{Alnum}])needle(?:[^\p{Alnum}]|$)", {"needle"}), (r"\p{L}foo", {"foo"}),
+    (r"(?x)a b c", None), (r"x[a&&[b]]cd", None), (r"[a[b]]cd", None), (r"\[a\[bcd", {"[a[bcd"}), (r"(?i)\Qab\E", None), (r"\pLfoo", {"foo"})])
+def test_literals_of_patterns_with_flags_and_classes(pattern, want):
+    assert lit.java_literals(pattern) == (frozenset(want) if want else None)
+
+
+def test_every_rule_of_the_catalogue_and_watch_words_meet_few_lines():
+    text = "\n".join(["nothing to see here"] * 50 + ["a needle, here"])
+    watched = lit.LineMatcher([scan.cat.FLAGS + r"(?-U)(?:^|[^\p{Alnum}])" + w + r"(?:[^\p{Alnum}]|$)" for w in ("needle", "thread", "thimble")])
+    assert watched.always == [] and watched.candidates(text) == [(51, "a needle, here", 0)]
+
+
+def test_many_rules_on_one_line_keep_its_text_once_and_small_pieces_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(scan, "PIECE", 500)
+    words = [f"needle{i:03d}" for i in range(60)]
+    table = rules(spark, *[(f"r.{w}", None, w, False) for w in words], ("r.gone", None, "needle059", True))
+    found = scan_rule_table(files(spark, *[(f"f{k}", "x\n" + " ".join(words[: k + 1])) for k in range(60)], ("none", None)), table).collect()
+    assert {(r.file_path, r.rule_id, r.line_start) for r in found} == {(f"f{k}", f"r.{w}", 2) for k in range(60) for w in words[: k + 1]} | {(f"f{k}", "r.gone", 1) for k in range(59)}
+    assert len(found) == 60 * 61 // 2 + 59
+    lines = scan.pattern_candidates(files(spark, ("a", "x\n" + " ".join(words))), {None: [(w, w) for w in words]}).first().candidates
+    assert [(x.line_no, len(x.rules)) for x in lines] == [(2, 60)]
