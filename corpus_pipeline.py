@@ -16,7 +16,7 @@ from scanloom.llm.tables import documents, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold of their language go.  The model is fitted on the bounded sample of all labelled rows."""
+    """Documents whose score reaches the threshold of their language go.  The model is fitted on all labelled rows."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     keep = toxicity.toxicity_score(model, F.col("text")) < toxicity.language_threshold(model, F.col("lang"))
     return docs.filter(keep)

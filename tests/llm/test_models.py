@@ -281,3 +281,28 @@ def test_toxicity_scoring_equals_the_trained_network(spark):
     b, first = toxicity._buckets([words.lowered(t) for t in texts])
     plain = toxicity._score_buckets(model, [b[a:z] for a, z in zip(first[:-1], first[1:])])
     assert np.allclose(toxicity.score_texts(model, texts), plain, atol=1e-4)
+
+
+def test_toxicity_learns_from_every_labelled_row_and_long_texts(spark, monkeypatch):
+    """The one foul word stands in long texts only; rows are many shards, and a cut counts every held-out row."""
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    seen = [(i, prose(5000 + i, 40), 0) for i in range(300)] + [(1000 + i, prose(6000 + i, 2300) + " zzvile", 1) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in seen], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in seen], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, F.lit(True), "doc_id", "text", "lang").count() == len(seen)
+    model = toxicity.fit(docs, labels)
+    foul, clean = toxicity.score_texts(model, ["some words zzvile", "some words"])
+    assert foul > clean
+    assert 0 < model.thresholds["en"] < 1
+    assert toxicity._best_cut(np.array([0.1, 0.9, 0.5]), np.array([10, 0, 1]), np.array([0, 3, 3])) == 0.3
+
+
+def test_pitman_yor_totals_are_one_row_a_part(spark):
+    """What shards say of all contexts is summed in packed rows; the sums are those of plain counting."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 37 + 1))) for i in range(90)], "doc_id long, text string")
+    model = hpylm.fit(docs)
+    sums = hpylm._summed(model.dishes, model.settings, [])
+    n = sum(i % 37 + 2 for i in range(90))
+    assert [r.ctx for r in sums] == [*range(len(model.settings.frequent) + 1), -1, -2, -3]
+    assert sum(r.a for r in sums if r.ctx >= 0) == n == model.settings.tokens
+    assert next(r.c for r in sums if r.ctx == -1) == 38
