@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from scanloom.llm.postings import bounds, sharded_sums, slices
@@ -33,6 +33,8 @@ from scanloom.llm.words import chunks, lookup, lowered, pack, pack_small, per_te
 
 SHARE, CTX_BITS, WORD_BITS = 2000, 11, 53
 EXACT, CROWDED = 512, 100
+# Sums of totals that reach the driver.
+PARTS = 8
 END = np.uint64(0x15E9D1C3B7A215)
 _TABLE = separators()
 _CTX = np.uint64((1 << CTX_BITS) - 1)
@@ -309,9 +311,15 @@ def _summed(dishes: DataFrame, s: Settings, history: list[Totals]) -> list:
             a = np.concatenate([np.bincount(d.ctx, d.count, wide), [up.sum(), (d.count == 1).sum(), (up == 1).sum()]])
             b = np.concatenate([np.bincount(d.ctx, tables, wide), [parent.sum(), (d.count == 2).sum(), (up == 2).sum()]])
             c = np.append(np.zeros(wide), [len(d.word), 0, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(wide), [-1, -2, -3]).astype(np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.int64))], ["ctx", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard % PARTS], pa.int32()), pa.array([np.stack([a, b, c]).astype(np.int64).tobytes()], pa.binary())], ["part", "totals"])
 
-    return batches(dishes, run, "ctx int, a long, b long, c long").groupBy("ctx").agg(*(F.sum(x).alias(x) for x in "abc")).collect()
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        return pa.table({"totals": pa.array([sum(np.frombuffer(x, np.int64) for x in part.column("totals").to_pylist()).tobytes()], pa.binary())})
+
+    # One row a shard, then one for each of a few parts: the rows do not grow with shards times contexts.
+    sums = batches(dishes, run, "part int, totals binary").groupBy("part").applyInArrow(add, "totals binary").collect()
+    a, b, c = sum((np.frombuffer(r.totals, np.int64) for r in sums), np.zeros(3 * (wide + 3), np.int64)).reshape(3, -1)
+    return [Row(ctx=k, a=int(a[i]), b=int(b[i]), c=int(c[i])) for i, k in enumerate([*range(wide), -1, -2, -3])]
 
 
 def _averaged(d: Shard, s: Settings, history: list[Totals], shard: int, dish: np.ndarray, word: np.ndarray, ctx: np.ndarray) -> np.ndarray:
