@@ -4,10 +4,11 @@ A word's embedding is the sum of rows of hashed tables: two for the word and thr
 other bits of a hash, so two words are confused only if all of them collide and inflected or disguised forms share a part.  Filters of several widths run over the whole text, max pooling keeps each filter's strongest place, and a
 logistic layer gives the score.  Text only: label, language, source and id are never inputs.
 
-The model is fitted on whole texts of all labelled rows but a fifth, whose scores set the thresholds.  Training rows are dealt by hash of the
-id into shards of some ``SHARD`` texts; the log-odds are summed over all shards, then every shard trains an epoch from the common
-parameters and their mean, weighted by texts, starts the next (shards send what changed).  The model is some MB of fixed size, and the driver sees sums of a few parts;
-scoring is narrow, in batches, over whole texts of any length.
+The model is fitted on whole texts of all labelled rows but a fifth, whose scores set the thresholds.  Documents and labels are dealt by
+hash of the id into shards of some ``SHARD`` labelled texts and meet there, so a text is shuffled once, at any size; the log-odds are
+summed over all shards, then every shard trains an epoch from the common parameters and their mean, weighted by texts, starts the next
+(shards send what changed, cut into ``SLICES`` that are summed apart).  The model is some MB of fixed size, and the driver sees one sum
+of each slice; scoring is narrow, in batches, over whole texts of any length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ from scanloom.llm.tables import batches, materialise, ship_package
 from scanloom.llm.words import PLAIN, chunks, lowered, prefix_hash, separators, span_hash, spans
 
 HASHES, BITS, DIM, FILTERS, WIDTHS = 5, 14, 8, 8, (1, 2, 3)
-# Training texts of a shard; parts whose sums reach the driver; steps of the scores that thresholds tell apart.
-SHARD, PARTS, GRID = 4096, 4, 1 << 16
+# Labelled texts of a shard; slices of what shards send; steps of the scores that thresholds tell apart.
+SHARD, SLICES, GRID = 4096, 64, 1 << 16
 _TABLE = separators(PLAIN)
 
 
@@ -135,6 +137,7 @@ def _epoch(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, epo
     for at in range(0, len(order), batch):
         ids = order[at:at + batch]
         g = {k: np.zeros_like(v) for k, v in p.items()}
+        read, moved = [], []
         for i in ids:
             b = words[i]
             pad = np.zeros((max(WIDTHS) - 1, DIM), f32)
@@ -158,9 +161,10 @@ def _epoch(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, epo
                     g[f"w{w}"][o] += e[at_o].T * bk
                     real = at_o < len(b)
                     if real.any():
-                        ge = (p[f"w{w}"][o] * bk).T[real]
-                        for h in range(HASHES):
-                            np.add.at(g["emb"][h], b[at_o[real], h], ge)
+                        read.append(b[at_o[real]])
+                        moved.append((p[f"w{w}"][o] * bk).T[real])
+        if read:
+            np.add.at(g["emb"], (np.arange(HASHES), np.concatenate(read)), np.concatenate(moved)[:, None, :])
         step += 1
         for k in p:
             m[k] += f32(0.1) * (g[k] - m[k])
@@ -178,9 +182,53 @@ def _best_cut(score: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
 
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(id, text, lang, y, h) of every row with a text and a label; h is a hash of the id."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & learn).groupBy(id_col).agg(F.max("toxic").cast("int").alias("y"))
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return rows.join(known, id_col).select(F.col(id_col).cast("long").alias("id"), "text", "lang", "y", F.abs(F.xxhash64(id_col) % (1 << 40)).alias("h"))
+    known = _labels(docs, labels, learn, id_col)
+    return rows.join(known, id_col).select(F.col(id_col).cast("long").alias("id"), "text", "lang", "y", _hash(id_col).alias("h"))
+
+
+def _labels(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str) -> DataFrame:
+    """(id, y): one label an id, which has the type it has in ``docs``."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & learn)
+    return known.groupBy(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col)).agg(F.max("toxic").cast("int").alias("y"))
+
+
+def _hash(id_col: str) -> Column:
+    return F.abs(F.xxhash64(id_col) % (1 << 40))
+
+
+def _dealt(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int, int, int, int]:
+    """((shard, texts), training shards, training texts, toxic ones, by how much toxic texts outnumber clean ones in all shards): every
+    row with a text and a label.
+
+    ``texts`` are a shard's (id, text, lang, y) as an Arrow stream; a fifth, by hash of the id, stands in shards after those for training.
+    """
+    n = labelled(docs, labels, learn, id_col, text_col, lang_col).groupBy((F.col("h") % 5 == 4).alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()
+    (size, toxic), (other, other_toxic) = ([sum(r[k] for r in n if r.held == x) for k in ("n", "toxic")] for x in (False, True))
+    count, more = max(1, -(-size // SHARD)), max(1, -(-other // SHARD))
+    h = _hash(id_col)
+    shard = F.when(h % 5 == 4, count + F.floor(h / 5 % more)).otherwise(F.floor(h / 5 % count)).cast("int").alias("shard")
+    texts = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & learn).select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = _labels(docs, labels, learn, id_col).select(shard, F.col(id_col).alias("id"), "y")
+
+    def meet(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        at = pc.index_in(texts.column("id"), value_set=marks.column("id").combine_chunks())
+        own = texts.select(["id", "text", "lang"]).filter(at.is_valid())
+        own = own.append_column("y", marks.column("y").take(at.drop_null()))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as out:
+            out.write_table(own)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    met = texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(meet, "shard int, texts binary")
+    return met, count, size, toxic, 2 * (other_toxic + toxic) - (other + size)
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Table]]:
+    """(shard, its texts) of rows of shards, one at a time."""
+    for shard, table in zip(batch.column(0).to_pylist(), batch.column(1)):
+        with pa.ipc.open_stream(table.as_buffer()) as stream:
+            yield shard, stream.read_all()
 
 
 def _texts(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
@@ -193,21 +241,25 @@ def _texts(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return words, part.column("y").to_numpy().astype(np.float32)
 
 
-def _over_shards(shards: DataFrame, fn: Callable[[int, list[np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over shards of one array of fixed size that ``fn(shard, words, y)`` gives; parts are summed before the driver sees them."""
+def _sums(shards: DataFrame, fn: Callable[[int, list[np.ndarray], np.ndarray], np.ndarray]) -> DataFrame:
+    """(slice, out): the sum over shards of one array of fixed size that ``fn(shard, words, y)`` gives, cut into ``SLICES``."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for shard, table in zip(batch.column(0).to_pylist(), batch.column(1)):
-            with pa.ipc.open_stream(table.as_buffer()) as stream:
-                out = fn(shard, *_texts(stream.read_all())).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([shard % PARTS], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "out"])
+        for shard, table in _read(batch):
+            out = np.array_split(fn(shard, *_texts(table)).astype(np.float32), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], ["slice", "out"])
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
         total = 0
         for x in part.column("out"):
             total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        return pa.table({"out": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "out": pa.array([total.tobytes()], pa.binary())})
 
-    return sum(np.frombuffer(r.out, np.float64) for r in batches(shards, run, "part int, out binary").groupBy("part").applyInArrow(add, "out binary").collect())
+    return batches(shards, run, "slice int, out binary").groupBy("slice").applyInArrow(add, "slice int, out binary")
+
+
+def _over_shards(shards: DataFrame, fn: Callable[[int, list[np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of :func:`_sums` in one array."""
+    return np.concatenate([np.frombuffer(r.out, np.float64) for r in sorted(_sums(shards, fn).collect(), key=lambda r: r.slice)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, epochs: int = 5, seed: int = 7,
@@ -218,24 +270,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, epochs:
     the share of positives (0 if there are none) to every text.
     """
     ship_package(docs.sparkSession)
-    rows = labelled(docs, labels, F.lit(True) if learn is None else learn, id_col, text_col, lang_col)
-    held = F.col("h") % 5 == 4
-    n = rows.groupBy(held.alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()
-    size, toxic = (sum(r[k] for r in n if not r.held) for k in ("n", "toxic"))
+    dealt, count, size, toxic, lead = _dealt(docs, labels, F.lit(True) if learn is None else learn, id_col, text_col, lang_col)
     if not 0 < toxic < size:
         model = Model(np.zeros((HASHES, 1 << BITS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), 0.0)
-        model.base = 20.0 if 2 * sum(r.toxic for r in n) > sum(r.n for r in n) else -20.0
+        model.base = 20.0 if lead > 0 else -20.0
         return model
-    count = -(-size // SHARD)
-
-    def packed(key: tuple, part: pa.Table) -> pa.Table:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.select(["id", "text", "y"]).schema) as out:
-            out.write_table(part.select(["id", "text", "y"]))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    train = rows.filter(~held).select(F.floor(F.col("h") / 5 % count).cast("int").alias("shard"), "id", "text", "y")
-    shards = materialise(train.groupBy("shard").applyInArrow(packed, "shard int, texts binary"), "labelled")
+    dealt = materialise(dealt, "labelled")
+    shards = dealt.filter(F.col("shard") < count)
     has = _over_shards(shards, lambda shard, words, y: _held(words, y)).reshape(2, HASHES, 1 << BITS)
     p = _start(_log_odds(has, toxic / size), seed)
     for epoch in range(epochs):
@@ -251,7 +292,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, epochs:
         at, clean, toxic = (group[c].to_numpy(np.float64) for c in ("at", "clean", "toxic"))
         return pd.DataFrame({"lang": group["lang"][:1], "every": group["every"][:1], "clean": [clean.sum()], "toxic": [toxic.sum()], "cut": [_best_cut(at / GRID, clean, toxic)]})
 
-    scored = rows.filter(held).select("lang", "y", F.round(toxicity_score(model, F.col("text")) * GRID).cast("int").alias("at"))
+    def rate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, part in _read(batch):
+            at = np.floor(score_texts(model, part.column("text").to_pylist()) * GRID + 0.5).astype(np.int32)
+            yield from part.select(["lang", "y"]).append_column("at", pa.array(at)).to_batches()
+
+    scored = batches(dealt.filter(F.col("shard") >= count), rate, "lang string, y int, at int")
     each = scored.select("y", "at", F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit("").alias("lang")), F.struct(F.lit(False).alias("every"), F.col("lang")))).alias("g"))
     counts = each.select("g.*", "y", "at").filter("lang IS NOT NULL").groupBy("every", "lang", "at").agg(F.count_if(F.col("y") == 0).alias("clean"), F.sum("y").alias("toxic"))
     for r in counts.groupBy("every", "lang").applyInPandas(cut, "lang string, every boolean, clean double, toxic double, cut double").orderBy("lang").collect():  # one row a language

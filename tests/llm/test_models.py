@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 
 from llm.conftest import SCHEMA, VOCABULARY, prose, rows
@@ -297,6 +298,29 @@ def test_toxicity_learns_from_every_labelled_row_and_long_texts(spark, monkeypat
     assert toxicity._best_cut(np.array([0.1, 0.9, 0.5]), np.array([10, 0, 1]), np.array([0, 3, 3])) == 0.3
 
 
+def test_toxicity_texts_meet_labels_once_and_sums_come_in_slices(spark, monkeypatch):
+    """Texts are dealt by one shuffle whatever the labels' size, and the driver gets one array however many shards there are."""
+    monkeypatch.setattr(toxicity, "SHARD", 20)
+    rows_ = toxic_corpus()
+    docs = spark.createDataFrame([x[:3] for x in rows_] + [(5, "the second text of an id", None), (None, "no id", "en"), (9999, "no label", "en"), (6, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows_] + [(5, 1), (None, 1), (8888, 1)], "doc_id int, toxic int")
+    dealt, count, size, toxic, _ = toxicity._dealt(docs, labels, F.col("doc_id") < 350, "doc_id", "text", "lang")
+    assert "Join" not in dealt._jdf.queryExecution().executedPlan().toString()
+    got = {r.shard: [x for batch in batches_of(r.texts) for x in batch.to_pylist()] for r in dealt.collect()}
+    every = [x for v in got.values() for x in v]
+    assert sorted((x["id"], x["text"]) for x in every) == sorted([(i, t) for i, t, _, _ in rows_ if i < 350] + [(5, "the second text of an id")])
+    assert all(x["y"] == (x["id"] == 5 or {i: y for i, _, _, y in rows_}[x["id"]]) for x in every)
+    train = [x for s, v in got.items() if s < count for x in v]
+    assert len(train) == size and sum(x["y"] for x in train) == toxic and count == -(-size // 20) > 10
+    ones = toxicity._sums(dealt.filter(F.col("shard") < count), lambda shard, words, y: np.arange(1000) * len(y)).collect()
+    assert sum(len(r.out) for r in ones) == 8 * 1000 and max(len(r.out) for r in ones) <= 8 * 16
+    assert (toxicity._over_shards(dealt.filter(F.col("shard") < count), lambda shard, words, y: np.arange(1000) * len(y)) == np.arange(1000) * size).all()
+
+
+def batches_of(stream):
+    return pa.ipc.open_stream(stream)
+
+
 def test_pitman_yor_totals_are_one_row_a_part(spark):
     """What shards say of all contexts is summed in packed rows; the sums are those of plain counting."""
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 37 + 1))) for i in range(90)], "doc_id long, text string")
