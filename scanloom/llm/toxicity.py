@@ -5,7 +5,8 @@ other bits of a hash, so two words are confused only if all of them collide and
 logistic layer gives the score.  Text only: label, language, source and id are never inputs.
 
 The model is fitted on whole texts of all labelled rows but a fifth, whose scores set the thresholds.  Documents and labels are dealt by
-hash of the id into shards of some ``SHARD`` labelled texts and meet there, so a text is shuffled once, at any size; the log-odds are
+hash of the id into shards of some ``SHARD`` labelled texts and meet there, so a text is shuffled once, at any size, and most of those
+without a label not at all; the log-odds are
 summed over all shards, then every shard trains an epoch from the common parameters and their mean, weighted by texts, starts the next
 (shards send what changed, cut into ``SLICES`` that are summed apart).  The model is some MB of fixed size, and the driver sees one sum
 of each slice; scoring is narrow, in batches, over whole texts of any length.
@@ -13,7 +14,7 @@ of each slice; scoring is narrow, in batches, over whole texts of any length.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,12 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.tables import batches, materialise, ship_package
+from scanloom.llm.tables import batches, hand_back, materialise, ship_package
 from scanloom.llm.words import PLAIN, chunks, lowered, prefix_hash, separators, span_hash, spans
 
 HASHES, BITS, DIM, FILTERS, WIDTHS = 5, 14, 8, 8, (1, 2, 3)
 # Labelled texts of a shard; slices of what shards send; steps of the scores that thresholds tell apart.
 SHARD, SLICES, GRID = 4096, 64, 1 << 16
+# Bytes of texts whose words are looked up together: what a task holds follows it, not the size of a batch.
+TOGETHER = 1 << 17
+# Most bits of the filter that keeps texts without a label where they are read; a full one lets them pass, so it bounds nothing.
+FILTER_BITS = 1 << 26
 _TABLE = separators(PLAIN)
 
 
@@ -57,12 +62,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
+def score_texts(model: Model, texts: Sequence[str | None]) -> np.ndarray:
     """Scores of whole texts; filters become sums of table rows, so a word costs ``HASHES`` row reads.  Empty: the bias alone."""
     cols = np.concatenate([np.concatenate(list(w), axis=1) for w in model.conv], axis=1)
     tables = [(e @ cols).astype(np.float32) for e in model.emb]
     scores = np.zeros(len(texts))
-    for at, part in chunks([lowered(t) for t in texts], 1 << 19):
+    for at, part in chunks((lowered(t) for t in texts), TOGETHER):
         b, first = _buckets(part)
         pooled = np.zeros((len(part), len(model.bias)), np.float32)
         full = np.flatnonzero(np.diff(first))
@@ -197,26 +202,57 @@ def _hash(id_col: str) -> Column:
     return F.abs(F.xxhash64(id_col) % (1 << 40))
 
 
+def _bits(known: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits, of which those of the hashes ``h`` of labelled ids are set; slices are made apart and laid beside each other."""
+    step = max(8, size // SLICES)
+
+    def mark(key: tuple, part: pa.Table) -> pa.Table:
+        bits = np.zeros(step, bool)
+        bits[part.column("bit").to_numpy() - key[0].as_py() * step] = True
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    bit = (F.col("h") % size).alias("bit")
+    rows = known.select(bit).select("bit", F.expr(f"bit DIV {step}").cast("int").alias("slice"))
+    out = np.zeros((size // step, step // 8), np.uint8)
+    for r in rows.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect():
+        out[r.slice] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _maybe(bits: np.ndarray, h: Column) -> Column:
+    """False only for ids that have no label."""
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() % (8 * len(bits))
+        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return marked(h)
+
+
 def _dealt(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int, int, int, int]:
     """((shard, texts), training shards, training texts, toxic ones, by how much toxic texts outnumber clean ones in all shards): every
     row with a text and a label.
 
-    ``texts`` are a shard's (id, text, lang, y) as an Arrow stream; a fifth, by hash of the id, stands in shards after those for training.
+    ``texts`` are a shard's (id, text, lang, y) as a compressed Arrow stream; a fifth, by hash of the id, stands in shards after those for training.
     """
     n = labelled(docs, labels, learn, id_col, text_col, lang_col).groupBy((F.col("h") % 5 == 4).alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()
     (size, toxic), (other, other_toxic) = ([sum(r[k] for r in n if r.held == x) for k in ("n", "toxic")] for x in (False, True))
     count, more = max(1, -(-size // SHARD)), max(1, -(-other // SHARD))
     h = _hash(id_col)
     shard = F.when(h % 5 == 4, count + F.floor(h / 5 % more)).otherwise(F.floor(h / 5 % count)).cast("int").alias("shard")
-    texts = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & learn).select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = _labels(docs, labels, learn, id_col).select(shard, F.col(id_col).alias("id"), "y")
+    known = _labels(docs, labels, learn, id_col)
+    bits = _bits(known.select(h.alias("h")), 1 << max(10, min(FILTER_BITS.bit_length() - 1, (8 * (size + other)).bit_length())))
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & learn).filter(_maybe(bits, h))
+    texts = rows.select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.select(shard, F.col(id_col).alias("id"), "y")
 
     def meet(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        hand_back()
         at = pc.index_in(texts.column("id"), value_set=marks.column("id").combine_chunks())
         own = texts.select(["id", "text", "lang"]).filter(at.is_valid())
         own = own.append_column("y", marks.column("y").take(at.drop_null()))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, own.schema) as out:
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(own)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
@@ -235,7 +271,7 @@ def _texts(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """(table rows of the words of each text, labels), in an order that follows from ids and texts."""
     part = part.sort_by([("id", "ascending"), ("text", "ascending")])
     words = []
-    for _, some in chunks([lowered(t) for t in part.column("text").to_pylist()], 1 << 19):
+    for _, some in chunks((lowered(t.as_py()) for t in part.column("text")), TOGETHER):
         rows, first = _buckets(some)
         words += [rows[a:b].astype(np.uint16) for a, b in zip(first[:-1], first[1:])]
     return words, part.column("y").to_numpy().astype(np.float32)
@@ -294,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, epochs:
 
     def rate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, part in _read(batch):
-            at = np.floor(score_texts(model, part.column("text").to_pylist()) * GRID + 0.5).astype(np.int32)
+            at = np.floor(score_texts(model, part.column("text").to_pandas()) * GRID + 0.5).astype(np.int32)
             yield from part.select(["lang", "y"]).append_column("at", pa.array(at)).to_batches()
 
     scored = batches(dealt.filter(F.col("shard") >= count), rate, "lang string, y int, at int")
@@ -321,7 +357,9 @@ def toxicity_score(model: Model, text: Column) -> Column:
     """Score 0 to 1 of each whole text; null and empty texts get the score of no words."""
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(model, texts.tolist()))
+        out = pd.Series(score_texts(model, texts))
+        hand_back()
+        return out
 
     return scored(text)
 

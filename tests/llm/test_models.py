@@ -312,6 +312,14 @@ def test_toxicity_texts_meet_labels_once_and_sums_come_in_slices(spark, monkeypa
     assert all(x["y"] == (x["id"] == 5 or {i: y for i, _, _, y in rows_}[x["id"]]) for x in every)
     train = [x for s, v in got.items() if s < count for x in v]
     assert len(train) == size and sum(x["y"] for x in train) == toxic and count == -(-size // 20) > 10
+    # The filter of labelled ids loses none of them, spares most others, and a full one lets all pass.
+    known = spark.range(500).select(toxicity._hash("id").alias("h"))
+    others = spark.range(10_000, 20_000).select(toxicity._hash("id").alias("h"))
+    bits = toxicity._bits(known, 1 << 13)
+    assert len(bits) == 1 << 10 and known.filter(toxicity._maybe(bits, F.col("h"))).count() == 500
+    assert others.filter(toxicity._maybe(bits, F.col("h"))).count() < 1000
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 10)
+    assert sum(batches_of(r.texts).read_all().num_rows for r in toxicity._dealt(docs, labels, F.col("doc_id") < 350, "doc_id", "text", "lang")[0].collect()) == len(every)
     ones = toxicity._sums(dealt.filter(F.col("shard") < count), lambda shard, words, y: np.arange(1000) * len(y)).collect()
     assert sum(len(r.out) for r in ones) == 8 * 1000 and max(len(r.out) for r in ones) <= 8 * 16
     assert (toxicity._over_shards(dealt.filter(F.col("shard") < count), lambda shard, words, y: np.arange(1000) * len(y)) == np.arange(1000) * size).all()
