@@ -11,6 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scanloom.operators.plugins import ScannerRegistry
 
+# Ids that share one state: a call of Python serves many ids.  Fixed for a checkpoint, as the number of state partitions is.
+ID_GROUPS = 4096
+
 
 def _drain(query) -> None:
     query.awaitTermination()
@@ -60,36 +63,37 @@ def stream_dedup(findings: DataFrame, out: str, checkpoint: str, *, key: str = "
     """Reports that repeat no kept report of their id within ``delay``, before or after.
 
     Reports are taken in the order of the micro-batches and inside one by time, then by their text.  Those that are no later than the
-    watermark (``delay`` behind the latest report of earlier micro-batches) are dropped.  The state of an id is the times of
-    its kept reports that can still matter, which lie more than ``delay`` apart, so it holds two or three; a timer removes it once the
-    watermark has passed.  Ids that are null are one id.  Micro-batches are overwritten when replayed.
+    watermark (``delay`` behind the latest report of earlier micro-batches) are dropped.  Of an id the times of its kept reports
+    that can still matter are remembered, which lie more than ``delay`` apart, so two or three; ids are dealt to :data:`ID_GROUPS`
+    states by their hash.  A timer calls a state once the watermark has passed some of its times, which it then forgets.  Ids that are null are one id.  Micro-batches are overwritten when replayed.
     """
     schema, exact = findings.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     start = F.timestamp_seconds(F.lit(0))
     wait = findings.sparkSession.range(1).select(F.unix_micros(start + F.expr(f"INTERVAL {delay}")).alias("us")).first().us
     rows = findings.withWatermark(ts, delay).select(
-        F.col(key).alias("key"), F.col(ts).alias("event_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.to_json(F.struct(*findings.columns), exact).alias("report"))
+        F.pmod(F.xxhash64(key), F.lit(ID_GROUPS)).alias("id_group"), F.col(key).cast("string").alias("key"), F.col(ts).alias("event_time"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.to_json(F.struct(*findings.columns), exact).alias("report"))
 
     def keep(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept: list[int] = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            return
+        kept: dict[str | None, list[int]] = dict(zip(*state.get)) if state.exists else {}
         new: list[str] = []
-        for at, report in sorted((a, r) for part in parts for a, r in zip(part["at"].tolist(), part["report"])):
-            if all(abs(at - k) > wait for k in kept):
-                kept.append(at)
+        for at, report, id_ in sorted(((a, r, k) for part in parts for a, r, k in zip(part["at"].tolist(), part["report"], part["key"])), key=lambda x: x[:2]):
+            times = kept.setdefault(id_, [])
+            if all(abs(at - k) > wait for k in times):
+                times.append(at)
                 new.append(report)
         now = state.getCurrentWatermarkMs() * 1000
-        kept = [k for k in kept if k + wait > now]
+        kept = {i: left for i, times in kept.items() if (left := [k for k in times if k + wait > now])}
         if kept:
-            state.update((kept,))
-            state.setTimeoutTimestamp((max(kept) + wait) // 1000 + 1)
+            state.update((list(kept), [list(times) for times in kept.values()]))
+            state.setTimeoutTimestamp((min(map(min, kept.values())) + wait) // 1000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"report": new})
+        if new:
+            yield pd.DataFrame({"report": new})
 
-    first = rows.groupBy("key").applyInPandasWithState(keep, "report string", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    first = rows.groupBy("id_group").applyInPandasWithState(
+        keep, "report string", "ids array<string>, kept array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         reports = batch.select(F.from_json("report", schema, exact).alias("r")).select("r.*")

@@ -51,6 +51,23 @@ def test_dedup_over_deliveries_late_rows_and_restarts(spark, tmp_path):
     assert len(rows()) == 9
 
 
+def test_many_ids_share_a_state(spark, tmp_path, monkeypatch):
+    """The states, each a call of Python, do not grow with the ids; each id keeps its own times, and passed ones are forgotten."""
+    monkeypatch.setattr(streams, "ID_GROUPS", 3)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    run = lambda: streams.stream_dedup(streams.read_parquet_stream(spark, folder, "*.parquet"), out + "/rows", out + "/state", ts="at", delay="2 days")
+    deliver(spark, folder, [(None if i == 7 else f"id{i}", i, f"2024-01-{3 + i % 4:02d}") for i in range(60)])
+    run()
+    states = lambda: spark.read.format("statestore").load(out + "/state")
+    assert 0 < states().count() <= 3
+    deliver(spark, folder, [(None if i == 7 else f"id{i}", 100 + i, "2024-01-07") for i in range(60)])
+    run()
+    assert sorted(r.n for r in spark.read.parquet(out + "/rows").collect()) == list(range(60)) + [100 + i for i in range(60) if i % 4 < 2]
+    deliver(spark, folder, [("new", 200, "2024-02-07")])
+    run()
+    assert [list(r.ids) for r in states().select("value.groupState.ids").collect() if r.ids] == [["new"]]
+
+
 def test_a_replayed_batch_doubles_nothing(spark, tmp_path):
     """A micro-batch whose folder was written but that was not committed runs again."""
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
