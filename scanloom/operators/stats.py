@@ -61,11 +61,33 @@ def gate(findings: DataFrame, by: tuple[str, ...] = ("scan_id",), *, fail_on_hig
     return serious_count(findings, by).withColumn("fails", (F.col("critical_high") > 0) & F.lit(fail_on_high))
 
 
-def _long(findings: DataFrame, by: tuple[str, ...], kinds: dict[str, str]) -> DataFrame:
-    """(by, kind, name, n, n_validated): the cube turned into counts of several columns, in one pass over it."""
-    each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in kinds.items())))
-    return (finding_cube(findings, by).select(*by, "n", "n_validated", each.alias("e")).select(*by, "n", "n_validated", "e.*")
-            .groupBy(*by, "kind", "name").agg(F.sum("n").alias("n"), F.sum("n_validated").alias("n_validated")))
+def _counted(findings: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per ``by``: total, the five severities, validated patches, and ``cells``, the rows of the cube that they were summed from.
+
+    A scan has as many cells as it has kinds of findings, however many findings there are, and each cell is sent once.
+    """
+    severity, n = F.col("severity"), F.col("n")
+    return finding_cube(findings, by).groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings"), *[_where(severity == s, n).alias(f"{s.lower()}_count") for s in SEVERITIES],
+        F.coalesce(F.sum("n_validated"), F.lit(0)).alias("validated_patches"), F.collect_list(F.struct("scanner", "cwe_id", "n")).alias("cells"))
+
+
+def _summed(cells: Column, name: str) -> Column:
+    """Array of (name, n), in the order of the names: the cells summed by one of their columns.
+
+    The cells are sorted by that column and folded, so the cost is that of the sort.
+    """
+    named = F.sort_array(F.transform(cells, lambda c: F.struct(c[name].alias("name"), c["n"].alias("n"))))
+    none = F.array().cast("array<struct<name: string, n: bigint>>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("struct<name: string, n: bigint>").alias("open"))
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["open"].isNotNull() & acc["open"]["name"].eqNullSafe(c["name"])
+        return F.struct(
+            F.when(same | acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"),
+            F.when(same, F.struct(c["name"].alias("name"), (acc["open"]["n"] + c["n"]).alias("n"))).otherwise(c).alias("open"))
+
+    return F.aggregate(named, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
 
 
 def scan_statistics(findings: DataFrame, raw: DataFrame | None = None, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
@@ -74,17 +96,11 @@ def scan_statistics(findings: DataFrame, raw: DataFrame | None = None, by: tuple
 
     The findings are read once: everything follows from one cube.
     """
-    kind, n = F.col("kind"), F.col("n")
-    long = _long(findings, by, {"severity": "severity", "scanner": "scanner", "cwe": "cwe_id"}).filter((kind != "cwe") | (F.col("name") != ""))
-    best = Window.partitionBy(*by, "kind").orderBy(F.desc("n"), "name")
-    kept = long.withColumn("rank", F.row_number().over(best)).filter((kind != "cwe") | (F.col("rank") <= TOP_CWES))
-    entry = lambda which, order: F.when(kind == which, F.struct(order.alias("o"), "name", "n"))
-    out = kept.groupBy(*by).agg(
-        _where(kind == "severity", n).alias("total_findings"),
-        *[_where((kind == "severity") & (F.col("name") == s), n).alias(f"{s.lower()}_count") for s in SEVERITIES],
-        _where(kind == "severity", F.col("n_validated")).alias("validated_patches"),
-        count_list(entry("scanner", F.lit(0))).alias("scanner_distribution"),
-        count_list(entry("cwe", F.col("rank"))).alias("top_cwes"))
+    cells = F.col("cells")
+    named = F.filter(_summed(cells, "cwe_id"), lambda e: e["name"] != "")
+    best = F.slice(F.array_sort(F.transform(named, lambda e: F.struct((-e["n"]).alias("o"), e["name"].alias("name"), e["n"].alias("n")))), 1, TOP_CWES)
+    out = _counted(findings, by).select(
+        "*", _listed(_summed(cells, "scanner")).alias("scanner_distribution"), _listed(best).alias("top_cwes")).drop("cells")
     out = out.withColumn("patch_success_rate", _rate(F.col("validated_patches"), F.col("total_findings")))
     if raw is not None:
         out = out.join(raw_scanner_counts(raw, by), list(by), "left")
@@ -93,19 +109,18 @@ def scan_statistics(findings: DataFrame, raw: DataFrame | None = None, by: tuple
 
 def scan_counts(findings: DataFrame, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """Per scan: total, the five severities, validated patches, and ``scanner_results`` as one JSON object; one read."""
-    kind, n = F.col("kind"), F.col("n")
-    named = F.collect_list(F.when((kind == "scanner") & F.col("name").isNotNull(), F.struct("name", "n")))
-    return _long(findings, by, {"severity": "severity", "scanner": "scanner"}).groupBy(*by).agg(
-        _where(kind == "severity", n).alias("total_findings"),
-        *[_where((kind == "severity") & (F.col("name") == s), n).alias(f"{s.lower()}_count") for s in SEVERITIES],
-        _where(kind == "severity", F.col("n_validated")).alias("validated_patches"),
-        F.to_json(F.map_from_entries(F.sort_array(named))).alias("scanner_results"))
+    named = F.filter(_summed(F.col("cells"), "scanner"), lambda e: e["name"].isNotNull())
+    return _counted(findings, by).withColumn("scanner_results", F.to_json(F.map_from_entries(named))).drop("cells")
+
+
+def _listed(entries: Column) -> Column:
+    """'name=n,...' of an array of entries."""
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["name"], F.lit("="), e["n"].cast("string"))), ",")
 
 
 def count_list(entry: Column) -> Column:
     """Aggregate of (order, name, n) structs to 'name=n,...'; nulls are skipped."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(entry)),
-                                    lambda e: F.concat(e["name"], F.lit("="), e["n"].cast("string"))), ",")
+    return _listed(F.sort_array(F.collect_list(entry)))
 
 
 def raw_scanner_counts(raw: DataFrame, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:

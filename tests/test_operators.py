@@ -261,6 +261,23 @@ def test_statistics_read_their_input_once(spark, tmp_path):
         assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
 
 
+def test_statistics_send_each_cell_once(spark):
+    """One exchange counts the cube and one gathers it; the rows of the cube are not multiplied by the columns they are counted by."""
+    rows = [(1, s, n, c, True) for s, n, c in [("HIGH", "b", "CWE-2"), ("HIGH", "a", "CWE-2"), ("LOW", "b", "CWE-1"), ("LOW", None, "CWE-1"), ("INFO", "b", ""), (None, "a", "CWE-9")]]
+    rows += [(1, "LOW", "c", f"CWE-{i}", None) for i in range(20, 30)]
+    df = spark.createDataFrame(rows, "scan_id int, severity string, scanner string, cwe_id string, patch_validated boolean")
+    for one in (stats.scan_statistics(df), stats.scan_counts(df)):
+        plan = one._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan and plan.count("Aggregate(") <= 4
+    r = stats.scan_statistics(df).first()
+    assert (r.total_findings, r.high_count, r.low_count, r.info_count, r.validated_patches) == (16, 2, 12, 1, 6)
+    assert r.scanner_distribution == "a=2,b=3,c=10"
+    assert r.top_cwes == "CWE-1=2,CWE-2=2," + ",".join(f"CWE-{i}=1" for i in range(20, 28))
+    assert stats.scan_counts(df).first().scanner_results == '{"a":2,"b":3,"c":10}'
+    none = stats.scan_statistics(df.filter("scan_id = 0"), by=()).collect()
+    assert [(x.total_findings, x.top_cwes) for x in none] == [(0, "")]
+
+
 def test_labels_keep_their_rows(spark):
     labels = spark.createDataFrame([("a", 1, "LOW", "x", "m", "s"), ("gone", 0, "LOW", "x", "m", "s")],
                                    "finding_id string, is_true_positive int, severity string, code_snippet string, message string, scanner string")
