@@ -47,7 +47,7 @@ def source_lines(t):
 def source_lines_ranges(t):
     """The documents as text files that are read back in ranges of 64 KB; lines are numbered through all files in their order."""
     folder = run_dir(t.spark, "texts")
-    t.documents.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(folder)
+    t.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text").write.text(folder)
     lines = src.read_source_lines(t.spark, folder, universal=False, split_bytes=64 * 1024)
     files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
