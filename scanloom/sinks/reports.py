@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from scanloom.functions.scalar import (
     SEVERITY_ICONS, UNKNOWN_ICON, lookup, or_default, patch_status, short_id, short_location,
 )
 from scanloom.schemas import SEVERITIES
+from scanloom.session import materialise
 
 # SARIF envelope and the analysis length shown in Markdown.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -23,8 +25,12 @@ SARIF_VERSION = "2.1.0"
 ANALYSIS_CHARS = 500
 TOOL_NAME, TOOL_VERSION = "scanloom", "1.0.0"
 STANDARD_LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
+SARIF_COLUMNS = ["rule_id", "rule_name", "message", "severity", "file_path", "line_start", "line_end", "column_start", "column_end", "confidence",
+                 "cwe_id", "scanner", "ai_patch", "patch_validated"]
 
 HEAD, ITEM, TAIL = 0, 1, 2
+# Findings of a scan that meet in one task.
+SCAN_ROWS = 4096
 
 
 # ---------------------------------------------------------------- pieces
@@ -84,40 +90,74 @@ def markdown_head(stats: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- documents
 
-def _document(heads: DataFrame, items: DataFrame, tails: DataFrame | None, separator: str = "") -> DataFrame:
-    """Pieces of all documents.  ``heads``/``tails`` = (scan_id, text); ``items`` = (scan_id, ord, text).
+def _document(heads: DataFrame, findings: DataFrame, text: Column, tails: DataFrame | None, separator: str = "") -> DataFrame:
+    """Pieces of all documents.  ``heads``/``tails`` = (scan_id, text); ``text`` is the item of a row of ``findings``.
 
-    A separator goes in front of every item but a scan's first.  The first is found by a map-side minimum over orders and digests,
-    not by numbering a scan's items in one task; equal items are counted and told apart by a copy number.  Items are known by their
-    digests, and the first ones join under the key of the counting, so a text is shuffled once and is never a key.
+    A separator goes in front of every item but a scan's first.
     """
     if separator:
-        known = items.withColumn("digest", F.md5("text"))
-        key = ["scan_id", "ord", "digest"]
-        counted = known.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
-        first = known.groupBy("scan_id").agg(F.min(F.struct("ord", "digest")).alias("f")).select("scan_id", "f.ord", "f.digest", F.lit(True).alias("leads"))
-        single = counted.join(first, key, "left").select("*", F.explode_outer(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
-        led = single.withColumn("is_first", F.coalesce("leads", F.lit(False)) & (F.col("copy") == 1))
-        body = led.select("scan_id", F.lit(ITEM).alias("part"),
-                          F.struct((~F.col("is_first")).alias("late"), "ord", "copy").alias("ord"),
-                          F.when(F.col("is_first"), F.col("text")).otherwise(F.concat(F.lit(separator), "text")).alias("text"))
+        body = _separated(findings, text, separator)
     else:
-        body = items.select("scan_id", F.lit(ITEM).alias("part"),
-                            F.struct(F.lit(True).alias("late"), "ord", F.lit(1).cast("bigint").alias("copy")).alias("ord"), "text")
+        body = findings.select("scan_id", F.struct(F.lit(True).alias("late"), _item_order(findings).alias("ord"), F.lit(1).cast("bigint").alias("copy")).alias("ord"),
+                               text.alias("text"))
+    body = body.select("scan_id", F.lit(ITEM).alias("part"), "ord", "text")
     none = F.lit(None).cast(body.schema["ord"].dataType)
     out = heads.select("scan_id", F.lit(HEAD).alias("part"), none.alias("ord"), "text").unionByName(body)
     return out if tails is None else out.unionByName(tails.select("scan_id", F.lit(TAIL).alias("part"), none.alias("ord"), "text"))
 
 
+def _separated(findings: DataFrame, text: Column, separator: str, scan_rows: int | None = None) -> DataFrame:
+    """``(scan_id, ord, text)`` of every item.
+
+    Findings are shuffled as rows, which are shorter than their texts, and only once: those of a scan with at most ``scan_rows`` meet
+    and are numbered in order.  Larger scans never meet: their first items, one row a scan, are found by a map-side minimum over orders
+    and digests and join them; only items equal to a first one are counted, so that one of the copies leads.
+    """
+    scan_rows = SCAN_ROWS if scan_rows is None else scan_rows
+    large = materialise(findings.groupBy(F.col("scan_id").alias("large_id")).agg(F.count(F.lit(1)).alias("rows"))
+                        .filter(F.col("rows") > scan_rows).select("large_id"), "large")
+    is_large = F.col("scan_id").eqNullSafe(F.col("large_id"))
+    if large.isEmpty():
+        return _numbered(findings, text, separator)
+    few, many = (findings.join(large, is_large, how) for how in ("left_anti", "left_semi"))
+    return _numbered(few, text, separator).unionByName(_led(many, text, separator))
+
+
+def _numbered(findings: DataFrame, text: Column, separator: str) -> DataFrame:
+    """Items of scans that fit into a task: one shuffle by scan, ties in order of the other columns."""
+    order = _order_names(findings)
+    other = [f.name for f in findings.schema if f.name not in ("scan_id", *order) and not isinstance(f.dataType, MapType)]
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order, *other)).cast("bigint")
+    late = F.col("place") > 1
+    return findings.withColumn("place", place).select(
+        "scan_id", F.struct(late.alias("late"), _item_order(findings).alias("ord"), F.col("place").alias("copy")).alias("ord"),
+        F.concat(F.when(late, separator).otherwise(""), text).alias("text"))
+
+
+def _led(findings: DataFrame, text: Column, separator: str) -> DataFrame:
+    """Items of scans of any size: no text but those of first items is shuffled."""
+    items = findings.select("scan_id", _item_order(findings).alias("ord"), text.alias("text")).withColumn("digest", F.md5("text"))
+    first = materialise(items.groupBy(F.col("scan_id").alias("large_id")).agg(F.min(F.struct("ord", "digest")).alias("first")), "first")
+    led = items.join(first, F.col("scan_id").eqNullSafe(F.col("large_id")), "left").withColumn("leads", F.struct("ord", "digest") == F.col("first"))
+    row = lambda late, copy: F.struct(late.alias("late"), F.col("ord"), copy.cast("bigint").alias("copy")).alias("ord")
+    late = led.filter(~F.col("leads")).select("scan_id", row(F.lit(True), F.lit(1)), F.concat(F.lit(separator), "text").alias("text"))
+    equal = led.filter("leads").groupBy("scan_id", "ord").agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
+    single = equal.select("*", F.explode_outer(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    return late.unionByName(single.select(
+        "scan_id", row(F.col("copy") > 1, F.col("copy")), F.concat(F.when(F.col("copy") > 1, separator).otherwise(""), "text").alias("text")))
+
+
+def _order_names(findings: DataFrame) -> list[str]:
+    return [c for c in ("file_path", "line_start", "rule_id", "id") if c in findings.columns]
+
+
 def _item_order(findings: DataFrame) -> Column:
-    names = [c for c in ("file_path", "line_start", "rule_id", "id") if c in findings.columns]
-    return F.struct(*names)
+    return F.struct(*_order_names(findings))
 
 
 def report_json(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """JSON documents.  ``scans`` = (scan_id, target_path, scan_timestamp, duration_seconds, statistics JSON text)."""
     columns = [c for c in findings.columns if c != "scan_id"]
-    items = findings.select("scan_id", _item_order(findings).alias("ord"), finding_json(columns).alias("text"))
     js = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
     value = lambda c: F.regexp_extract(js(c), r"(?s)^\{\"v\":(.*)\}$", 1)
     heads = scans.select("scan_id", F.concat(
@@ -126,20 +166,19 @@ def report_json(findings: DataFrame, scans: DataFrame) -> DataFrame:
     tails = scans.select("scan_id", F.concat(
         F.lit('], "statistics": '), F.coalesce("statistics", F.lit("{}")), F.lit(', "duration_seconds": '),
         F.col("duration_seconds").cast("string"), F.lit("}")).alias("text"))
-    return _document(heads, items, tails, separator=", ")
+    return _document(heads, findings, finding_json(columns), tails, separator=", ")
 
 
 def report_sarif(findings: DataFrame, scans: DataFrame, *, levels: str = "plain") -> DataFrame:
-    items = findings.select("scan_id", _item_order(findings).alias("ord"), sarif_result(levels).alias("text"))
+    used = findings.select("scan_id", *dict.fromkeys([*_order_names(findings), *SARIF_COLUMNS]))
     heads = scans.select("scan_id", F.lit(
         f'{{"$schema": "{SARIF_SCHEMA}", "version": "{SARIF_VERSION}", "runs": [{{"tool": {{"driver": '
         f'{{"name": "{TOOL_NAME}", "version": "{TOOL_VERSION}"}}}}, "results": [').alias("text"))
-    return _document(heads, items, scans.select("scan_id", F.lit("]}]}").alias("text")), separator=", ")
+    return _document(heads, used, sarif_result(levels), scans.select("scan_id", F.lit("]}]}").alias("text")), separator=", ")
 
 
 def report_markdown(findings: DataFrame, stats: DataFrame) -> DataFrame:
-    items = findings.select("scan_id", _item_order(findings).alias("ord"), markdown_block().alias("text"))
-    return _document(markdown_head(stats), items, None)
+    return _document(markdown_head(stats), findings, markdown_block(), None)
 
 
 def html_rows(findings: DataFrame) -> DataFrame:

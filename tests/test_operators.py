@@ -358,6 +358,22 @@ def test_json_document(spark):
     assert json.loads(document(pieces, 2))["findings"] == []
 
 
+def test_items_meet_without_their_texts(spark):
+    plan = reports.report_json(found(spark), heads(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "any_value" not in plan and "Window" in plan  # texts are neither sorted before the shuffle nor sent
+
+
+@pytest.mark.parametrize("n, scan_rows", [(1, 1), (1, 2), (3, 1), (3, 3), (3, 4)])
+def test_large_scans_give_the_same_items(spark, monkeypatch, n, scan_rows):
+    rows = found(spark, n).unionByName(found(spark, 2).withColumn("scan_id", F.lit(None).cast("long"))).unionByName(found(spark, 1).withColumn("scan_id", F.lit(2).cast("long")).limit(1))
+    texts = lambda: sorted((str(r.scan_id), r.text) for r in reports.report_json(rows, heads(spark)).filter(F.col("part") == reports.ITEM).collect())
+    want = texts()
+    monkeypatch.setattr(reports, "SCAN_ROWS", scan_rows)
+    assert texts() == want and sum(not t.startswith(", ") for _, t in want) == 3
+    ids = [f["id"] for f in json.loads(document(reports.report_json(rows, heads(spark)), 1))["findings"]]
+    assert ids == sorted(f"id{i}" for i in [*range(n), n - 1])
+
+
 def test_sarif_document(spark):
     doc = json.loads(document(reports.report(found(spark), heads(spark), "SARIF"), 1))
     results = doc["runs"][0]["results"]
