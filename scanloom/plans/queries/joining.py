@@ -76,9 +76,8 @@ def kb_search(t):
     LEFT JOIN (SELECT path, max(line_no) AS n_lines FROM o_py_lines GROUP BY path) z ON z.path = f.file_path""")
 def context_join(t):
     out = add_context(t.code_findings, t.py_files)
-    return (out.groupBy("file_path", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"),
-                        F.md5("context_before").alias("before_md5"), F.md5("context_after").alias("after_md5"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    sites = out.groupBy("file_path", "line_start", "line_end", F.md5("context_before").alias("before_md5"), F.md5("context_after").alias("after_md5")).agg(F.count(F.lit(1)).alias("n"))
+    return sites.withColumns({c: F.col(c).cast("long") for c in ("line_start", "line_end")})  # cast last: the rows are grouped where the join left them
 
 
 @query("pair_by_finding", """

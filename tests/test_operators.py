@@ -43,6 +43,21 @@ def test_add_context(spark, text):
     assert per_line == {i: reference_context(text, i, i) for i in range(1, len(text.splitlines()) + 1)}
 
 
+def test_context_joins_once_unless_findings_are_long(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", CODE)], "path string, content string")
+    spots = [(s, e) for s in range(-70, 18, 3) for e in (s - 1, s, s + 1, s + 63, s + 64)]
+    rows = lambda spots: spark.createDataFrame([("a.py", s, e, "x") for s, e in spots], "file_path string, line_start int, line_end int, id string")
+    plan = context.add_context(rows([(1, 2)]), files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftOuter") == 1
+    want = {("a.py", s, e): reference_context(CODE, s, e) for s, e in spots if s >= 0}
+    got = {(r.file_path, r.line_start, r.line_end): (r.context_before, r.context_after) for r in context.add_context(rows(spots), files).collect()}
+    assert {k: got[k] for k in want} == want and len(got) == len(spots)
+    monkeypatch.setattr(context, "CHUNK", 5)
+    chunked = {(r.file_path, r.line_start, r.line_end): (r.context_before, r.context_after) for r in context.add_context(rows(spots), files).collect()}
+    by_line = {(r.file_path, r.line_start, r.line_end): (r.context_before, r.context_after) for r in context._by_line(rows(spots), files, 5, 5).collect()}
+    assert chunked == got == by_line
+
+
 def reference_function(lines, target):
     start = next((i for i in range(target, -1, -1) if lines[i].lstrip().startswith(("def ", "class "))), -1)
     if start < 0:
