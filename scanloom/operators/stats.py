@@ -24,8 +24,9 @@ def _where(cond: Column, n: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
 
 
-def finding_cube(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return findings.groupBy(*by, "severity", "scanner", F.coalesce("cwe_id", F.lit("")).alias("cwe_id")).agg(
+def finding_cube(findings: DataFrame, by: tuple[str, ...] = (), names: tuple[str, ...] = ("scanner", "cwe_id")) -> DataFrame:
+    own = [F.coalesce(c, F.lit("")).alias(c) if c == "cwe_id" else F.col(c) for c in names]
+    return findings.groupBy(*by, "severity", *own).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("patch_validated").alias("n_validated"))
 
 
@@ -61,15 +62,15 @@ def gate(findings: DataFrame, by: tuple[str, ...] = ("scan_id",), *, fail_on_hig
     return serious_count(findings, by).withColumn("fails", (F.col("critical_high") > 0) & F.lit(fail_on_high))
 
 
-def _counted(findings: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Per ``by``: total, the five severities, validated patches, and ``cells``, the rows of the cube that they were summed from.
+def _counted(findings: DataFrame, by: tuple[str, ...], names: tuple[str, ...] = ("scanner", "cwe_id")) -> DataFrame:
+    """Per ``by``: total, the five severities, validated patches, and ``cells``, the rows of the cube by ``names`` that they were summed from.
 
     A scan has as many cells as it has kinds of findings, however many findings there are, and each cell is sent once.
     """
     severity, n = F.col("severity"), F.col("n")
-    return finding_cube(findings, by).groupBy(*by).agg(
+    return finding_cube(findings, by, names).groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings"), *[_where(severity == s, n).alias(f"{s.lower()}_count") for s in SEVERITIES],
-        F.coalesce(F.sum("n_validated"), F.lit(0)).alias("validated_patches"), F.collect_list(F.struct("scanner", "cwe_id", "n")).alias("cells"))
+        F.coalesce(F.sum("n_validated"), F.lit(0)).alias("validated_patches"), F.collect_list(F.struct(*names, "n")).alias("cells"))
 
 
 def _summed(cells: Column, name: str) -> Column:
@@ -110,7 +111,7 @@ def scan_statistics(findings: DataFrame, raw: DataFrame | None = None, by: tuple
 def scan_counts(findings: DataFrame, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """Per scan: total, the five severities, validated patches, and ``scanner_results`` as one JSON object; one read."""
     named = F.filter(_summed(F.col("cells"), "scanner"), lambda e: e["name"].isNotNull())
-    return _counted(findings, by).withColumn("scanner_results", F.to_json(F.map_from_entries(named))).drop("cells")
+    return _counted(findings, by, ("scanner",)).withColumn("scanner_results", F.to_json(F.map_from_entries(named))).drop("cells")
 
 
 def _listed(entries: Column) -> Column:

@@ -59,9 +59,9 @@ def record_scan(findings: DataFrame, scans: DataFrame, root: str, raw: DataFrame
     query for some days reads its months and skips the row groups of other days.  A run of the same name replaces what it wrote before:
     give a name where a step may be repeated.  Without one every call adds rows.  Findings whose scan is not in ``scans`` are left out.
     """
-    when = scans.select("scan_id", *_days())
-    _write(root, "history", run or uuid.uuid4().hex,
-           {"scans": scan_rows(findings, scans, raw).select("*", *_days()), "findings": finding_rows(findings).join(when, "scan_id")})
+    when = scans.select("scan_id", F.to_date("scan_timestamp").alias("scan_date"))
+    dated = finding_rows(findings).join(when, "scan_id").withColumn("scan_month", F.date_format("scan_date", "yyyy-MM"))
+    _write(root, "history", run or uuid.uuid4().hex, {"scans": scan_rows(findings, scans, raw).select("*", *_days()), "findings": dated})
 
 
 def record_feedback(findings: DataFrame, label: Column, root: str, key: str = "id", run: str | None = None) -> None:
@@ -118,12 +118,12 @@ def _write(root: str, kind: str, run: str | None, tables: dict[str, DataFrame],
     for name, table in tables.items():
         spark = table.sparkSession
         path = f"{root}/{name}/folder={folder}"
-        named = table if run is None else table.withColumn("run", F.lit(run))
-        if "scan_month" in table.columns:
-            spread = named.hint("rebalance", F.col("scan_month")).sortWithinPartitions("scan_month", "scan_date")
-            spread.write.partitionBy("scan_month").parquet(path)
-        else:
-            named.hint("rebalance").write.parquet(path)
+        monthly = "scan_month" in table.columns
+        named = table.hint("rebalance", F.col("scan_month")).sortWithinPartitions("scan_month", "scan_date") if monthly else table.hint("rebalance")
+        if run is not None:
+            named = named.withColumn("run", F.lit(run))  # after the rows are dealt and sorted, so none of them carries it there
+        writer = named.write.partitionBy("scan_month") if monthly else named.write
+        writer.parquet(path)
         rows += spark.read.schema(named.schema).parquet(path).count()  # from the footers
     last = manifest(spark, root).agg(F.max("seq")).first()[0]
     line = [((last or 0) + 1, folder, kind, runs or [run], rows)]

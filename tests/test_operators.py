@@ -373,6 +373,14 @@ def test_json_document(spark):
     assert json.loads(document(pieces, 2))["findings"] == []
 
 
+def test_counts_of_scans_do_not_ask_for_weaknesses(spark):
+    counts = stats.scan_counts(found(spark))
+    grouped = [x for x in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(keys" in x]
+    assert grouped and not any("cwe_id" in x for x in grouped)
+    assert counts.first()["scanner_results"] == '{"s":4}' and counts.first()["total_findings"] == 4
+    assert stats.scan_statistics(found(spark)).first()["top_cwes"] == "CWE-1=3"
+
+
 def test_items_meet_without_their_texts(spark):
     plan = reports.report_json(found(spark), heads(spark))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "any_value" not in plan and "Window" in plan  # texts are neither sorted before the shuffle nor sent
