@@ -5,8 +5,9 @@ other bits of a hash, so two words are confused only if all of them collide and
 logistic layer gives the score.  Text only: label, language, source and id are never inputs.
 
 The model is fitted on whole texts of all labelled rows but a fifth, whose scores set the thresholds.  Documents and labels are dealt by
-hash of the id into shards of some ``SHARD`` labelled texts and meet there, so a text is shuffled once, at any size, and most of those
-without a label not at all; the log-odds are
+hash of the id into shards of some ``SHARD`` labelled texts and ``SHARD_BYTES`` bytes and meet there, so a text is shuffled once, at any
+size, and most of those without a label not at all; rows of an id that has more than a shard are dealt by their number, so no id makes a
+shard large, and long texts are read in steps; the log-odds are
 summed over all shards, then every shard trains an epoch from the common parameters and their mean, weighted by texts, starts the next
 (shards send what changed, cut into ``SLICES`` that are summed apart).  The model is some MB of fixed size, and the driver sees one sum
 of each slice; scoring is narrow, in batches, over whole texts of any length.
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.tables import batches, hand_back, materialise, ship_package
-from scanloom.llm.words import PLAIN, chunks, lowered, prefix_hash, separators, span_hash, spans
+from scanloom.llm.words import PLAIN, chunks, lowered, pieces, prefix_hash, separators, span_hash, spans
 
 HASHES, BITS, DIM, FILTERS, WIDTHS = 5, 14, 8, 8, (1, 2, 3)
-# Labelled texts of a shard; slices of what shards send; steps of the scores that thresholds tell apart.
-SHARD, SLICES, GRID = 4096, 64, 1 << 16
+# Labelled texts of a shard and their bytes; slices of what shards send; steps of the scores that thresholds tell apart.
+SHARD, SHARD_BYTES, SLICES, GRID = 4096, 1 << 25, 64, 1 << 16
 # Bytes of texts whose words are looked up together: what a task holds follows it, not the size of a batch.
 TOGETHER = 1 << 17
+# Words of a text that a training step looks at together.
+STEP = 1 << 16
 # Most bits of the filter that keeps texts without a label where they are read; a full one lets them pass, so it bounds nothing.
 FILTER_BITS = 1 << 26
 _TABLE = separators(PLAIN)
@@ -66,30 +69,53 @@ def score_texts(model: Model, texts: Sequence[str | None]) -> np.ndarray:
     """Scores of whole texts; filters become sums of table rows, so a word costs ``HASHES`` row reads.  Empty: the bias alone."""
     cols = np.concatenate([np.concatenate(list(w), axis=1) for w in model.conv], axis=1)
     tables = [(e @ cols).astype(np.float32) for e in model.emb]
+    gap = max(WIDTHS) - 1
+
+    def looked_up(b: np.ndarray) -> np.ndarray:
+        y = tables[0][b[:, 0]]
+        for k in range(1, HASHES):
+            y += tables[k][b[:, k]]
+        return y
+
+    def places(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """Per width the filters' values at the first ``n`` places of ``x``."""
+        col = 0
+        for width in WIDTHS:
+            z = 0
+            for o in range(width):
+                z = z + x[o:o + n, col:col + FILTERS]
+                col += FILTERS
+            yield z
+
+    def strongest(text: bytes) -> np.ndarray:
+        """The same for one long text, in steps: its last words wait for those that follow."""
+        best, held = np.full(len(model.bias), -np.inf, np.float32), np.zeros((0, cols.shape[1]), np.float32)
+        for piece in (*pieces(text, _TABLE, TOGETHER), None):
+            more = np.zeros((gap, cols.shape[1]), np.float32) if piece is None else looked_up(_buckets([piece])[0])
+            x = np.concatenate([held, more])
+            if len(x) > gap:
+                best = np.maximum(best, np.concatenate([z.max(axis=0) for z in places(x, len(x) - gap)]))
+            held = x[-gap:].copy()
+        return np.where(np.isfinite(best), best, 0)
+
     scores = np.zeros(len(texts))
     for at, part in chunks((lowered(t) for t in texts), TOGETHER):
-        b, first = _buckets(part)
         pooled = np.zeros((len(part), len(model.bias)), np.float32)
-        full = np.flatnonzero(np.diff(first))
-        if len(full):
-            gap = max(WIDTHS) - 1
-            n = np.diff(first)
-            start = first[:-1] + gap * np.arange(len(part))
-            x = np.zeros((len(b) + gap * len(part) + gap, cols.shape[1]), np.float32)
-            place = np.arange(len(b)) + gap * np.repeat(np.arange(len(part)), n)
-            y = tables[0][b[:, 0]]
-            for k in range(1, HASHES):
-                y += tables[k][b[:, k]]
-            x[place] = y
-            edges = np.stack([start[full], start[full] + n[full]], axis=1).reshape(-1)
-            col = 0
-            for w, width in enumerate(WIDTHS):
-                z = 0
-                for o in range(width):
-                    z = z + x[o:len(x) - gap + o, col:col + FILTERS]
-                    col += FILTERS
-                z = np.concatenate([z, np.zeros((1, FILTERS), np.float32)])
-                pooled[full, w * FILTERS:(w + 1) * FILTERS] = np.maximum.reduceat(z, edges, axis=0)[::2]
+        if len(part[0]) > TOGETHER:  # alone
+            pooled[0] = strongest(part[0])
+        else:
+            b, first = _buckets(part)
+            full = np.flatnonzero(np.diff(first))
+            if len(full):
+                n = np.diff(first)
+                start = first[:-1] + gap * np.arange(len(part))
+                x = np.zeros((len(b) + gap * len(part) + gap, cols.shape[1]), np.float32)
+                place = np.arange(len(b)) + gap * np.repeat(np.arange(len(part)), n)
+                x[place] = looked_up(b)
+                edges = np.stack([start[full], start[full] + n[full]], axis=1).reshape(-1)
+                for w, z in enumerate(places(x, len(x) - gap)):
+                    z = np.concatenate([z, np.zeros((1, FILTERS), np.float32)])
+                    pooled[full, w * FILTERS:(w + 1) * FILTERS] = np.maximum.reduceat(z, edges, axis=0)[::2]
         act = np.maximum(pooled + model.bias, 0)
         scores[at:at + len(part)] = _sigmoid(act @ model.out + model.base)
     return scores
@@ -131,6 +157,10 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return {k: x.reshape(like[k].shape).astype(np.float32) for k, x in zip(sorted(like), np.split(flat, ends[:-1]))}
 
 
+def _embedded(p: dict[str, np.ndarray], b: np.ndarray) -> np.ndarray:
+    return p["emb"][np.arange(HASHES), b].sum(axis=1)
+
+
 def _epoch(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, epoch: int, seed: list[int], batch: int = 64, rate: float = 0.02) -> None:
     """One pass over a shard's texts, which changes the parameters in place."""
     rng = np.random.RandomState(seed)
@@ -145,14 +175,18 @@ def _epoch(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, epo
         read, moved = [], []
         for i in ids:
             b = words[i]
-            pad = np.zeros((max(WIDTHS) - 1, DIM), f32)
-            e = np.concatenate([p["emb"][np.arange(HASHES), b].sum(axis=1) if len(b) else np.zeros((0, DIM), f32), pad])
+            pad = np.zeros((max(WIDTHS), DIM), f32)  # so that even a text without words has a place for each part of a filter
+            e = pad
             pooled, spots = np.zeros(len(WIDTHS) * FILTERS, f32), np.zeros(len(WIDTHS) * FILTERS, np.int64)
-            for k, w in enumerate(WIDTHS):
-                if len(b):
-                    z = sum(e[o:o + len(b)] @ p[f"w{w}"][o] for o in range(w))
+            for start in range(0, len(b), STEP):
+                e = np.concatenate([_embedded(p, b[start:start + STEP + len(pad)]), pad])
+                n = min(STEP, len(b) - start)
+                for k, w in enumerate(WIDTHS):
+                    z = sum(e[o:o + n] @ p[f"w{w}"][o] for o in range(w))
                     s = z.argmax(axis=0)
-                    spots[k * FILTERS:(k + 1) * FILTERS], pooled[k * FILTERS:(k + 1) * FILTERS] = s, z[s, np.arange(FILTERS)]
+                    top, own = z[s, np.arange(FILTERS)], slice(k * FILTERS, (k + 1) * FILTERS)
+                    better = (top > pooled[own]) | (start == 0)
+                    spots[own], pooled[own] = np.where(better, start + s, spots[own]), np.where(better, top, pooled[own])
             act = np.maximum(pooled + p["bias"], 0)
             d = f32((_sigmoid(act @ p["out"] + p["base"][0]) - y[i]) / len(ids))
             g["out"] += d * act
@@ -163,8 +197,9 @@ def _epoch(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, epo
                 bk, sk = back[k * FILTERS:(k + 1) * FILTERS], spots[k * FILTERS:(k + 1) * FILTERS]
                 for o in range(w):
                     at_o = sk + o
-                    g[f"w{w}"][o] += e[at_o].T * bk
                     real = at_o < len(b)
+                    there = e[at_o] if len(b) <= STEP else _embedded(p, b[np.minimum(at_o, len(b) - 1)]) * real[:, None]
+                    g[f"w{w}"][o] += there.T * bk
                     if real.any():
                         read.append(b[at_o[real]])
                         moved.append((p[f"w{w}"][o] * bk).T[real])
@@ -186,10 +221,10 @@ def _best_cut(score: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, text, lang, y, h) of every row with a text and a label; h is a hash of the id."""
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    """(id, text, lang, y, h, bytes) of every row with a text and a label; h is a hash of the id, bytes the text's size, known before the join."""
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("bytes"))
     known = _labels(docs, labels, learn, id_col)
-    return rows.join(known, id_col).select(F.col(id_col).cast("long").alias("id"), "text", "lang", "y", _hash(id_col).alias("h"))
+    return rows.join(known, id_col).select(F.col(id_col).cast("long").alias("id"), "text", "lang", "y", _hash(id_col).alias("h"), "bytes")
 
 
 def _labels(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str) -> DataFrame:
@@ -235,16 +270,30 @@ def _dealt(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
 
     ``texts`` are a shard's (id, text, lang, y) as a compressed Arrow stream; a fifth, by hash of the id, stands in shards after those for training.
     """
-    n = labelled(docs, labels, learn, id_col, text_col, lang_col).groupBy((F.col("h") % 5 == 4).alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()
-    (size, toxic), (other, other_toxic) = ([sum(r[k] for r in n if r.held == x) for k in ("n", "toxic")] for x in (False, True))
-    count, more = max(1, -(-size // SHARD)), max(1, -(-other // SHARD))
+    rows = labelled(docs, labels, learn, id_col, text_col, lang_col)
+    each = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic"), F.sum("bytes").alias("bytes"))
+    over = (F.col("n") > SHARD) | (F.col("bytes") > SHARD_BYTES)
+    n = each.groupBy((F.col("h") % 5 == 4).alias("held")).agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "bytes")), F.count_if(over & (F.col("n") > 1)).alias("many")).collect()
+    (size, toxic, heavy, many), (other, other_toxic, other_heavy, other_many) = ([sum(r[k] for r in n if r.held == x) for k in ("n", "toxic", "bytes", "many")] for x in (False, True))
+    count, more = (max(1, -(-a // SHARD), -(-b // SHARD_BYTES)) for a, b in ((size, heavy), (other, other_heavy)))
     h = _hash(id_col)
-    shard = F.when(h % 5 == 4, count + F.floor(h / 5 % more)).otherwise(F.floor(h / 5 % count)).cast("int").alias("shard")
+    held = h % 5 == 4
+    shard = F.when(held, count + F.floor(h / 5 % more)).otherwise(F.floor(h / 5 % count)).cast("int").alias("shard")
     known = _labels(docs, labels, learn, id_col)
     bits = _bits(known.select(h.alias("h")), 1 << max(10, min(FILTER_BITS.bit_length() - 1, (8 * (size + other)).bit_length())))
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & learn).filter(_maybe(bits, h))
-    texts = rows.select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.select(shard, F.col(id_col).alias("id"), "y")
+    kept = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")]
+    if many + other_many:
+        # Rows of an id that has more than a shard go to all shards of its side in turn, and its label to each of them.
+        wide = materialise(each.filter(over & (F.col("n") > 1)).select(F.col("id").alias("wide_id")), "wide")
+        far = F.when(held, F.sequence(F.lit(count), F.lit(count + more - 1))).otherwise(F.sequence(F.lit(0), F.lit(count - 1)))
+        turn = F.when(held, count + F.pmod("turn", F.lit(more))).otherwise(F.pmod("turn", F.lit(count))).cast("int")
+        is_wide = lambda df: df.join(wide, F.col(id_col) == F.col("wide_id"), "left")
+        texts = is_wide(rows.withColumn("turn", F.monotonically_increasing_id())).select(F.when(F.col("wide_id").isNull(), shard).otherwise(turn).alias("shard"), *kept)
+        known = is_wide(known).select(F.explode(F.when(F.col("wide_id").isNull(), F.array(shard)).otherwise(far)).alias("shard"), F.col(id_col).alias("id"), "y")
+    else:
+        texts = rows.select(shard, *kept)
+        known = known.select(shard, F.col(id_col).alias("id"), "y")
 
     def meet(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
         hand_back()
@@ -272,6 +321,9 @@ def _texts(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     part = part.sort_by([("id", "ascending"), ("text", "ascending")])
     words = []
     for _, some in chunks((lowered(t.as_py()) for t in part.column("text")), TOGETHER):
+        if len(some[0]) > TOGETHER:  # alone
+            words.append(np.concatenate([_buckets([x])[0].astype(np.uint16) for x in pieces(some[0], _TABLE, TOGETHER)]))
+            continue
         rows, first = _buckets(some)
         words += [rows[a:b].astype(np.uint16) for a, b in zip(first[:-1], first[1:])]
     return words, part.column("y").to_numpy().astype(np.float32)
@@ -366,7 +418,10 @@ def toxicity_score(model: Model, text: Column) -> Column:
 
 def language_threshold(model: Model, lang: Column) -> Column:
     """The calibrated threshold of the row's language; of an unknown or null language the common one."""
-    out = F.lit(model.threshold)
-    for name, cut in model.thresholds.items():
-        out = F.when(lang == name, F.lit(cut)).otherwise(out)
-    return out
+    known = [(lang == name, F.lit(cut)) for name, cut in model.thresholds.items()]
+    if not known:
+        return F.lit(model.threshold)
+    out = F.when(*known[0])
+    for case in known[1:]:
+        out = out.when(*case)
+    return out.otherwise(model.threshold)

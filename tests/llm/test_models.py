@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import pyspark.sql.functions as F
 
 from llm.conftest import SCHEMA, VOCABULARY, prose, rows
@@ -325,6 +326,59 @@ def test_toxicity_texts_meet_labels_once_and_sums_come_in_slices(spark, monkeypa
     assert (toxicity._over_shards(dealt.filter(F.col("shard") < count), lambda shard, words, y: np.arange(1000) * len(y)) == np.arange(1000) * size).all()
 
 
+def test_toxicity_learns_from_labelled_texts_without_words(spark):
+    rows_ = toxic_corpus()[:200] + [(1000, "", "en", 0), (1001, " \n", "en", 1), (1002, "!!! ... ???", None, 0), (1003, "", "fr", 0), (1004, "--", "fr", 0), (1005, "", "fr", 0)]
+    docs = spark.createDataFrame([x[:3] for x in rows_], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows_], "doc_id long, toxic int")
+    assert {r.h % 5 == 4 for r in docs.filter("doc_id >= 1000").select(toxicity._hash("doc_id").alias("h")).collect()} >= {False}
+    model = toxicity.fit(docs, labels)
+    foul, clean, none = toxicity.score_texts(model, ["some words zzvile", "some words", ""])
+    assert foul > clean and foul > none
+
+
+@pytest.mark.parametrize("bound", [{"SHARD": 20}, {"SHARD_BYTES": 4000}])
+def test_toxicity_no_id_makes_a_shard_large(spark, monkeypatch, bound):
+    """Two ids, one of them held out, have most of the rows: shards stay bounded in texts or bytes, and no row is lost."""
+    for k, v in bound.items():
+        monkeypatch.setattr(toxicity, k, v)
+    held = {r.id: r.h % 5 == 4 for r in spark.range(50).select("id", toxicity._hash("id").alias("h")).collect()}
+    ids = [*range(50), *[next(i for i in held if not held[i])] * 150, *[next(i for i in held if held[i])] * 100]
+    docs = spark.createDataFrame([(i, prose(n, 30), "en") for n, i in enumerate(ids)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    dealt, count, size, toxic, _ = toxicity._dealt(docs, labels, F.lit(True), "doc_id", "text", "lang")
+    got = {r.shard: batches_of(r.texts).read_all().to_pylist() for r in dealt.collect()}
+    assert sorted((x["id"], x["text"]) for v in got.values() for x in v) == sorted((i, prose(n, 30)) for n, i in enumerate(ids))
+    assert all(x["y"] == x["id"] % 2 and held[x["id"]] == (s >= count) for s, v in got.items() for x in v)
+    assert sum(len(v) for s, v in got.items() if s < count) == size and sum(x["y"] for s, v in got.items() if s < count for x in v) == toxic
+    most = max(len(v) if "SHARD" in bound else sum(len(x["text"]) for x in v) for v in got.values())
+    assert count > 5 and most < 2.5 * next(iter(bound.values()))
+
+
+def test_toxicity_reads_long_texts_in_steps(monkeypatch):
+    """The same scores, words and training step as from whole texts, whatever the steps; a word longer than a step is not cut."""
+    rng = np.random.RandomState(2)
+    k = len(toxicity.WIDTHS) * toxicity.FILTERS
+    texts = [prose(7, 400), prose(8, 3) + " " + "x" * 300 + " end", "!" * 200, "y" * 500, "a b", "  " + prose(9, 150) + " " * 90, "z" * 100 + "."]
+    model = toxicity.Model(rng.normal(size=(toxicity.HASHES, 1 << toxicity.BITS, toxicity.DIM)), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], rng.normal(size=k), 0.05 * rng.normal(size=k), 0.1)
+    table = pa.table({"id": range(len(texts)), "text": texts, "y": [i % 2 for i in range(len(texts))]})
+
+    def trained():
+        rows, y = toxicity._texts(table)
+        p = toxicity._start(np.zeros((toxicity.HASHES, 1 << toxicity.BITS), np.float32), 1)
+        toxicity._epoch(p, rows, y, 0, [1])
+        return rows, toxicity._flat(p)
+
+    whole, (rows, flat) = toxicity.score_texts(model, texts), trained()
+    taken = []
+    monkeypatch.setattr(toxicity, "_buckets", lambda part, f=toxicity._buckets: taken.append(sum(map(len, part))) or f(part))
+    monkeypatch.setattr(toxicity, "TOGETHER", 64)
+    monkeypatch.setattr(toxicity, "STEP", 5)
+    assert np.allclose(toxicity.score_texts(model, texts), whole, rtol=1e-6)
+    own, moved = trained()
+    assert all((a == b).all() for a, b in zip(rows, own)) and np.allclose(moved, flat, atol=1e-5)
+    assert max(taken) <= 500 and sorted(taken)[-4] <= 310 and b"".join(words.pieces(texts[0].encode(), toxicity._TABLE, 64)) == texts[0].encode()
+
+
 def batches_of(stream):
     return pa.ipc.open_stream(stream)
 
